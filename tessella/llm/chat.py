@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import TokenEncoder, column, materialise, slices
+from tessella.llm.common import column, encoder, materialise, slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 WINDOWS = "conv_id long, window int, text string, context int, turns int, tokens long, loss array<struct<start:int,end:int>>"
@@ -50,7 +50,7 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 2048,
     """The windows of all conversations; loss holds the masked spans in code points of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, conv, rows = TokenEncoder(tokenizer), object(), []
+        encode, conv, rows = encoder(tokenizer), object(), []
         system = recent = None
         window = held = 0
         parts: list[str] = []
@@ -74,7 +74,7 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 2048,
             for role, text in zip(column(batch, "role").to_pylist(), column(batch, "text").to_pylist()):
                 formed.append((f"{START}{escape_role(role or '')}\n", escape(text or ""), role))
             whole = [f"{a}{b}{END}\n" for a, b, _ in formed]
-            ends = encoder.encode(pa.array(whole, pa.string()))[1]
+            ends = encode.encode(pa.array(whole, pa.string()))[1]
             sizes = np.diff(ends, prepend=0).tolist()
             for of, (head, text, role), turn, size in zip(column(batch, "conv_id").to_pylist(), formed, whole, sizes):
                 if of != conv:

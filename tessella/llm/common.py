@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -252,3 +253,9 @@ class TokenEncoder:
         total = np.concatenate(([0], np.cumsum(size)))
         index = np.arange(total[-1]) + np.repeat(lo - total[:-1], size)
         return store[index], total[np.searchsorted(edge, at[1:])]
+
+
+@cache
+def encoder(path: str) -> TokenEncoder:
+    """One encoder a worker process, so that its cache serves the tasks that follow."""
+    return TokenEncoder(path)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import TokenEncoder, column, materialise, slices
+from tessella.llm.common import column, encoder, materialise, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -63,9 +63,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     """The pieces of all documents with their rank by length within their task, written and read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seen = TokenEncoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in slices(batches):
-            ids, ends = encoder.encode(column(batch, "text"))
+            ids, ends = encode.encode(column(batch, "text"))
             of = np.diff(ends, prepend=0) + 1
             n = -(-of // capacity)
             first = of - (n - 1) * capacity

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import TokenEncoder, column, materialise, shared_dir, slices
+from tessella.llm.common import column, encoder, materialise, shared_dir, slices
 
 MAGIC = b"RPSHARD1"
 BINS = 1 << 20
@@ -156,7 +156,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root)
-        encoder, task = TokenEncoder(tokenizer), TaskContext.get().partitionId()
+        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, ...]] = []
         shard = size = 0
 
@@ -173,7 +173,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4))], names=["file", "task", "shard", "docs", "tokens", "symbols", "bytes"])
 
         for batch in slices(batches):
-            ids, ends = encoder.encode(column(batch, "text"))
+            ids, ends = encode.encode(column(batch, "text"))
             col = column(batch, "doc_id").cast(pa.int64())
             held.append((col.fill_null(0).to_numpy(zero_copy_only=False), col.is_valid().to_numpy(zero_copy_only=False), np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1))
             size += len(held[-1][2])

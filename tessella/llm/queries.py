@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, language, packing, repair, resampling, warc
+from tessella.llm import chat, decontaminate, language, merkle, packing, repair, resampling, warc
 from tessella.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.normalise(warc.write(table(spark, sf_dir, "pages"))))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(table(spark, sf_dir, "documents"), tokenizer()))
 
@@ -44,6 +52,6 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read(turns.unionByName(own), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normaliser, op4_repair_token_ids, op5_importance_resampling, op7_language_id, op8_best_fit_packing, op9_chat_windows)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normaliser, op2_decontamination, op3_merkle_fingerprints, op4_repair_token_ids, op5_importance_resampling, op7_language_id, op8_best_fit_packing, op9_chat_windows)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op3_merkle_fingerprints": merkle.ORACLE}

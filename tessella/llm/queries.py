@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, decontaminate, language, merkle, packing, repair, resampling, warc
+from tessella.llm import chat, decontaminate, language, merkle, packing, repair, resampling, superkmers, warc
 from tessella.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.removal(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
     return language.identify(docs, "doc_id", "held_out")
@@ -52,6 +56,6 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read(turns.unionByName(own), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normaliser, op2_decontamination, op3_merkle_fingerprints, op4_repair_token_ids, op5_importance_resampling, op7_language_id, op8_best_fit_packing, op9_chat_windows)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normaliser, op2_decontamination, op3_merkle_fingerprints, op4_repair_token_ids, op5_importance_resampling, op6_superkmer_dedup, op7_language_id, op8_best_fit_packing, op9_chat_windows)}
 
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op3_merkle_fingerprints": merkle.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op3_merkle_fingerprints": merkle.ORACLE, "op6_superkmer_dedup": superkmers.ORACLE}

@@ -178,7 +178,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED, hot: in
     found = sort_buckets(pack_strings(_wanted(texts, rest), width), width)
     if not often.limit(1).count():
         return found
-    digests = materialise(window_digests(_wanted(texts, kmers.join(often, "minimiser", "left_semi")), width), "window-digests")
+    digests = window_digests(_wanted(texts, kmers.join(often, "minimiser", "left_semi")), width)
     salt = F.pmod(F.hash("did"), F.lit(SALTS))
     first = digests.groupBy("digest").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("digest", "lo", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     again = digests.withColumn("salt", salt).join(first, ["digest", "salt"]).where("did > lo")

@@ -9,10 +9,10 @@ has its own hash.
 2. A scan emits each document's prefix under the first order; rows meet by token. The smallest document of a token is its pivot, and only
    pairs of a document and its pivot are candidates, so a group of any size gives rows in proportion. Exact copies are one
    class by digest and need no check.
-3. Candidates go to their pivot's task (large pivots are split) with their sets; the prefixes of every other order must meet too
-   before the sets are compared in full.
-4. Components of the found links join most groups whole. Tokens whose documents still lie in several components give the pairs across components that
-   size and position allow, less those checked before; these are verified alike. No link between different components is lost, so
+3. The tokens that both prefixes of a candidate hold bound its overlap. Those that may still link go to their pivot's task (large pivots are
+   split) with their sets; the prefixes of every other order must meet too before the sets are compared in full.
+4. Components of the found links join most groups whole. Tokens whose documents still lie in several components give the pairs across components,
+   bounded the same way, less those checked before; these are verified alike. No link between different components is lost, so
    components are exact.
 
 A null or empty text, or one without words, has no set and no link. Rows that repeat a doc_id are one node with the links of each; a null
@@ -26,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import LOWER, column, list_array, materialise, mix, run_hashes, slices, span_hashes, text_bytes, word_spans
 
 WORDS, PERCENT = 5, 80
-BITS, CHUNKS = 22, 64  # of the table of counts: 4 MB of classes, whatever the input
+BITS, CHUNKS = 23, 64  # of the table of counts: 8 MB of classes, whatever the input
+MEMBER_BITS = 26  # of the bitmap of documents that a join needs: 8 MB at most
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 SPLIT = 256  # candidates of a pivot that one task takes
 FACTS = "doc_id long, size int, one long, two long, chunk int, counts binary"
-PREFIX = "token long, doc_id long, size int, at int"
-GROUPED = "token long, doc_id long, size int, at int, pivot long, pivot_size int, pivot_at int"
+PREFIX = "token long, doc_id long, size int"
+GROUPED = "token long, doc_id long, size int, pivot long, pivot_size int"
 SETS = "pivot long, part int, doc_id long, tokens array<long>"
 LINKS = "a long, b long"
 
@@ -110,7 +111,7 @@ def _added(tables: pa.Table) -> pa.Table:
 
 
 def frequency_classes(found: DataFrame) -> np.ndarray:
-    """A class for each bucket of tokens: 0 up to about four times the mean, then one more with every doubling. Summed in two steps."""
+    """A class for each bucket of tokens: 0 within the noise of the mean, above it two with every doubling. Summed in two steps."""
     kind = "chunk int, counts binary, wide boolean"
     part = F.pmod(F.xxhash64("counts"), F.lit(64))
     tables = found.where("chunk is not null").select("chunk", "counts", F.lit(False).alias("wide"))
@@ -119,12 +120,12 @@ def frequency_classes(found: DataFrame) -> np.ndarray:
     for r in some.groupBy("chunk").applyInArrow(lambda t: _added(t), kind).collect():
         x = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
         total[r["chunk"] * len(x) : (r["chunk"] + 1) * len(x)] = x
-    floor = 4 * total.mean() + 16
-    return np.where(total <= floor, 0, np.ceil(np.log2(np.maximum(total, 1) / floor))).astype(np.uint8).clip(0, 63)
+    floor = total.mean() + 3 * np.sqrt(total.mean()) + 3
+    return np.where(total <= floor, 0, np.ceil(2 * np.log2(np.maximum(total, 1) / floor))).clip(0, 63).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, classes, k: int = WORDS, percent: int = PERCENT) -> DataFrame:  # noqa: ANN001
-    """Every document's prefix under the first order: token, doc_id, size, place in the order."""
+    """Every document's prefix under the first order: token, doc_id, size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -134,8 +135,8 @@ def prefixes(docs: DataFrame, classes, k: int = WORDS, percent: int = PERCENT) -
             order = np.lexsort((rank_keys(token, classes.value, ORDERS[0]), row))
             at = np.arange(len(token)) - (end - size)[row]
             keep = at < prefix_size(size, percent)[row]
-            row, at = row[keep], at[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token[order][keep].view(np.int64)), column(batch, "doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "doc_id", "size", "at"])
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(token[order][keep].view(np.int64)), column(batch, "doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(size[row].astype(np.int32))], names=["token", "doc_id", "size"])
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, PREFIX)
 
@@ -144,7 +145,7 @@ def grouped(prefix: DataFrame) -> DataFrame:
     """The prefix rows of tokens that two documents have, each with the token's pivot, its smallest document. A stream over sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "doc_id", "size", "at"]
+        names = ["token", "doc_id", "size"]
         first: np.ndarray | None = None  # of the token that is open
         alone = True
         for batch in batches:
@@ -167,7 +168,7 @@ def grouped(prefix: DataFrame) -> DataFrame:
             first = rows[:, head[-1]].copy()
             if keep.any():
                 out = [*(x[keep] for x in rows), *(x[keep] for x in pivot[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=[*names, "pivot", "pivot_size", "pivot_at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=[*names, "pivot", "pivot_size"])
 
     return materialise(prefix.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(run, GROUPED), "jaccard-grouped")
 
@@ -175,9 +176,38 @@ def grouped(prefix: DataFrame) -> DataFrame:
 # ---- verification ---------------------------------------------------------------------------------------------
 
 
-def _possible(a_size: str, a_at: str, b_size: str, b_at: str, percent: int) -> str:
-    """Size and position filter of a pair at a shared token; a linked pair passes at its first shared token."""
-    return f"100 * least({a_size}, {b_size}) >= {percent} * greatest({a_size}, {b_size}) and {100 + percent} * least({a_size} - {a_at}, {b_size} - {b_at}) >= {percent} * ({a_size} + {b_size})"
+def _counted(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, a_size, b, b_size), a row for each token in both prefixes, that may link: all tokens in both sets that aren't in both
+    prefixes lie beyond the prefix of one of them, the one that ends first in the order."""
+    beyond = "greatest(({p} * a_size + 99) div 100 - 1, ({p} * b_size + 99) div 100 - 1)".format(p=percent)
+    found = pairs.where(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)").groupBy("a", "a_size", "b", "b_size").agg(F.count("*").alias("n"))
+    return found.where(f"{100 + percent} * (n + {beyond}) >= {percent} * (a_size + b_size)").select("a", "b").distinct()
+
+
+def _member(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(1 << MEMBER_BITS))
+
+
+def _only(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) whose doc_id may be among those of needed, by a bitmap of fixed size: a join after it shuffles few others."""
+    bit = _member("doc_id")
+    nth = bit + 1  # the bitmap functions number values from 1
+    maps = needed.groupBy(F.bitmap_bucket_number(nth).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(nth)).alias("bits")).collect()
+    table = np.zeros((1 << MEMBER_BITS) // 8, np.uint8)
+    for r in maps:  # buckets count from 1, and hold as many bits as their bytes
+        first = (r["bucket"] - 1) * len(r["bits"])
+        part = np.frombuffer(r["bits"], np.uint8)
+        table[first : first + len(part)] = part[: len(table) - first]
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = column(batch, "bit").to_numpy(zero_copy_only=False)
+            keep = (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            if keep.any():
+                yield batch.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
+
+    return docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text string")
 
 
 def _parts(pairs: DataFrame) -> DataFrame:
@@ -242,7 +272,9 @@ def verify(docs: DataFrame, pairs: DataFrame, classes, k: int = WORDS, percent:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_parts(pairs), "doc_id")
+    places = materialise(_parts(pairs), "jaccard-places")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    wanted = _only(ids, places.select("doc_id")).join(places, "doc_id")
     sent = wanted.select("doc_id", "text", "places").mapInArrow(send, SETS)
     first = (F.col("doc_id") != F.col("pivot")).alias("later")
     met = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", first)
@@ -284,19 +316,20 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
     groups = grouped(prefixes(docs, classes, k, percent))
-    stars = groups.where("doc_id <> pivot and " + _possible("size", "at", "pivot_size", "pivot_at", percent)).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = materialise(of_reps(stars), "jaccard-pairs")
+    stars = groups.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("pivot_size").alias("a_size"), F.col("doc_id").alias("b"), F.col("size").alias("b_size"))
+    pairs = materialise(of_reps(_counted(stars, percent)), "jaccard-pairs")
     links = materialise(verify(docs, pairs, classes, k, percent).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "jaccard-links")
     labels = components(links)
 
-    # tokens whose documents lie in several components
-    placed = groups.select("token", "doc_id", "size", "at").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    # tokens whose documents, one of each class, still lie in several components
+    known_labels = labels.join(copies.select(F.col("doc_id").alias("node"), F.lit(True).alias("copy")).distinct(), "node", "left").withColumnRenamed("node", "doc_id")
+    placed = groups.select("token", "doc_id", "size").join(known_labels, "doc_id", "left").where("copy is null").select("token", "doc_id", "size", F.coalesce("label", "doc_id").alias("label"))
     split = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     open_ = materialise(placed.join(split, "token", "left_semi"), "jaccard-open")
     x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, F.expr("x.token = y.token and x.doc_id < y.doc_id and x.label <> y.label and " + _possible("x.size", "x.at", "y.size", "y.at", percent)))
-    rest = of_reps(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()).join(pairs, ["a", "b"], "left_anti")
-    rest = materialise(rest, "jaccard-rest")
+    across = x.join(y, F.expr(f"x.token = y.token and x.doc_id < y.doc_id and x.label <> y.label and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"))
+    across = across.select(F.col("x.doc_id").alias("a"), F.col("x.size").alias("a_size"), F.col("y.doc_id").alias("b"), F.col("y.size").alias("b_size"))
+    rest = materialise(_counted(across, percent).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.limit(1).count():
         labels = components(links.unionByName(verify(docs, rest, classes, k, percent)))
     placed = own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -189,25 +189,12 @@ def _member(col: str) -> Column:
 
 
 def _only(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) whose doc_id may be among those of needed, by a bitmap of fixed size: a join after it shuffles few others."""
-    bit = _member("doc_id")
-    nth = bit + 1  # the bitmap functions number values from 1
-    maps = needed.groupBy(F.bitmap_bucket_number(nth).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(nth)).alias("bits")).collect()
-    table = np.zeros((1 << MEMBER_BITS) // 8, np.uint8)
-    for r in maps:  # buckets count from 1, and hold as many bits as their bytes
-        first = (r["bucket"] - 1) * len(r["bits"])
-        part = np.frombuffer(r["bits"], np.uint8)
-        table[first : first + len(part)] = part[: len(table) - first]
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = column(batch, "bit").to_numpy(zero_copy_only=False)
-            keep = (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            if keep.any():
-                yield batch.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
-
-    return docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text string")
+    """The rows of docs whose doc_id may be among those of needed, by a broadcast bitmap of fixed size: a join after it shuffles few others."""
+    nth = _member("doc_id") + 1  # the bitmap functions number values from 1
+    maps = needed.groupBy(F.bitmap_bucket_number(nth).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(nth)).alias("_bits"))
+    placed = docs.withColumns({"_bucket": F.bitmap_bucket_number(nth), "_at": F.bitmap_bit_position(nth).cast("int")}).join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
+    return placed.where(F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)) % 2 == 1).select(*docs.columns)
 
 
 def _parts(pairs: DataFrame) -> DataFrame:

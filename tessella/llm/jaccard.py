@@ -37,8 +37,8 @@ MEMBER_BITS = 26  # of the bitmap of documents that a join needs: 8 MB at most
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 SPLIT = 256  # candidates of a pivot that one task takes
 FACTS = "doc_id long, size int, one long, two long, chunk int, counts binary"
-PREFIX = "token long, doc_id long, size int"
-GROUPED = "token long, doc_id long, size int, pivot long, pivot_size int"
+PREFIX = "token long, doc_id long, size int, at int"
+GROUPED = "token long, doc_id long, size int, at int, pivot long, pivot_size int"
 SETS = "pivot long, part int, doc_id long, tokens array<long>"
 LINKS = "a long, b long"
 
@@ -125,7 +125,7 @@ def frequency_classes(found: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, classes, k: int = WORDS, percent: int = PERCENT) -> DataFrame:  # noqa: ANN001
-    """Every document's prefix under the first order: token, doc_id, size."""
+    """Every document's prefix under the first order: token, doc_id, size, place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -135,8 +135,8 @@ def prefixes(docs: DataFrame, classes, k: int = WORDS, percent: int = PERCENT) -
             order = np.lexsort((rank_keys(token, classes.value, ORDERS[0]), row))
             at = np.arange(len(token)) - (end - size)[row]
             keep = at < prefix_size(size, percent)[row]
-            row = row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token[order][keep].view(np.int64)), column(batch, "doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(size[row].astype(np.int32))], names=["token", "doc_id", "size"])
+            row, at = row[keep], at[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(token[order][keep].view(np.int64)), column(batch, "doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "doc_id", "size", "at"])
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, PREFIX)
 
@@ -145,7 +145,7 @@ def grouped(prefix: DataFrame) -> DataFrame:
     """The prefix rows of tokens that two documents have, each with the token's pivot, its smallest document. A stream over sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "doc_id", "size"]
+        names = ["token", "doc_id", "size", "at"]
         first: np.ndarray | None = None  # of the token that is open
         alone = True
         for batch in batches:
@@ -167,8 +167,8 @@ def grouped(prefix: DataFrame) -> DataFrame:
             alone = n[-1] == 1 and (len(head) > 1 or first is None or alone)
             first = rows[:, head[-1]].copy()
             if keep.any():
-                out = [*(x[keep] for x in rows), *(x[keep] for x in pivot[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=[*names, "pivot", "pivot_size"])
+                out = [*(x[keep] for x in rows), *(x[keep] for x in pivot[1:3])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=[*names, "pivot", "pivot_size"])
 
     return materialise(prefix.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(run, GROUPED), "jaccard-grouped")
 
@@ -176,12 +176,28 @@ def grouped(prefix: DataFrame) -> DataFrame:
 # ---- verification ---------------------------------------------------------------------------------------------
 
 
+def _bound(n: str, percent: int) -> str:
+    """n shared prefix tokens leave room for a link: all others in both sets lie beyond the prefix of one, the one that ends first in the order."""
+    beyond = f"greatest(({percent} * a_size + 99) div 100 - 1, ({percent} * b_size + 99) div 100 - 1)"
+    return f"{100 + percent} * ({n} + {beyond}) >= {percent} * (a_size + b_size)"
+
+
 def _counted(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, a_size, b, b_size), a row for each token in both prefixes, that may link: all tokens in both sets that aren't in both
-    prefixes lie beyond the prefix of one of them, the one that ends first in the order."""
-    beyond = "greatest(({p} * a_size + 99) div 100 - 1, ({p} * b_size + 99) div 100 - 1)".format(p=percent)
+    """Pairs (a, a_size, b, b_size), a row for each token in both prefixes, that may link."""
     found = pairs.where(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)").groupBy("a", "a_size", "b", "b_size").agg(F.count("*").alias("n"))
-    return found.where(f"{100 + percent} * (n + {beyond}) >= {percent} * (a_size + b_size)").select("a", "b").distinct()
+    return found.where(_bound("n", percent)).select("a", "b").distinct()
+
+
+def _across(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents of different labels that may link: by size and by position at their first shared token, then by shared prefix tokens."""
+    size = f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
+    position = f"{100 + percent} * least(x.size - x.at, y.size - y.at) >= {percent} * (x.size + y.size)"
+    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.token = y.token and x.doc_id < y.doc_id and x.label <> y.label and {size} and {position}"))
+    pairs = met.select(F.col("x.doc_id").alias("a"), F.col("x.size").alias("a_size"), F.col("y.doc_id").alias("b"), F.col("y.size").alias("b_size")).distinct()
+    held = open_.groupBy("doc_id").agg(F.collect_set("token").alias("held"))
+    for x in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("doc_id").alias(x), F.col("held").alias(f"{x}_held")), x)
+    return pairs.where(_bound("size(array_intersect(a_held, b_held))", percent)).select("a", "b").distinct()
 
 
 def _member(col: str) -> Column:
@@ -310,13 +326,10 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
 
     # tokens whose documents, one of each class, still lie in several components
     known_labels = labels.join(copies.select(F.col("doc_id").alias("node"), F.lit(True).alias("copy")).distinct(), "node", "left").withColumnRenamed("node", "doc_id")
-    placed = groups.select("token", "doc_id", "size").join(known_labels, "doc_id", "left").where("copy is null").select("token", "doc_id", "size", F.coalesce("label", "doc_id").alias("label"))
+    placed = groups.select("token", "doc_id", "size", "at").join(known_labels, "doc_id", "left").where("copy is null").select("token", "doc_id", "size", "at", F.coalesce("label", "doc_id").alias("label"))
     split = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     open_ = materialise(placed.join(split, "token", "left_semi"), "jaccard-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, F.expr(f"x.token = y.token and x.doc_id < y.doc_id and x.label <> y.label and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"))
-    across = across.select(F.col("x.doc_id").alias("a"), F.col("x.size").alias("a_size"), F.col("y.doc_id").alias("b"), F.col("y.size").alias("b_size"))
-    rest = materialise(_counted(across, percent).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = materialise(_across(open_, percent).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.limit(1).count():
         labels = components(links.unionByName(verify(docs, rest, classes, k, percent)))
     placed = own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")

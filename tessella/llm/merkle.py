@@ -75,7 +75,8 @@ def buckets(docs: DataFrame, n: int) -> Column:
     upto = F.lit(before)
     at = cell.cast("int")
     place = upto[at] + (past - cell) * (upto[at + 1] - upto[at])
-    return F.coalesce(F.floor(F.least(place, F.lit(float(rows - 1))) / max(rows / n, 1.0)), F.lit(-1)).cast("long")
+    bucket = F.floor(F.least(place, F.lit(float(rows - 1))) / max(rows / n, 1.0))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket).cast("long")  # least() passes over nulls
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from tessella.llm.common import column, materialise, shared_dir, slices
 
 BLOCK = 1 << 20
 SALTS = 8
+MAX_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, record long, offset long, length long, type string, record_id string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -159,7 +160,8 @@ def normalise(files: DataFrame) -> DataFrame:
                         at, n = at + len(member), n + 1
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f"{folder}/{name}"]), pa.array([f"{folder}/{name}.idx"]), pa.array([n])], names=["archive", "file", "index", "records"])
 
-    return materialise(files.select("file").repartition("file").mapInArrow(run, "archive string, file string, index string, records long"), "warc-members-manifest")
+    tasks = max(1, min(files.count(), MAX_TASKS))  # named, else Spark would merge these short rows into few tasks
+    return materialise(files.select("file").repartition(tasks, "file").mapInArrow(run, "archive string, file string, index string, records long"), "warc-members-manifest")
 
 
 def index_of(manifest: DataFrame) -> DataFrame:
@@ -199,5 +201,7 @@ def read(manifest: DataFrame, block: int = 512) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    placed = index_of(manifest).repartition("file", F.floor(F.col("record") / block)).sortWithinPartitions("file", "offset")
+    records = manifest.agg(F.sum("records")).first()[0] or 0
+    tasks = max(1, min(records // (4 * block), MAX_TASKS))
+    placed = index_of(manifest).repartition(tasks, "file", F.floor(F.col("record") / block)).sortWithinPartitions("file", "offset")
     return placed.select("file", "offset", "length").mapInArrow(run, RESULT)

@@ -30,6 +30,7 @@ from tessella.llm.common import column, encoder, materialise, shared_dir, slices
 
 MAGIC = b"RPSHARD1"
 BINS = 1 << 20
+MAX_TASKS = 50_000
 MANIFEST = "file string, task int, shard int, docs long, tokens long, symbols long, bytes long"
 
 
@@ -217,4 +218,5 @@ def read(manifest: DataFrame, docs_at_once: int = 256) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc_id, pa.array(start + cut[:-1]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 shard.close()
 
-    return starts(manifest).repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(manifest.count(), MAX_TASKS))  # named, else Spark would merge these short rows into few tasks
+    return starts(manifest).repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

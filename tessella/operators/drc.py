@@ -44,7 +44,7 @@ def bucketed(rects: DataFrame, size: int, margin: int = 0) -> DataFrame:
 
 
 def bucket_size(limit: int) -> int:
-    return max(8 * limit, 4096)
+    return max(8 * limit, 256)
 
 
 def width(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE) -> DataFrame:

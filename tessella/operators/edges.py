@@ -111,15 +111,16 @@ def space(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, metric: s
     there all edges of a group's two regions are compared."""
     e, f = polygon_edges(a, keys), polygon_edges(b, keys)
     d = METRICS[metric]("e", "f")
-    cond = same(keys, "e", "f")
+    cond, near = same(keys, "e", "f"), "true"
     if metric != "projection":
         size = bucket_size(limit)
         for name, lo, hi in (("bx", "x1", "x2"), ("by", "y1", "y2")):
             span = F.expr(f"explode(sequence(cast(floor((least({lo}, {hi}) - {limit}) / {size}) as bigint), cast(floor((greatest({lo}, {hi}) + {limit}) / {size}) as bigint)))")
             e, f = e.select("*", span.alias(name)), f.select("*", span.alias(name))
             cond = cond & F.expr(f"e.{name} = f.{name} and e.{name} = floor((greatest(least(e.{lo}, e.{hi}), least(f.{lo}, f.{hi})) - {limit}) / {size})")
-            cond = cond & F.expr(f"least(e.{lo}, e.{hi}) < greatest(f.{lo}, f.{hi}) + {limit} and least(f.{lo}, f.{hi}) < greatest(e.{lo}, e.{hi}) + {limit}")
-    return _pairs(e.alias("e").join(f.alias("f"), cond).where(f"{d} > 0 and {d} < {limit}"), keys)
+            near += f" and least(e.{lo}, e.{hi}) < greatest(f.{lo}, f.{hi}) + {limit} and least(f.{lo}, f.{hi}) < greatest(e.{lo}, e.{hi}) + {limit}"
+    # the case keeps the long distance expression from being tried on pairs that are far apart
+    return _pairs(e.alias("e").join(f.alias("f"), cond).where(f"case when {near} then {d} > 0 and {d} < {limit} else false end"), keys)
 
 
 def separation(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean") -> DataFrame:

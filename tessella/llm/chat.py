@@ -3,7 +3,8 @@
 Turns of a conversation stream through one task in order (conv_id, turn, role, text) with bounded memory: the system turn, a
 limited history and the open window. Running sums of turn tokens close a window before the turn that would pass the budget. Each
 later window starts with the system turn and the last turns of at most `history` tokens, repeated and outside the loss mask; then come
-new turns, one at least, even if it alone passes the budget. The mask covers the text of every new assistant turn, so each once.
+new turns. History gives way, oldest first, until a window's first two new turns fit, and the system turn until the first fits; so a window passes the
+budget only if it is one turn that alone does. The mask covers the text of every new assistant turn, so each once.
 
 Template: <|im_start|>role LF text <|im_end|> LF. Within texts and roles every `<|` becomes `<||`, so no control string remains; in roles
 a backslash and a line feed become `\\\\` and `\\n`. Both are undone on reading.
@@ -51,23 +52,36 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 2048,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, conv, rows = encoder(tokenizer), object(), []
-        system = recent = None
-        window = held = 0
-        parts: list[str] = []
-        spans: list[tuple[int, int]] = []
-        context = at = turns = 0
+        system: list[tuple[str, int]] = []  # each turn with its tokens
+        recent: deque[tuple[str, int]] = deque()
+        past: deque[tuple[str, int]] = deque()  # history of the open window
+        head: list[tuple[str, int]] = []  # its system turn
+        fresh: list[tuple[str, int, int, int]] = []  # its new turns, with the span of their loss
+        window = 0
+
+        def tokens(*lists) -> int:  # noqa: ANN002
+            return sum(x[1] for some in lists for x in some)
 
         def close() -> None:
-            nonlocal window, turns
-            if turns:
-                rows.append((conv, window, "".join(parts), context, turns, held, [{"start": a, "end": b} for a, b in spans]))
+            nonlocal window, head, past, fresh
+            if fresh:
+                before = [x for x, _ in (*head, *past)]
+                at, spans = sum(map(len, before)), []
+                for turn, _, a, b in fresh:
+                    if b >= 0:
+                        spans.append({"start": at + a, "end": at + b})
+                    at += len(turn)
+                rows.append((conv, window, "".join((*before, *(x[0] for x in fresh))), len(before), len(fresh), tokens(head, past, fresh), spans))
                 window += 1
-            turns = 0
+            head, past, fresh = list(system), deque(recent), []
 
-        def begin(repeated: list[tuple[str, int]]) -> None:
-            nonlocal parts, spans, context, at, held
-            parts, spans, context = [x for x, _ in repeated], [], len(repeated)
-            at, held = sum(len(x) for x, _ in repeated), sum(n for _, n in repeated)
+        def make_room(size: int) -> bool:
+            """Whether a turn fits, after as much of the history as it takes has gone."""
+            if tokens(head, fresh) + size > budget:
+                return False
+            while tokens(head, past, fresh) + size > budget:
+                past.popleft()
+            return True
 
         for batch in slices(batches):
             formed = []
@@ -76,23 +90,19 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 2048,
             whole = [f"{a}{b}{END}\n" for a, b, _ in formed]
             ends = encode.encode(pa.array(whole, pa.string()))[1]
             sizes = np.diff(ends, prepend=0).tolist()
-            for of, (head, text, role), turn, size in zip(column(batch, "conv_id").to_pylist(), formed, whole, sizes):
+            for of, (lead, text, role), turn, size in zip(column(batch, "conv_id").to_pylist(), formed, whole, sizes):
                 if of != conv:
                     close()
-                    conv, window, system, recent = of, 0, None, deque()
-                    begin([])
-                    if role == "system":
-                        system = (turn, size)
-                elif turns and held + size > budget:
+                    conv, window = of, 0
+                    system, recent, head, past = [(turn, size)] if role == "system" else [], deque(), [], deque()
+                elif tokens(head, past, fresh) + size > budget and not (len(fresh) == 1 and make_room(size)):
                     close()
-                    begin([*([system] if system else []), *recent])
-                if role == "assistant":
-                    spans.append((at + len(head), at + len(head) + len(text)))
-                parts.append(turn)
-                at, held, turns = at + len(turn), held + size, turns + 1
-                if system is None or turn is not system[0]:
+                    if not make_room(size):
+                        head, past = [], deque()
+                fresh.append((turn, size, len(lead), len(lead) + len(text) if role == "assistant" else -1))
+                if not system or turn is not system[0][0]:
                     recent.append((turn, size))
-                    while sum(n for _, n in recent) > history:
+                    while tokens(recent) > history:
                         recent.popleft()
             if len(rows) >= 256:
                 yield batch_of(rows)

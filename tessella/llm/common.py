@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+HOT_ROWS = 1000  # a key with fewer rows is never split
 SLICE_BYTES = 1 << 20  # text that a numpy step holds at a time, but for one longer document
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; a cluster must name one that all its machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
@@ -36,10 +44,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_each(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of many, a written table, with one, which has a row a key, where a key may hold most rows of many.
+
+    Keys with more than a 10,000th of the rows of many, of which there can be no more than 10,000, are joined by broadcast; no other key is large.
+    """
+    counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(HOT_ROWS, (rows or 0) // 10_000)
+    if (most or 0) <= limit:
+        return many.join(one, keys)
+    hot = counts.where(F.col("_n") > limit).drop("_n").join(one, keys)
+    return many.join(F.broadcast(hot), keys).unionByName(many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one, keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it, in any case of letters."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # ---- Arrow text -----------------------------------------------------------------------------------------------
 
 
@@ -105,23 +135,6 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n + 1:
-        size = max(n + 1, SLICE_BYTES + 1)
-        made = []
-        for base in (_BASE, _INVERSE):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.cumprod(x, dtype=np.uint64))
-        if size > 8 * SLICE_BYTES:
-            return made[0], made[1]
-        _powers[:] = made
-    return _powers[0], _powers[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -133,19 +146,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
+LANES = 8  # of eight bytes; longer spans are hashed one by one
+
+
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as numbers; behind the end are zeros."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate((raw, np.zeros(8, np.uint8))), 0, (1,))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, alike in every process: a polynomial of the bytes by prefix sums, then mixed."""
-    out = np.empty(len(starts), np.uint64)
-    first = 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE_BYTES, "right")))
-        lo, hi = int(starts[first]), int(ends[last - 1])
-        power, inverse = _power_tables(hi - lo)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[raw[lo:hi]] * power[: hi - lo], out=total[1:])
-        s, e = starts[first:last] - lo, ends[first:last] - lo
-        out[first:last] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
-        first = last
+    """A 64-bit hash of each span of bytes, alike in every process: eight bytes after the other, each mixed into the state."""
+    size = ends - starts
+    words = lanes(raw)
+    out = mix((words[starts] & _LOW[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * U64(_BASE)))
+    deep = np.flatnonzero(size > 8)
+    for k in range(1, LANES):
+        if not len(deep):
+            break
+        at = starts[deep] + 8 * k
+        out[deep] = mix(out[deep] * U64(_BASE) ^ words[at] & _LOW[np.minimum(ends[deep] - at, 8)])
+        deep = deep[size[deep] > 8 * (k + 1)]
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
@@ -167,92 +190,156 @@ def list_array(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Ar
 
 # ---- tokens ---------------------------------------------------------------------------------------------------
 
+#: Characters by which a byte-level BPE writes bytes: itself if printable in Latin-1, else the next from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ALPHABET = {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_SPACE = chr(_ALPHABET[0x20])
+
+
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    """Membership of bytes in ranges, both ends included."""
+    out = np.zeros(256, bool)
+    for lo, hi in ranges:
+        out[lo : hi + 1] = True
+    return out
+
+
 class TokenEncoder:
-    """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
+    """Ids of whole texts, exactly as `Tokenizer.encode(text, add_special_tokens=False)` gives them, each frequent piece encoded once.
 
-    A byte-level BPE never merges across the cuts used here: before a space that a visible character follows, and between
-    a letter and a punctuation mark. Strings of special tokens in a text are ordinary text. Pieces are known by a 64-bit
-    hash; the cache is emptied at `most` pieces.
+    A byte-level BPE never merges across the cuts used here: before a space that a visible character follows, between a letter and a
+    punctuation mark, and around a lone line feed. A text with the string of an added token (such as an end mark) is encoded whole, and so
+    is every text of a tokenizer of another kind. Pieces of at most 16 bytes have a place of 32 bytes in a table of fixed size, with their
+    bytes and ids: a piece is known only if its bytes are equal, and a new piece takes the place of an old one.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, bits: int = 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.ends = [np.zeros(0, np.uint32)], np.zeros(1, np.int64)
-
-    #: Bytes after which, or before which, a text is cut.
-    _VISIBLE = np.zeros(256, bool)
-    _VISIBLE[0x21:0x7F] = True
-    _LETTER = np.zeros(256, bool)
-    _LETTER[0x61:0x7B] = True
-    _MARK = np.zeros(256, bool)
-    _MARK[[ord(x) for x in ".,;:!?"]] = True
-
-    def _cuts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where pieces start: at each row, before a space followed by a visible ASCII or Latin letter, between a letter and a mark."""
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.word = self.tokenizer.model.tokenize
+        pre = form.get("pre_tokenizer") or {}
+        self.cuttable = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and form.get("normalizer") is None
+        self.added = [x["content"] for x in form.get("added_tokens", [])]
+        self.shift = U64(64 - bits)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.inline = 16 // self.kind.itemsize - 1  # ids that a place holds; behind them are the piece's length and its number of ids
+        self.table = np.zeros((1 << bits, 4), "<u8")
+
+    #: What a byte may be: 1 a space, 2 the first byte of a character that isn't white space (whole blocks of those), 4 a letter, 8 a mark, 16 a line feed, 32 visible.
+    _KIND = sum(x * _bytes(*r).astype(np.uint8) for x, r in ((1, [(0x20, 0x20)]), (2, [(0x21, 0x7E), (0xC3, 0xDF), (0xE4, 0xF4)]), (4, [(0x41, 0x5A), (0x61, 0x7A)]), (8, [(0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)]), (16, [(0x0A, 0x0A)]), (32, [(0x21, 0x7E)])))
+
+    def _cuts(self, raw: np.ndarray, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Where pieces start, and the end. Rows in `whole` aren't cut."""
         n = len(raw)
-        cut = np.zeros(n + 1, bool)
-        nxt, nxt2 = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-        nxt[:-1], nxt2[:-2] = raw[1:], raw[2:]
-        latin = (nxt >= 0xC4) & (nxt <= 0xC8) | (nxt == 0xC3) & (nxt2 != 0x97) & (nxt2 != 0xB7)
-        cut[:-1] = (raw == 0x20) & (self._VISIBLE[nxt] | latin)
-        ascii_end = self._LETTER[raw[:-1]]
-        accent = np.zeros(max(n - 1, 0), bool)  # à-ÿ but for the division sign
-        if n > 1:
-            accent[1:] = (raw[:-2] == 0xC3) & (raw[1:-1] >= 0xA0) & (raw[1:-1] != 0xB7)
-        cut[1:n] |= (ascii_end | accent) & self._MARK[raw[1:]]
-        cut[at] = True
-        cut[n] = True
-        return np.flatnonzero(cut)
+        kind = self._KIND[raw]
+        accent = np.flatnonzero(raw[:-1] == 0xC3) + 1  # À to ÿ but for the signs of multiplication and division
+        kind[accent[(raw[accent] != 0x97) & (raw[accent] != 0xB7)]] |= 4
+        left, right = kind[:-1], kind[1:]
+        cut = np.zeros(n + 1, np.uint8)
+        cut[: n - 1] = left & (right >> 1)
+        cut[1:n] |= (left >> 2) & (right >> 3)
+        feed = np.flatnonzero(right & 16) + 1
+        feed = feed[(kind[feed - 1] & 36) > 0]
+        cut[feed] = 1
+        feed = feed[feed < n - 1]
+        cut[feed[(kind[feed + 1] & 2) > 0] + 1] = 1
+        for row in whole.tolist():
+            cut[at[row] : at[row + 1]] = 0
+        cut[at] = 1
+        return np.flatnonzero(cut & 1)
+
+    def _encoded(self, blob: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces by the library, where each piece's start, and how many it has. A piece of letters is one word to the model, which takes it without the steps before."""
+        flat: list[int] = []
+        sizes: list[int] = []
+        words: list[int] = []
+        rest: list[str] = []
+        others: list[int] = []
+        word = self.word
+        for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
+            part = blob[s:e]
+            text = part.decode()
+            led = text[0] == " "
+            if self.cuttable and e - s < 64 and (text[1:] if led else text).isalpha():
+                if e - s > len(text):
+                    text = part.decode("latin-1").translate(_ALPHABET)
+                elif led:
+                    text = _SPACE + text[1:]
+                got = [x.id for x in word(text)]
+                flat += got
+                sizes.append(len(got))
+                words.append(i)
+            else:
+                rest.append(text)
+                others.append(i)
+        for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
+            got = x.ids
+            flat += got
+            sizes.append(len(got))
+        order = np.array(words + others, np.int64)
+        first, size, made = np.empty(len(order), np.int64), np.empty(len(order), np.int64), np.array(sizes, np.int64)
+        first[order], size[order] = np.cumsum(made) - made, made
+        return np.array(flat, np.uint32), first, size
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column, and the end of each row's ids."""
         raw, at = text_bytes(col)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
-        edge = self._cuts(raw, at)
-        starts, ends = edge[:-1], edge[1:]
-        keys, which = np.unique(span_hashes(raw, starts, ends), return_inverse=True)
-        if len(self.keys) + len(keys) > self.most:
-            self.clear()
-        at_key = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at_key < len(self.keys)
-        known[inside] = self.keys[at_key[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            one = np.zeros(len(keys), np.int64)
-            one[which] = np.arange(len(which))
-            blob = raw.tobytes()
-            texts = [blob[s:e].decode() for s, e in zip(starts[one[new]].tolist(), ends[one[new]].tolist())]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-            before = len(self.ends) - 1
-            self.ids.append(flat)
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
-            order = np.argsort(keys_all := np.concatenate((self.keys, keys[new])), kind="stable")
-            self.keys, self.place = keys_all[order], np.concatenate((self.place, before + np.arange(len(new))))[order]
-            at_key = np.searchsorted(self.keys, keys)
-            if len(self.ids) > 16:
-                self.ids = [np.concatenate(self.ids)]
-        store = self.ids[0] if len(self.ids) == 1 else np.concatenate(self.ids)
-        if len(self.ids) > 1:
-            self.ids = [store]
-        piece = self.place[at_key][which]
-        lo, hi = self.ends[piece], self.ends[piece + 1]
-        size = hi - lo
-        total = np.concatenate(([0], np.cumsum(size)))
-        index = np.arange(total[-1]) + np.repeat(lo - total[:-1], size)
-        return store[index], total[np.searchsorted(edge, at[1:])]
+        if self.cuttable:
+            whole = np.zeros(len(col), bool)
+            for x in self.added:
+                whole |= pc.fill_null(pc.match_substring(col, x), False).to_numpy(zero_copy_only=False)
+            whole = np.flatnonzero(whole)
+        else:
+            whole = np.arange(len(col))
+        edge = self._cuts(raw, at, whole)
+        starts, size = edge[:-1], np.diff(edge)
+        words = lanes(raw)
+        low = words[starts] & _LOW[np.minimum(size, 8)]
+        high = words[np.minimum(starts + 8, len(raw))] & _LOW[np.clip(size - 8, 0, 8)]
+        slot = (mix(low ^ (high * U64(_BASE))) >> self.shift).astype(np.int64)
+        place = self.table.take(slot, axis=0)
+        cells = place.view(self.kind)
+        known = (place[:, 0] == low) & (place[:, 1] == high) & (cells[:, -1] >> 3 == size)
+        counts = (cells[:, -1] & 7).astype(np.int64)
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            # short pieces are told apart by their bytes, long ones are encoded one by one
+            long = size[missing] > 16
+            some, long = missing[~long], missing[long]
+            order = some[np.lexsort((size[some], high[some], low[some]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]) | (size[order][1:] != size[order][:-1])
+            unique = np.concatenate((order[new], long))
+            ids, first, sizes = self._encoded(raw.tobytes(), edge[unique], edge[unique + 1])
+            of = np.empty(len(starts), np.int64)
+            of[order], of[long] = np.cumsum(new) - 1, np.arange(len(unique) - len(long), len(unique))
+            counts[missing] = sizes[of[missing]]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        out = np.empty(int(total[-1]), np.uint32)
+        inline = np.arange(self.inline)
+        found = cells[:, -1 - self.inline : -1][(inline < counts[:, None]) & known[:, None]]
+        if not len(missing):
+            out[:] = found
+        else:
+            fresh = np.repeat(~known, counts)
+            out[~fresh] = found
+            n = counts[missing]
+            out[fresh] = ids[np.repeat(first[of[missing]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            keep = np.flatnonzero((sizes <= self.inline) & (size[unique] <= 16))
+            fill = np.zeros((len(keep), 4), "<u8")
+            fill[:, 0], fill[:, 1] = low[unique[keep]], high[unique[keep]]
+            cells = fill.view(self.kind)
+            cells[:, -1] = size[unique[keep]] * 8 + sizes[keep]
+            inside = inline < sizes[keep][:, None]
+            cells[:, -1 - self.inline : -1][inside] = ids[(first[keep][:, None] + inline)[inside]]
+            self.table[slot[unique[keep]]] = fill
+        return out, total[np.searchsorted(edge, at[1:])]
 
 
 @cache

@@ -1,21 +1,25 @@
 """N-gram Jaccard join with several global token orders: exact links and components of near copies.
 
 A document's set holds the hashes of its distinct `k`-word shingles (all words as one, if fewer). Two documents link when their sets'
-Jaccard similarity is at least `percent` / 100. Linked sets share a token among the first s - ceil(percent * s / 100) + 1 of each, in every global order. All
-orders put frequent tokens last: frequency classes come from a fixed-size table of counts over all documents, and within a class each order
-has its own hash.
-
-1. A scan makes the set sizes and digests of all documents and the table of counts.
-2. A scan emits each document's prefix under the first order; rows meet by token. The smallest document of a token is its pivot, and only
-   pairs of a document and its pivot are candidates, so a group of any size gives rows in proportion. Exact copies are one
-   class by digest and need no check.
-3. The tokens that both prefixes of a candidate hold bound its overlap. Those that may still link go to their pivot's task (large pivots are
-   split) with their sets; the prefixes of every other order must meet too before the sets are compared in full.
-4. Components of the found links join most groups whole. Tokens whose documents still lie in several components give the pairs across components,
-   bounded the same way, less those checked before; these are verified alike. No link between different components is lost, so
-   components are exact.
-
-A null or empty text, or one without words, has no set and no link. Rows that repeat a doc_id are one node with the links of each; a null
+Jaccard similarity is at least `percent` / 100. Linked sets share a token among the first s - ceil(percent * s / 100) + 1 of each, in every global order.
+Two orders put frequent tokens last (classes from a fixed-size table of counts over all documents, and within a class a hash of the order's
+own); one is a plain hash order, known before the counts are.
+
+Equal sets are one class, known by a 128-bit digest; candidates, prefixes and checks are of classes, and only components are of doc_ids.
+
+1. A scan makes size, digest and prefix under the plain order of every document's set, and the table of counts, added up in rounds of FAN tables.
+2. A scan emits the prefix of each class under the first order; rows meet by token, tokens of very full counters in several
+   parts. The class of a token's (or part's) smallest doc_id is its pivot, as a first document is often what others were copied from. Only pairs of a
+   class and its pivot are candidates, so a group of any size gives rows in proportion.
+3. A candidate's shared tokens in the prefixes of the first order, and then in those of the plain order, bound its overlap. Only sets of
+   candidates that both orders let pass travel to their pivot (large pivots are split); there the last order must meet too before sets are compared.
+4. Components of the found links join most groups whole. Tokens whose classes still lie in several components give the pairs across components that
+   sizes and places in the order allow. Pairs are bounded by both orders, less those checked before, and verified alike. No link between different
+   components is lost, so components are exact.
+
+Keys that may be frequent (a class of copies, a pivot, a label) are joined by `join_each`, which spreads them.
+
+A null or empty text, or one without words, has no set and no link of its own. Rows that repeat a doc_id are one node with the links of each; a null
 doc_id has no link and a null component. An empty table gives no rows. Only doc_id and text are read; `representatives` keeps the other columns.
 """
 
@@ -26,21 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import LOWER, column, list_array, materialise, mix, run_hashes, slices, span_hashes, text_bytes, word_spans
+from tessella.llm.common import LOWER, column, free_name, join_each, list_array, materialise, mix, run_hashes, slices, span_hashes, text_bytes, word_spans
 
 WORDS, PERCENT = 5, 80
 BITS, CHUNKS = 23, 64  # of the table of counts: 8 MB of classes, whatever the input
+FAN = 64  # tables added up at a time, of at most half a megabyte each
 MEMBER_BITS = 26  # of the bitmap of documents that a join needs: 8 MB at most
-ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
-SPLIT = 256  # candidates of a pivot that one task takes
-FACTS = "doc_id long, size int, one long, two long, chunk int, counts binary"
-PREFIX = "token long, doc_id long, size int, at int"
-GROUPED = "token long, doc_id long, size int, at int, pivot long, pivot_size int"
-SETS = "pivot long, part int, doc_id long, tokens array<long>"
-LINKS = "a long, b long"
+ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)  # first, plain, last
+SPLIT = 256  # candidates of a pivot that one task takes; for very large pivots the root of their number
+FULL = 1 << 16  # rows of a token counter beyond which its tokens meet in parts
+FACTS = "doc_id long, th long, size int, one long, two long, plain array<int>, task int, chunk int, counts binary"
+PREFIX = "token long, part int, doc_id long, one long, two long, size int, at int"
+GROUPED = "token long, part int, doc_id long, one long, two long, size int, at int, p_doc long, p_one long, p_two long, p_size int, split boolean"
+SETS = "p_one long, p_two long, part int, one long, two long, tokens array<long>"
+LINKS = "a_one long, a_two long, b_one long, b_two long"
+NODE, A, B = ["one", "two"], ["a_one", "a_two"], ["b_one", "b_two"]
 
 
 # ---- sets -----------------------------------------------------------------------------------------------------
@@ -73,6 +81,14 @@ def sets(col: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return token, np.searchsorted(row, np.arange(len(col)), "right")
 
 
+def digests(token: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set, 0 of an empty one."""
+    at = np.concatenate(([0], end))
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(token ^ np.uint64(x)))))[at] for x in ORDERS[:2]]
+    one, two = ((x[1:] - x[:-1]).view(np.int64) for x in sums)
+    return one, two
+
+
 def rank_keys(token: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     """Keys by which a global order sorts tokens: frequency class, then a hash."""
     return (classes[token >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(58)) | (mix(token ^ np.uint64(order)) >> np.uint64(6))
@@ -82,72 +98,119 @@ def prefix_size(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return size - (percent * size + 99) // 100 + (size > 0)
 
 
+def _heads(token: np.ndarray, key: np.ndarray, end: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's prefix under the order of key: tokens, their rows, and their places in the order."""
+    size = np.diff(end, prepend=0)
+    row = np.repeat(np.arange(len(end)), size)
+    order = np.lexsort((key, row))
+    at = np.arange(len(token)) - (end - size)[row]
+    keep = at < prefix_size(size, percent)[row]
+    return token[order][keep], row[keep], at[keep]
+
+
 # ---- scans ----------------------------------------------------------------------------------------------------
 
 
-def facts(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """Size and digest of every document's set, and each task's table of token counts in chunks."""
+def facts(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Size, digest and plain prefix (halves of the hashes) of every document's set, and each task's table of token counts in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "size", "one", "two", "chunk", "counts"]
+        names = ["doc_id", "th", "size", "one", "two", "plain", "task", "chunk", "counts"]
         seen = np.zeros(1 << BITS, np.uint32)
         for batch in slices(batches):
             token, end = sets(column(batch, "text"), k)
             np.add.at(seen, token >> np.uint64(64 - BITS), np.uint32(1))
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(token ^ np.uint64(x)))))[np.concatenate(([0], end))] for x in ORDERS[:2]]
-            one, two = ((x[1:] - x[:-1]).view(np.int64) for x in sums)
+            one, two = digests(token, end)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(np.diff(end, prepend=0).astype(np.int32)), pa.array(one), pa.array(two), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            key = mix(token ^ np.uint64(ORDERS[1]))
+            least, row, _ = _heads(key, key, end, percent)
+            plain = list_array((least >> np.uint64(32)).astype(np.uint32).view(np.int32), np.searchsorted(row, np.arange(n), "right"), pa.int32())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "th"), pa.array(np.diff(end, prepend=0).astype(np.int32)), pa.array(one), pa.array(two), plain, *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary()))], names=names)
         if seen.any():
             blobs = [zlib.compress(x.tobytes(), 1) for x in seen.reshape(CHUNKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())] + [pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            empty = [pa.nulls(CHUNKS, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([TaskContext.get().partitionId()] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+
+    return materialise(_hashed(docs).mapInArrow(run, FACTS), "jaccard-facts")
 
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, FACTS), "jaccard-facts")
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 def _added(tables: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), "<u8" if wide else "<u4").astype(np.uint64) for x, wide in zip(tables["counts"].to_pylist(), tables["wide"].to_pylist()))
-    return pa.table({"chunk": pa.array([tables["chunk"][0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.astype("<u8").tobytes(), 1)], pa.binary()), "wide": [True]})
+    total = np.zeros((1 << BITS) // CHUNKS, np.uint64)
+    for x in tables["counts"].to_pylist():
+        part = zlib.decompress(x)
+        total += np.frombuffer(part, "<u8" if len(part) == 8 * len(total) else "<u4")
+    return pa.table({"chunk": pa.array([tables["chunk"][0].as_py()], pa.int32()), "task": pa.array([tables["task"][0].as_py() // FAN], pa.int32()), "counts": pa.array([zlib.compress(total.astype("<u8").tobytes(), 1)], pa.binary())})
 
 
-def frequency_classes(found: DataFrame) -> np.ndarray:
-    """A class for each bucket of tokens: 0 within the noise of the mean, above it two with every doubling. Summed in two steps."""
-    kind = "chunk int, counts binary, wide boolean"
-    part = F.pmod(F.xxhash64("counts"), F.lit(64))
-    tables = found.where("chunk is not null").select("chunk", "counts", F.lit(False).alias("wide"))
-    some = tables.groupBy("chunk", part).applyInArrow(lambda t: _added(t), kind)
+def token_counts(found: DataFrame) -> np.ndarray:
+    """Rows of every bucket of tokens over all documents. Tables are added in rounds of FAN, so that no task holds many."""
+    tables = found.where("chunk is not null").select("chunk", "task", "counts")
+    tasks = (tables.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        tables = tables.groupBy("chunk", F.floor(F.col("task") / FAN)).applyInArrow(_added, "chunk int, task int, counts binary")
+        tasks = -(-tasks // FAN)
+        if tasks == 1:
+            break
     total = np.zeros(1 << BITS, np.uint64)
-    for r in some.groupBy("chunk").applyInArrow(lambda t: _added(t), kind).collect():
+    for r in tables.collect():
         x = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
         total[r["chunk"] * len(x) : (r["chunk"] + 1) * len(x)] = x
+    return total
+
+
+def frequency_classes(total: np.ndarray) -> np.ndarray:
+    """A class for each bucket of tokens: 0 within the noise of the mean, above it two with every doubling."""
     floor = total.mean() + 3 * np.sqrt(total.mean()) + 3
     return np.where(total <= floor, 0, np.ceil(2 * np.log2(np.maximum(total, 1) / floor))).clip(0, 63).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, classes, k: int = WORDS, percent: int = PERCENT) -> DataFrame:  # noqa: ANN001
-    """Every document's prefix under the first order: token, doc_id, size, place in the order."""
+def parts_of(total: np.ndarray) -> np.ndarray:
+    """The logarithm of the number of parts in which the tokens of each bucket meet."""
+    return np.ceil(np.log2(np.maximum(total / FULL, 1))).clip(0, 30).astype(np.uint8)
+
+
+def prefixes(docs: DataFrame, classes, parts, k: int = WORDS, percent: int = PERCENT) -> DataFrame:  # noqa: ANN001
+    """The prefix under the first order of every class that a task has, once a task: token, part, doc_id, digest, size, place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[tuple[int, int]] = set()  # the digests of this task's documents
         for batch in slices(batches):
             token, end = sets(column(batch, "text"), k)
+            one, two = digests(token, end)
             size = np.diff(end, prepend=0)
-            row = np.repeat(np.arange(len(end)), size)
-            order = np.lexsort((rank_keys(token, classes.value, ORDERS[0]), row))
-            at = np.arange(len(token)) - (end - size)[row]
-            keep = at < prefix_size(size, percent)[row]
-            row, at = row[keep], at[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token[order][keep].view(np.int64)), column(batch, "doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "doc_id", "size", "at"])
+            new = np.zeros(len(size), bool)
+            for i, key in enumerate(zip(one.tolist(), two.tolist())):
+                if size[i] and key not in had:
+                    had.add(key)
+                    new[i] = True
+            doc_id = column(batch, "doc_id").to_numpy(zero_copy_only=False)[new]
+            token, size = token[np.repeat(new, size)], size[new]
+            one, two, end = one[new], two[new], np.cumsum(size)
+            if not len(token):
+                continue
+            token, row, at = _heads(token, rank_keys(token, classes.value, ORDERS[0]), end, percent)
+            part = mix(one[row].view(np.uint64)) & ((np.uint64(1) << parts.value[token >> np.uint64(64 - BITS)].astype(np.uint64)) - np.uint64(1))
+            out = (token.view(np.int64), part.astype(np.int32), doc_id[row], one[row], two[row], size[row].astype(np.int32), at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "part", "doc_id", "one", "two", "size", "at"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, PREFIX)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREFIX)
 
 
-def grouped(prefix: DataFrame) -> DataFrame:
-    """The prefix rows of tokens that two documents have, each with the token's pivot, its smallest document. A stream over sorted rows."""
+def grouped(prefix: DataFrame, parts) -> DataFrame:  # noqa: ANN001
+    """The prefix rows of tokens that two rows have (and all of tokens in parts), with the class of the token's or part's smallest doc_id. A stream over sorted rows.
+
+    A class that several tasks had has several rows of a token; what follows counts a pair's tokens too high then, never too low.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "doc_id", "size", "at"]
-        first: np.ndarray | None = None  # of the token that is open
-        alone = True
+        names = ["token", "part", "doc_id", "one", "two", "size", "at"]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        first: np.ndarray | None = None  # row of the token that is open
+        sent = False  # whether it went out
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -155,25 +218,25 @@ def grouped(prefix: DataFrame) -> DataFrame:
             if first is not None:
                 rows = np.concatenate((first[:, None], rows), axis=1)
             new = np.ones(rows.shape[1], bool)
-            new[1:] = rows[0][1:] != rows[0][:-1]
+            new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
             head = np.flatnonzero(new)
             n = np.diff(head, append=len(new))
             group = np.repeat(np.arange(len(head)), n)
-            keep = n[group] > 1
-            if first is not None and not alone:
-                keep[0] = False  # went out with an earlier batch
-                keep[1 : n[0]] = True
+            split = parts.value[rows[0].view(np.uint64) >> np.uint64(64 - BITS)] > 0
+            keep = (n[group] > 1) | split
+            if first is not None and sent:
+                keep[0], keep[1 : n[0]] = False, True
             pivot = rows[:, head[group]]
-            alone = n[-1] == 1 and (len(head) > 1 or first is None or alone)
+            sent = bool(keep[head[-1]]) or (len(head) == 1 and first is not None and sent)
             first = rows[:, head[-1]].copy()
             if keep.any():
-                out = [*(x[keep] for x in rows), *(x[keep] for x in pivot[1:3])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=[*names, "pivot", "pivot_size"])
+                out = [*(x[keep] for x in rows), *(x[keep] for x in pivot[2:6]), split[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=[*names, "p_doc", "p_one", "p_two", "p_size", "split"])
 
-    return materialise(prefix.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(run, GROUPED), "jaccard-grouped")
+    return materialise(prefix.repartition("token", "part").sortWithinPartitions("token", "part", "doc_id").mapInArrow(run, GROUPED), "jaccard-grouped")
 
 
-# ---- verification ---------------------------------------------------------------------------------------------
+# ---- candidates -----------------------------------------------------------------------------------------------
 
 
 def _bound(n: str, percent: int) -> str:
@@ -182,105 +245,121 @@ def _bound(n: str, percent: int) -> str:
     return f"{100 + percent} * ({n} + {beyond}) >= {percent} * (a_size + b_size)"
 
 
-def _counted(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, a_size, b, b_size), a row for each token in both prefixes, that may link."""
-    found = pairs.where(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)").groupBy("a", "a_size", "b", "b_size").agg(F.count("*").alias("n"))
-    return found.where(_bound("n", percent)).select("a", "b").distinct()
+def _alike(percent: int, a: str = "a_size", b: str = "b_size") -> str:
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+
+def _stars(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a class (b) and the pivot (a) of a token that they share, by the tokens shared; pivots of a token's parts meet its first pivot."""
+    rows = groups.select("token", *(F.col(x).alias(y) for x, y in (("p_one", "a_one"), ("p_two", "a_two"), ("p_size", "a_size"), ("one", "b_one"), ("two", "b_two"), ("size", "b_size"))))
+    pivots = groups.where("split and one = p_one and two = p_two").select("token", F.struct("p_doc", "p_one", "p_two", "p_size").alias("p")).distinct()
+    least = pivots.groupBy("token").agg(F.min("p").alias("q"))
+    rows = rows.unionByName(pivots.join(least, "token").select("token", *(F.col(f"{s}.p_{x}").alias(f"{t}_{x}") for s, t in (("q", "a"), ("p", "b")) for x in ("one", "two", "size"))))
+    rows = rows.where("a_one <> b_one or a_two <> b_two").where(_alike(percent))
+    counted = rows.groupBy(*A, "a_size", *B, "b_size").agg(F.count("*").alias("n"))
+    return counted.where(_bound("n", percent)).select(*A, "a_size", *B, "b_size")
+
+
+def _second(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the plain order lets pass too."""
+    plain = classes.select(*NODE, "plain")
+    pairs = join_each(pairs, plain.toDF(*A, "a_plain"), A).join(plain.toDF(*B, "b_plain"), B)
+    return pairs.where(_bound("size(array_intersect(a_plain, b_plain)) + (size(a_plain) - size(array_distinct(a_plain)))", percent)).select(*A, *B)
 
 
 def _across(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different labels that may link: by size and by position at their first shared token, then by shared prefix tokens."""
-    size = f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
+    """Pairs of classes of different labels that share a token and may link: by size, by position at a shared token, then by shared prefix tokens."""
     position = f"{100 + percent} * least(x.size - x.at, y.size - y.at) >= {percent} * (x.size + y.size)"
-    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.token = y.token and x.doc_id < y.doc_id and x.label <> y.label and {size} and {position}"))
-    pairs = met.select(F.col("x.doc_id").alias("a"), F.col("x.size").alias("a_size"), F.col("y.doc_id").alias("b"), F.col("y.size").alias("b_size")).distinct()
-    held = open_.groupBy("doc_id").agg(F.collect_set("token").alias("held"))
-    for x in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("doc_id").alias(x), F.col("held").alias(f"{x}_held")), x)
-    return pairs.where(_bound("size(array_intersect(a_held, b_held))", percent)).select("a", "b").distinct()
+    may = f"(x.one < y.one or x.one = y.one and x.two < y.two) and x.label <> y.label and {_alike(percent, 'x.size', 'y.size')} and {position}"
+    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.token = y.token and {may}"))
+    pairs = met.select(*(F.col(f"{s}.{x}").alias(f"{t}_{x}") for s, t in (("x", "a"), ("y", "b")) for x in ("one", "two", "size"))).distinct()
+    held = open_.groupBy(*NODE).agg(F.collect_set("token").alias("held"))
+    pairs = pairs.join(held.toDF(*A, "a_held"), A).join(held.toDF(*B, "b_held"), B)
+    return pairs.where(_bound("size(array_intersect(a_held, b_held))", percent)).drop("a_held", "b_held")
+
+
+# ---- verification ---------------------------------------------------------------------------------------------
 
 
-def _member(col: str) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(1 << MEMBER_BITS))
+def _member(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << MEMBER_BITS))
 
 
-def _only(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be among those of needed, by a broadcast bitmap of fixed size: a join after it shuffles few others."""
-    nth = _member("doc_id") + 1  # the bitmap functions number values from 1
+def _only(docs: DataFrame, needed: DataFrame, *keys: str) -> DataFrame:
+    """The rows of docs whose keys may be among those of needed, by a broadcast bitmap of fixed size: a join after it shuffles few others."""
+    nth = _member(*keys) + 1  # the bitmap functions number values from 1
     maps = needed.groupBy(F.bitmap_bucket_number(nth).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(nth)).alias("_bits"))
     placed = docs.withColumns({"_bucket": F.bitmap_bucket_number(nth), "_at": F.bitmap_bit_position(nth).cast("int")}).join(F.broadcast(maps), "_bucket")
     byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
     return placed.where(F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)) % 2 == 1).select(*docs.columns)
 
 
-def _parts(pairs: DataFrame) -> DataFrame:
-    """doc_id and the (pivot, part) places its set must go to. Pivots with many candidates are split, their own set copied to each part."""
-    counted = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / SPLIT).cast("int"))
-    spread = pairs.join(counted, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    own = counted.select(F.col("a").alias("doc_id"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return spread.unionByName(own).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "part")).alias("places"))
+def _places(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id and th of a document of each class in pairs, with the (pivot, part) places its set must go to. Large pivots are split, their own set copied to each part."""
+    counted = pairs.groupBy(*A).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / F.greatest(F.lit(SPLIT), F.sqrt("n"))).cast("int")).drop("n")
+    spread = join_each(pairs, counted, A).select(F.col("b_one").alias("one"), F.col("b_two").alias("two"), F.struct(F.col("a_one").alias("p_one"), F.col("a_two").alias("p_two"), F.pmod(F.xxhash64(*B), F.col("parts")).cast("int").alias("part")).alias("to"))
+    own = counted.select(F.col("a_one").alias("one"), F.col("a_two").alias("two"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.col("a_one").alias("p_one"), F.col("a_two").alias("p_two"), p.alias("part")))).alias("to"))
+    listed = spread.unionByName(own).groupBy(*NODE).agg(F.collect_list("to").alias("places"))
+    return listed.join(classes.select(*NODE, "rep", "th"), NODE).select(F.col("rep").alias("doc_id"), "th", *NODE, "places")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, classes, k: int = WORDS, percent: int = PERCENT) -> DataFrame:  # noqa: ANN001
-    """The pairs (a, b) that link: sets meet at a, other orders' prefixes are intersected, then the sets."""
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, frequency, k: int = WORDS, percent: int = PERCENT) -> DataFrame:  # noqa: ANN001
+    """The pairs that link: sets meet at a, the last order's prefixes are intersected, then the sets."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             token, end = sets(column(batch, "text"), k)
-            places = column(batch, "places").to_pylist()
             start = np.concatenate(([0], end[:-1]))
+            places = column(batch, "places").to_pylist()
+            one, two = (x.tolist() for x in digests(token, end))
+            right = [a == x and b == y for a, b, x, y in zip(one, two, column(batch, "one").to_pylist(), column(batch, "two").to_pylist())]
             for lo in range(0, len(places), 64):
-                rows = [(p["pivot"], p["part"], i) for i in range(lo, min(lo + 64, len(places))) for p in places[i]]
+                rows = [(p["p_one"], p["p_two"], p["part"], i) for i in range(lo, min(lo + 64, len(places))) if right[i] for p in places[i]]
                 for some in (rows[j : j + 512] for j in range(0, len(rows), 512)):
-                    pivot, part, row = zip(*some)
+                    *to, row = zip(*some)
                     flat = np.concatenate([token[start[i] : end[i]] for i in row]).view(np.int64)
                     tokens = list_array(flat, np.cumsum([end[i] - start[i] for i in row]), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(pivot, pa.int64()), pa.array(part, pa.int32()), column(batch, "doc_id").cast(pa.int64()).take(pa.array(row)), tokens], names=["pivot", "part", "doc_id", "tokens"])
+                    own = [pa.array([x[i] for i in row], pa.int64()) for x in (one, two)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(to, (pa.int64(), pa.int64(), pa.int32()))), *own, tokens], names=["p_one", "p_two", "part", "one", "two", "tokens"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = classes.value
+        table = frequency.value
 
-        def heads(x: np.ndarray) -> list[np.ndarray]:
+        def head(x: np.ndarray) -> np.ndarray:
             n = int(prefix_size(np.array(len(x)), percent))
-            return [np.sort(np.partition(rank_keys(x, table, o), n - 1)[:n]) for o in ORDERS[1:]]
+            return np.sort(np.partition(rank_keys(x, table, ORDERS[2]), n - 1)[:n])
 
         def meet(a: np.ndarray, b: np.ndarray) -> int:
             at = np.searchsorted(a, b)
             return int((a[np.minimum(at, len(a) - 1)] == b).sum())
 
-        of, own = None, []
+        of = own = None
         for batch in batches:
             links = []
             values = column(batch, "tokens")
             flat, ends = values.values.to_numpy(zero_copy_only=False).view(np.uint64), values.offsets.to_numpy()
-            for i, (pivot, part, doc_id) in enumerate(zip(*(column(batch, x).to_pylist() for x in ("pivot", "part", "doc_id")))):
+            for i, (p_one, p_two, part, one, two) in enumerate(zip(*(column(batch, x).to_pylist() for x in ("p_one", "p_two", "part", "one", "two")))):
                 x = flat[ends[i] : ends[i + 1]]
-                if not len(x):
+                if (one, two) == (p_one, p_two):
+                    if of != (p_one, p_two, part):
+                        of, own = (p_one, p_two, part), (x.copy(), head(x))
                     continue
-                if (pivot, part) != of:
-                    of, own = (pivot, part), []
-                if doc_id == pivot:
-                    own.append((x, heads(x)))
+                if of != (p_one, p_two, part):
+                    raise RuntimeError("a pivot's set is missing")
+                y, theirs = own
+                if len(x) * 100 < percent * len(y) or len(y) * 100 < percent * len(x) or not meet(theirs, head(x)):
                     continue
-                mine = None
-                for y, theirs in own:
-                    if len(x) * 100 < percent * len(y) or len(y) * 100 < percent * len(x):
-                        continue
-                    mine = mine or heads(x)
-                    if all(meet(p, q) for p, q in zip(theirs, mine)):
-                        both = meet(y, x)
-                        if 100 * both >= percent * (len(x) + len(y) - both):
-                            links.append((pivot, doc_id))
-                            break
+                both = meet(y, x)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    links.append((p_one, p_two, one, two))
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
-
-    places = materialise(_parts(pairs), "jaccard-places")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    wanted = _only(ids, places.select("doc_id")).join(places, "doc_id")
-    sent = wanted.select("doc_id", "text", "places").mapInArrow(send, SETS)
-    first = (F.col("doc_id") != F.col("pivot")).alias("later")
-    met = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", first)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=[*A, *B])
+
+    places = materialise(_places(pairs, classes), "jaccard-places")
+    wanted = _only(_hashed(docs).where("doc_id is not null"), places, "doc_id", "th").join(places, ["doc_id", "th"])
+    sent = wanted.select("text", *NODE, "places").mapInArrow(send, SETS)
+    later = F.expr("one <> p_one or two <> p_two").alias("later")
+    met = sent.repartition("p_one", "p_two", "part").sortWithinPartitions("p_one", "p_two", "part", later)
     return met.mapInArrow(compare, LINKS)
 
 
@@ -292,10 +371,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(links.select("a", "b").where("a <> b").union(links.select("b", "a").where("a <> b")).toDF("node", "other").distinct(), "jaccard-edges")
     labels = materialise(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "jaccard-labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        near = join_each(edges, labels.withColumnRenamed("node", "other"), ["other"]).groupBy("node").agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        fresh = materialise(spread.join(jump, "label", "left").select("node", "old", F.least("label", "beyond").alias("label")), "jaccard-labels")
+        fresh = materialise(join_each(spread, jump, ["label"]).select("node", "old", F.least("label", "beyond").alias("label")), "jaccard-labels")
         labels = fresh.select("node", "label")
         if fresh.where("label <> old").limit(1).count() == 0:
             return labels
@@ -303,43 +382,52 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    found = facts(docs, k)
-    classes = spark.sparkContext.broadcast(frequency_classes(found))
-    own = found.where("chunk is null").select("doc_id", "size", "one", "two")
-    known = own.where("doc_id is not null and size > 0")
-    firsts = known.groupBy("one", "two", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("one", "two", "size", "rep")
-    copies = materialise(known.join(firsts, ["one", "two", "size"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "jaccard-copies")
-
-    def of_reps(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of documents as pairs of the first documents of their classes, each once."""
-        for x in ("a", "b"):
-            to = copies.select(F.col("doc_id").alias(x), F.col("rep").alias("to"))
-            pairs = pairs.join(to, x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-    groups = grouped(prefixes(docs, classes, k, percent))
-    stars = groups.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("pivot_size").alias("a_size"), F.col("doc_id").alias("b"), F.col("size").alias("b_size"))
-    pairs = materialise(of_reps(_counted(stars, percent)), "jaccard-pairs")
-    links = materialise(verify(docs, pairs, classes, k, percent).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "jaccard-links")
+    context = docs.sparkSession.sparkContext
+    found = facts(docs, k, percent)
+    total = token_counts(found)
+    frequency, parts = context.broadcast(frequency_classes(total)), context.broadcast(parts_of(total))
+    own = found.where("chunk is null").select("doc_id", "th", "size", "one", "two", "plain")
+    first = F.min(F.struct("doc_id", "th")).alias("first")
+    classes = own.where("doc_id is not null and size > 0").groupBy(*NODE).agg(first, F.first("plain").alias("plain"))
+    classes = materialise(classes.select(*NODE, F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), "plain"), "jaccard-classes")
+    reps = classes.select(*NODE, "rep")
+
+    # a doc_id with several sets ties their classes together
+    several = own.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*NODE, "size")).alias("lo"), F.max(F.struct(*NODE, "size")).alias("hi")).where("lo <> hi").select("doc_id")
+    tied = own.where("size > 0").select("doc_id", *NODE).join(several, "doc_id").distinct().join(reps, NODE).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+    def of_docs(links: DataFrame) -> DataFrame:
+        """Links of classes as links of their first documents."""
+        return join_each(links, reps.toDF(*A, "a"), A).join(reps.toDF(*B, "b"), B).select("a", "b")
+
+    groups = grouped(prefixes(docs, frequency, parts, k, percent), parts)
+    stars = materialise(_stars(groups, percent), "jaccard-stars")
+    pairs = materialise(_second(stars, classes, percent), "jaccard-pairs")
+    links = of_docs(materialise(verify(docs, pairs, classes, frequency, k, percent), "jaccard-links")).unionByName(tied)
     labels = components(links)
 
-    # tokens whose documents, one of each class, still lie in several components
-    known_labels = labels.join(copies.select(F.col("doc_id").alias("node"), F.lit(True).alias("copy")).distinct(), "node", "left").withColumnRenamed("node", "doc_id")
-    placed = groups.select("token", "doc_id", "size", "at").join(known_labels, "doc_id", "left").where("copy is null").select("token", "doc_id", "size", "at", F.coalesce("label", "doc_id").alias("label"))
+    # tokens whose classes still lie in several components
+    label_of = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*NODE, F.coalesce("label", "rep").alias("label"))
+    placed = groups.select("token", *NODE, "size", "at").join(label_of, NODE)
     split = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    open_ = materialise(placed.join(split, "token", "left_semi"), "jaccard-open")
-    rest = materialise(_across(open_, percent).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+    open_ = materialise(placed.join(split, "token", "left_semi").distinct(), "jaccard-open")
+    seen = stars.select(*A, *B)
+    unseen = materialise(_across(open_, percent).join(seen.union(seen.select(*B, *A)), [*A, *B], "left_anti"), "jaccard-unseen")
+    rest = materialise(_second(unseen, classes, percent), "jaccard-rest")
     if rest.limit(1).count():
-        labels = components(links.unionByName(verify(docs, rest, classes, k, percent)))
-    placed = own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return placed.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+        labels = components(links.unionByName(of_docs(materialise(verify(docs, rest, classes, frequency, k, percent), "jaccard-links"))))
+    label_of = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*NODE, F.coalesce("label", "rep").alias("component_id"))
+    rows = own.select("doc_id", "size", *NODE)
+    full = join_each(rows.where("doc_id is not null and size > 0"), label_of, NODE)
+    bare = rows.where("doc_id is null or size = 0").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
+    return full.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id").unionByName(bare.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id"))
 
 
 def representatives(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the smallest; all columns stay. Rows without an id, or that repeat the kept id, stay too."""
-    gone = near_copies(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = near_copies(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 ORACLE = r"""

@@ -3,7 +3,7 @@
 The model learns from at most `max_rows` labelled rows (all of them below that), chosen by a hash of doc_id. A null text, or one
 without a letter, is `und` with score 0. The score is the posterior of the predicted language, tempered to the weight of
 `evidence` n-grams so that long texts don't all saturate. Ties go to the language that sorts first. Without any labelled row every
-text is `und`. Repeated rows and clashing extra columns are harmless: only doc_id, text and lang are read.
+text is `und`. Repeated rows each get their own prediction. Only doc_id, text and lang are read; other columns pass through.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import column, mix, slices
+from tessella.llm.common import column, free_name, mix, slices
 
 SIZES = (1, 2, 3, 4)  # of the character n-grams
+STRETCH = 1 << 17  # characters hashed at a time
+BATCH = 1 << 18  # bytes of text looked at together
 MAX_CELLS = 1 << 24  # languages times buckets that the broadcast matrix may have
 
 
@@ -35,30 +37,35 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all texts, the text of each, and which texts have a letter. Runs without letters are one space."""
+def _chars(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, the text of each, and which texts have a letter. A run without letters is one space; every text starts and ends with one."""
     lowered = [(x or "").lower() for x in texts]
     code = np.frombuffer("".join(f" {x} " for x in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, lowered), np.int64, len(texts)) + 2)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, lowered), np.int64, len(texts)) + 2)
     letter = _letters()[code]
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1] | (row[1:] != row[:-1])
-    code, row = np.where(letter, code, 32)[keep].astype(np.uint64), row[keep]
-    has = np.bincount(row[code != 32], minlength=len(texts)) > 0
-    h, buckets, rows = np.zeros(len(code), np.uint64), [], []
-    for n in range(1, max(SIZES) + 1):
-        m = len(code) - n + 1
-        if m <= 0:
-            break
-        h = h[:m] * np.uint64(0x100000001B3) + code[n - 1 :]
-        if n in SIZES:
-            inside = row[:m] == row[n - 1 :]
-            if n == 1:
-                inside &= code != 32
-            buckets.append((mix(h[inside] + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int64))
-            rows.append(row[:m][inside])
-    return np.concatenate(buckets), np.concatenate(rows), has
+    code, row = np.where(letter, code, np.uint32(32))[keep], row[keep]
+    return code, row, np.bincount(row[code != 32], minlength=len(texts)) > 0
+
+
+def _ngrams(code: np.ndarray, row: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the n-grams and the text of each, rising, for one stretch of characters and one n after the other, so that few are held."""
+    for lo in range(0, len(code), STRETCH):
+        part, of = code[lo : lo + STRETCH + max(SIZES) - 1].astype(np.uint64), row[lo : lo + STRETCH + max(SIZES) - 1]
+        h = np.zeros(len(part), np.uint64)
+        for n in range(1, max(SIZES) + 1):
+            m = len(part) - n + 1
+            if m <= 0:
+                break
+            h = h[:m] * np.uint64(0x100000001B3) + part[n - 1 :]
+            if n in SIZES:
+                inside = of[:m] == of[n - 1 :]
+                inside[STRETCH:] = False  # the next stretch has them
+                if n == 1:
+                    inside &= part != 32
+                yield (mix(h[inside] + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int32), of[:m][inside]
 
 
 def train(labelled: DataFrame, max_rows: int = 200_000, bits: int = 17, smoothing: float = 0.05) -> Model:
@@ -74,10 +81,11 @@ def train(labelled: DataFrame, max_rows: int = 200_000, bits: int = 17, smoothin
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {x: i for i, x in enumerate(langs)}
         seen = np.zeros(len(langs) << bits, np.int64)
-        for batch in slices(batches):
-            buckets, row, _ = _ngrams(column(batch, "text").to_pylist(), bits)
-            of = np.fromiter((index[x] for x in column(batch, "lang").to_pylist()), np.int64, batch.num_rows)
-            seen += np.bincount((of[row] << bits) + buckets, minlength=len(seen))
+        for batch in slices(batches, limit=BATCH):
+            of = np.fromiter((index[x] for x in column(batch, "lang").to_pylist()), np.int32, batch.num_rows) << bits
+            code, row, _ = _chars(column(batch, "text").to_pylist())
+            for buckets, at in _ngrams(code, row, bits):
+                np.add.at(seen, of[at] + buckets, 1)
         cell = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen[cell])], names=["cell", "n"])
 
@@ -90,29 +98,34 @@ def train(labelled: DataFrame, max_rows: int = 200_000, bits: int = 17, smoothin
     return Model(langs, log_prob, np.log(np.array([n for _, n in found], float) / max(total, 1)))
 
 
-def predict(docs: DataFrame, model: Model, *keep: str, evidence: int = 60) -> DataFrame:
-    """The columns `keep` of every row with lang_pred and score; text alone decides."""
-    names = list(dict.fromkeys(keep))
+def predict(docs: DataFrame, model: Model, *keep: str, evidence: int = 60, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns `keep` of every row with its language and score; text alone decides. Kept columns named like these two give way to them."""
+    names = [x for x in dict.fromkeys(keep) if x.lower() not in (lang.lower(), score.lower())]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        bits = int(m.log_prob.shape[1]).bit_length() - 1 if len(m.langs) else 1
-        for batch in slices(batches):
-            buckets, row, has = _ngrams(column(batch, "text").to_pylist(), bits)
-            size = np.bincount(row, minlength=batch.num_rows)
+        by_bucket = np.ascontiguousarray(m.log_prob.T)
+        bits = len(by_bucket).bit_length() - 1
+        for batch in slices(batches, limit=BATCH):
+            n = batch.num_rows
+            best, sure, has = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
             if m.langs:
-                score = np.stack([np.bincount(row, weights=p[buckets], minlength=batch.num_rows) for p in m.log_prob], axis=1)
-                score *= (evidence / np.maximum(size, evidence))[:, None]
-                score += m.prior
-                best = score.argmax(axis=1)
-                sure = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
-            else:
-                best, sure, has = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
-            lang = [m.langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist())]
-            yield pa.RecordBatch.from_arrays([*(column(batch, x) for x in names), pa.array(lang, pa.string()), pa.array(np.where(has, sure, 0.0))], names=[*names, "lang_pred", "score"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), "lang_pred string", "score double"])
+                code, row, has = _chars(column(batch, "text").to_pylist())
+                size, total = np.zeros(n), np.zeros((n, len(m.langs)))
+                for buckets, at in _ngrams(code, row, bits):
+                    head = np.flatnonzero(np.diff(at, prepend=-1))
+                    size[at[head]] += np.diff(head, append=len(at))
+                    if len(head):
+                        total[at[head]] += np.add.reduceat(by_bucket[buckets], head, axis=0, dtype=np.float64)
+                total *= (evidence / np.maximum(size, evidence))[:, None]
+                total += m.prior
+                best = total.argmax(axis=1)
+                sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            found = [m.langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist())]
+            yield pa.RecordBatch.from_arrays([*(column(batch, x) for x in names), pa.array(found, pa.string()), pa.array(np.where(has, sure, 0.0))], names=[*names, lang, score])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), f"`{lang}` string", f"`{score}` double"])
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
 
 
@@ -121,7 +134,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, *keep: str) -> DataFrame:
+def identify(docs: DataFrame, *keep: str, **names: str) -> DataFrame:
     """Fit on the documents that aren't held out, then predict all."""
     learn = docs.where(~held_out() & F.col("doc_id").isNotNull())
-    return predict(docs, train(learn), *keep)
+    return predict(docs, train(learn), *keep, **names)
+
+
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents whose language is known with a score of `least` or more; all columns stay, whatever their names."""
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    return identify(docs, *docs.columns, lang=lang, score=score).where((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)

@@ -3,10 +3,11 @@
 A paragraph is a line. Its clauses are cut after spaces that follow certain letters or marks, at most 48 code points on, so an edit moves
 few cuts. A clause is known by half its MD5, a paragraph by the SHA-256 of its clauses, a section by that of its paragraphs, the document by
 that of its sections: the root is the fingerprint. A section ends after a paragraph whose digest starts with 0 to 3, so sections
-realign after an edit too. Equal roots mean equal texts; likeness is Dice's measure of the distinct clauses of two trees.
+realign after an edit too. Equal texts have equal roots; unequal texts differ in theirs but for a collision of 64-bit clause digests. To locate edits two trees are
+walked down from the root, into sections that differ only. Likeness is Dice's measure of the distinct clauses of two trees.
 
 Null text is empty. In the next-document order null doc_ids come last (they are smallest), equal doc_ids by falling text. A lone document is its own next one;
-an empty table gives no rows. Only doc_id and text are read.
+an empty table gives no rows. Only doc_id and text are read. Rows that all share one doc_id, or have none, are ordered by one task, as their order is by text.
 """
 
 from __future__ import annotations
@@ -27,6 +28,14 @@ def paragraphs(nodes: Column) -> Column:
     return F.transform(nodes, lambda p: F.sha2(F.array_join(p, "").cast("binary"), 256))
 
 
+def branches(paragraph: Column) -> Column:
+    """Sections as structs: digest, number of the first paragraph, paragraph digests."""
+    marked = F.array_join(F.transform(paragraph, lambda d: F.concat(d, F.when(F.substring(d, 1, 1) < "4", "|").otherwise(","))), "")
+    cut = F.transform(F.split(marked, "[|]"), lambda s: F.struct(F.sha2(s.cast("binary"), 256).alias("digest"), F.filter(F.split(s, ","), lambda d: d != "").alias("paragraphs")))
+    start = lambda i: F.aggregate(F.slice(cut, 1, i), F.lit(0), lambda n, s: n + F.size(s["paragraphs"]))
+    return F.transform(cut, lambda s, i: F.struct(s["digest"].alias("digest"), start(i).alias("first"), s["paragraphs"].alias("paragraphs")))
+
+
 def sections(paragraph: Column) -> Column:
     """Section digests from paragraph digests."""
     marked = F.array_join(F.transform(paragraph, lambda d: F.concat(d, F.when(F.substring(d, 1, 1) < "4", "|").otherwise(","))), "")
@@ -48,8 +57,22 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of the first tree that the second lacks: where the edits are. Both are paragraph digests."""
-    return F.filter(F.transform(a, lambda d, i: F.when(~F.array_contains(b, d), i)), lambda i: i.isNotNull())
+    """Numbers (from 0) of the paragraphs of the first tree that the second lacks: where the edits are.
+
+    Both are `branches`. Equal roots end the walk; a section that the other tree has too is passed over whole; in the others, paragraphs are looked up among
+    those of the other tree's sections that differ.
+    """
+    digest = lambda x: F.transform(x, lambda s: s["digest"])
+    other = F.flatten(F.transform(F.filter(b, lambda s: ~F.array_contains(digest(a), s["digest"])), lambda s: s["paragraphs"]))
+    own = F.filter(a, lambda s: ~F.array_contains(digest(b), s["digest"]))
+    found = F.flatten(F.transform(own, lambda s: F.filter(F.transform(s["paragraphs"], lambda d, i: F.when(~F.array_contains(other, d), s["first"] + i)), lambda i: i.isNotNull())))
+    return F.when(root(digest(a)) == root(digest(b)), F.array().cast("array<int>")).otherwise(found)
+
+
+def edits(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Per doc_id in both tables: the numbers of the paragraphs that went and of those that came. Repeated doc_ids are compared each with each."""
+    trees = [d.where("doc_id is not null").select("doc_id", branches(paragraphs(tree(F.coalesce(F.col("text"), F.lit(""))))).alias(x)) for d, x in ((old, "a"), (new, "b"))]
+    return trees[0].join(trees[1], "doc_id").select("doc_id", differing(F.col("a"), F.col("b")).alias("went"), differing(F.col("b"), F.col("a")).alias("came"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -60,23 +83,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame, n: int) -> Column:
-    """About n buckets of equal rows, rising with doc_id: a histogram of doc_id over CELLS cells, interpolated. Null is -1."""
+    """About n buckets of equal rows, rising with doc_id: quantiles of doc_id, found by binary search. Null is -1."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    lo, hi, rows = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not rows:
-        return F.lit(-1).cast("long")
-    width = max((hi - lo + 1) / CELLS, 1.0)
-    past = (F.col("doc_id").cast("double") - float(lo)) / width
-    cell = F.least(F.floor(past), F.lit(CELLS - 1))
-    count = {r["c"]: r["n"] for r in ids.groupBy(cell.alias("c")).agg(F.count("*").alias("n")).collect()}
-    before = [0]
-    for c in range(CELLS):
-        before.append(before[-1] + count.get(c, 0))
-    upto = F.lit(before)
-    at = cell.cast("int")
-    place = upto[at] + (past - cell) * (upto[at + 1] - upto[at])
-    bucket = F.floor(F.least(place, F.lit(float(rows - 1))) / max(rows / n, 1.0))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket).cast("long")  # least() passes over nulls
+    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 4 * n)).first()[0]
+    bounds = sorted(set(found or [0]))
+    powers = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    place = F.lit(bounds)
+    below = F.aggregate(powers, F.lit(0), lambda low, p: F.when((low + p <= len(bounds)) & (F.get(place, low + p - 1) < F.col("doc_id")), low + p).otherwise(low))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(below).cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -85,9 +99,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), doc.rdd.getNumPartitions())
     doc = doc.withColumn("bucket", buckets(docs, n))
-    tops = doc.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    heads = doc.join(tops.withColumnRenamed("bucket", "b"), F.expr("bucket = b and doc_id <=> top")).groupBy("bucket").agg(F.max("text").alias("head"))
-    every = Window.orderBy("bucket")  # one short row a bucket
+    tops = doc.groupBy("bucket").agg(F.max("doc_id").alias("top"))  # one short row a bucket
+    heads = doc.join(F.broadcast(tops.withColumnRenamed("bucket", "b")), F.expr("bucket = b and doc_id <=> top")).groupBy("bucket").agg(F.max("text").alias("head"))
+    every = Window.orderBy("bucket")
     below = tops.select("bucket", F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("below"))
     follow = below.join(heads.withColumnRenamed("bucket", "below"), "below").select("bucket", "head")
     inside = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))

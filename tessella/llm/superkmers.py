@@ -8,7 +8,8 @@
    super-k-mers isn't one bucket: its windows go by their own digest, pre-aggregated to the smallest doc_id.
 4. Runs of repeated windows go back to their documents, whose covered words are removed.
 
-Windows are judged on the input. Equal 128-bit hashes of a window's words count as equal words. A null text has no words; a null doc_id is larger
+Windows are judged on the input. In a bucket, windows that a hash brings together are compared word by word; windows of frequent minimisers are known
+by a 128-bit cryptographic digest of their words. A null text has no words; a null doc_id is larger
 than any other; repeated doc_ids are told apart by a hash of the text, and rows that are equal get equal results. Texts shorter than the
 window, and empty tables, pass through. Only doc_id and text are read; `deduplicate` keeps the other columns.
 """
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import column, materialise, mix, run_hashes, slices, span_hashes, text_bytes, word_spans
+from tessella.llm.common import column, free_name, join_each, materialise, mix, run_hashes, slices, span_hashes, text_bytes, word_spans
 
-WIDTH, SEED, HOT, SALTS = 50, 8, 2000, 8
+WIDTH, SEED, HOT = 50, 8, 2000
 LAST = (1 << 63) - 1  # stands for a null doc_id
 KMERS = "did long, th long, minimiser long, start int, n int"
 PACKED = "minimiser long, did long, th long, start int, words string"
@@ -115,19 +117,40 @@ def window_digests(wanted: DataFrame, width: int = WIDTH) -> DataFrame:
     return wanted.mapInArrow(run, DIGESTS)
 
 
+def _groups(words: np.ndarray, window: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (their first words) in an order in which equal ones are neighbours, and where a new one starts. Words are numbers, equal for equal words."""
+    hashed = mix(words.astype(np.uint64) + np.uint64(1))
+    one = run_hashes(hashed, width)[window]
+    order = np.argsort(one, kind="stable")
+    edge = np.ones(len(order), bool)
+    edge[1:] = one[order][1:] != one[order][:-1]
+    # a hash only proposes: every window is compared with the one before
+    place, same = window[order], ~edge
+    for k in range(width):
+        if not same.any():
+            break
+        at = np.flatnonzero(same)
+        same[at] = words[place[at] + k] == words[place[at - 1] + k]
+    if (same != ~edge).any():  # different windows of one hash: sort those hashes by their words
+        for h in np.unique(one[order][~edge & ~same]):
+            at = np.flatnonzero(one[order] == h)
+            keys = [tuple(words[p : p + width].tolist()) for p in place[at]]
+            rank = sorted(range(len(at)), key=keys.__getitem__)
+            order[at] = order[at][rank]
+            edge[at] = [i == 0 or keys[rank[i]] != keys[rank[i - 1]] for i in range(len(at))]
+    return order, edge
+
+
 def _repeated(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     """Of whole buckets of packed strings, the runs of windows whose words also start in a smaller did."""
-    raw, at = text_bytes(column(batch, "words"))
-    starts, ends, first = word_spans(raw, at)
-    words = span_hashes(raw, starts, ends)
+    split = pc.split_pattern(column(batch, "words"), " ")
+    words = split.values.dictionary_encode().indices.to_numpy()
+    first = split.offsets.to_numpy()
     row = np.repeat(np.arange(batch.num_rows), np.diff(first))
     window = np.flatnonzero(row[: len(words) - width + 1] == row[width - 1 :])
-    one, two = run_hashes(words, width)[window], run_hashes(mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), width)[window]
     of = row[window]
+    order, edge = _groups(words, window, width)
     did = column(batch, "did").to_numpy(zero_copy_only=False)[of]
-    order = np.lexsort((two, one))
-    edge = np.ones(len(order), bool)
-    edge[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
     head, n = _runs(edge, order)
     again = np.zeros(len(order), bool)
     again[order] = did[order] > np.repeat(np.minimum.reduceat(did[order], head), n) if len(order) else False
@@ -173,15 +196,13 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED, hot: in
     texts = _keyed(docs)
     kmers = materialise(super_kmers(texts, width, seed), "super-kmers")
     shared = kmers.groupBy("minimiser").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("times")).where("lo < hi")
-    often = shared.where(F.col("times") > hot).select("minimiser")
-    rest = kmers.join(shared.where(F.col("times") <= hot).select("minimiser"), "minimiser", "left_semi")
-    found = sort_buckets(pack_strings(_wanted(texts, rest), width), width)
-    if not often.limit(1).count():
+    placed = join_each(kmers, shared.select("minimiser", "times"), ["minimiser"])
+    found = sort_buckets(pack_strings(_wanted(texts, placed.where(F.col("times") <= hot)), width), width)
+    if not shared.where(F.col("times") > hot).limit(1).count():
         return found
-    digests = window_digests(_wanted(texts, kmers.join(often, "minimiser", "left_semi")), width)
-    salt = F.pmod(F.hash("did"), F.lit(SALTS))
-    first = digests.groupBy("digest").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("digest", "lo", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    again = digests.withColumn("salt", salt).join(first, ["digest", "salt"]).where("did > lo")
+    digests = materialise(window_digests(_wanted(texts, placed.where(F.col("times") > hot)), width), "window-digests")
+    first = digests.groupBy("digest").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("digest", "lo")
+    again = join_each(digests, first, ["digest"]).where("did > lo")
     return found.unionByName(again.select("did", "th", "start", F.lit(1).alias("n")))
 
 
@@ -229,11 +250,11 @@ def _clean(text: Column, runs: Column, width: int) -> Column:
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """The documents with repeated words removed; a text that loses none stays byte for byte. All columns and rows stay."""
-    runs = repeated_runs(docs, width, seed, hot).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    runs = runs.withColumnsRenamed({"did": "_did", "th": "_th"})
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_did")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th"))
+    found, did, th = (free_name(docs, x) for x in ("_runs", "_did", "_th"))
+    runs = repeated_runs(docs, width, seed, hot).groupBy(F.col("did").alias(did), F.col("th").alias(th)).agg(F.collect_list(F.struct("start", "n")).alias(found))
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col(did)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(th))
     joined = docs.join(runs, same, "left")
-    return joined.withColumn("text", _clean(F.col("text"), F.col("_runs"), width)).select(*docs.columns)
+    return joined.withColumn("text", _clean(F.col("text"), F.col(found), width)).select(*docs.columns)
 
 
 ORACLE = r"""

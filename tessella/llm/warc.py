@@ -2,7 +2,7 @@
 
 `write` makes one monolithic .warc.gz after another in each task. `normalise` inflates each file once, a block at a time,
 rewrites every record as its own member and writes a tab-separated index beside it. `read` fetches records by offset. Files are
-written under names of their own in the shared folder; only those that a task's manifest row lists count.
+written under names of their own in the shared folder; only those that a task's manifest row lists count. The pages are shuffled once, by payload digest.
 
 Equal payloads (length and SHA-1): the row with the smallest page_id is the response, others revisit it; rows that repeat that
 page_id are responses too. A null page_id is larger than any; where all are null, all are responses. A null html is an empty payload, a null url
@@ -23,10 +23,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import column, materialise, shared_dir, slices
+from tessella.llm.common import HOT_ROWS, column, materialise, shared_dir, slices
 
 BLOCK = 1 << 20
-SALTS = 8
 MAX_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, record long, offset long, length long, type string, record_id string"
@@ -55,13 +54,19 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and refers_to. Only groups of equal payloads travel, salted, so that one group is spread over tasks."""
+    """page_id, url, html and refers_to. Payloads of more than a 10,000th of the rows, of which there are fewer than 10,000, are looked up by broadcast and their pages dealt evenly."""
     body = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", body.alias("html")).withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
-    firsts = keyed.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    firsts = firsts.select("digest", "size", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = keyed.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(firsts, ["digest", "size", "salt"], "left")
-    return joined.select("page_id", "url", "html", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
+    groups = materialise(keyed.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payloads")
+    rows = groups.agg(F.sum("n")).first()[0] or 0
+    groups = groups.where("n > 1 and first is not null")
+    often = F.col("n") > max(HOT_ROWS, rows // 10_000)
+    hot = groups.where(often).select("digest", "size", F.col("first").alias("hot"))
+    marked = keyed.join(F.broadcast(hot), ["digest", "size"], "left")
+    rest = groups.where(~often).select("digest", "size", F.lit(0).alias("salt"), "first")
+    salted = marked.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)))).join(rest, ["digest", "size", "salt"], "left")
+    first = F.coalesce("hot", "first")
+    return salted.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(first), F.lit(None)).otherwise(first).alias("refers_to"))
 
 
 def write(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", roll_bytes: int = 64 << 20) -> DataFrame:

@@ -65,6 +65,24 @@ def test_encoder_equals_whole_text_encoding(tokenizer):
     ids, ends = enc.encode(pa.array(odd))
     want = [x.ids for x in enc.tokenizer.encode_batch(odd, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == want
+    again, _ = enc.encode(pa.array(odd))  # from the table
+    assert (again == ids).all()
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two strings of n characters that a polynomial hash modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join((a, b)[x ^ flip] for x in bits) for flip in (0, 1)]
+
+
+def test_hashes_of_thue_morse_words_differ(tokenizer):
+    enc = common.TokenEncoder(tokenizer)
+    for n in (64, 1024, 2048, 4096):
+        pair = thue_morse(n)
+        raw, at = common.text_bytes(pa.array(pair))
+        assert len(set(common.span_hashes(raw, at[:-1], at[1:]).tolist())) == 2
+        ids, ends = enc.encode(pa.array(pair))
+        assert [ids[: ends[0]].tolist(), ids[ends[0] :].tolist()] == [x.ids for x in enc.tokenizer.encode_batch(pair, add_special_tokens=False)]
 
 
 def test_word_spans_and_hashes():
@@ -126,19 +144,19 @@ def brute_hits(text, items):
 def test_decontamination(spark, docs, texts, limit):
     items = [(1, " ".join(texts[2].split()[:40])), (2, "one two"), (10, texts[3][:120].upper()), (4, None), (5, ""), (6, "ÀB c")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(map(tuple, decontaminate.report(docs, bench).collect()), key=repr) if limit else None
-    hits = decontaminate.hits(docs, bench, broadcast_windows=limit).count()
-    assert hits == docs.select("doc_id", "text").distinct().count()
-    if got:
-        want = []
-        for r in docs.collect():
-            n, hit, found = brute_hits(r.text, items)
-            want.append((r.doc_id, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
-        assert got == sorted(want, key=repr)
-        left = decontaminate.remove(docs, bench)
-        assert left.columns == docs.columns and left.count() == sum(not r[5] for r in want)
-        spans = decontaminate.remove(docs, bench, "spans")
-        assert spans.count() == docs.count() and spans.where("text = 'One TWO' or text = 'one two'").count() == 0
+    got = sorted(map(tuple, decontaminate.report(docs, bench, broadcast_windows=limit).collect()), key=repr)
+    want = []
+    for r in docs.collect():
+        n, hit, found = brute_hits(r.text, items)
+        want.append((r.doc_id, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
+    assert got == sorted(want, key=repr)
+    left = decontaminate.remove(docs, bench, broadcast_windows=limit)
+    assert left.columns == docs.columns and left.count() == sum(not r[5] for r in want)
+    spans = decontaminate.remove(docs, bench, "spans", broadcast_windows=limit)
+    assert spans.count() == docs.count() and spans.where("text = 'One TWO' or text = 'one two'").count() == 0
+    if not limit:
+        plan = decontaminate.hits(docs, bench, broadcast_windows=0)._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Exchange" in x and "words" in x]
 
 
 def test_decontamination_empty(spark, docs, empty):
@@ -170,9 +188,24 @@ def test_fingerprints(spark, docs, empty):
 
 
 def test_differing_branches_locate_an_edit(spark):
-    df = spark.createDataFrame([("a\nb\nc\nd", "a\nB\nc\nd")], "x string, y string")
-    a, b = (merkle.paragraphs(merkle.tree(F.col(c))) for c in "xy")
-    assert df.select(merkle.differing(a, b)).first()[0] == [1]
+    rnd = random.Random(12)
+    rows = [("a\nb\nc\nd", "a\nB\nc\nd"), ("", ""), ("x", ""), ("same\ntext", "same\ntext")]
+    for _ in range(30):
+        lines = [f"line {rnd.randint(0, 10**9)}" for _ in range(rnd.randint(1, 60))]
+        changed = [f"{x} new" if rnd.random() < 0.1 else x for x in lines]
+        rows.append(("\n".join(lines), "\n".join(changed)))
+    old, new = (spark.createDataFrame([(i, r[k]) for i, r in enumerate(rows)], "doc_id long, text string") for k in (0, 1))
+    for r in merkle.edits(old, new).collect():
+        x, y = (t.split("\n") for t in rows[r.doc_id])
+        assert r.went == [i for i, t in enumerate(x) if t not in y] and r.came == [i for i, t in enumerate(y) if t not in x]
+
+
+def test_buckets_are_even_whatever_the_ids(spark):
+    df = spark.range(2000).selectExpr("if(id = 0, 1L << 61, if(id % 500 = 1, null, id)) as doc_id")
+    sizes = {r.b: r["count"] for r in df.groupBy(merkle.buckets(df, 16).alias("b")).count().collect()}
+    assert sizes.pop(-1) == 4 and 14 <= len(sizes) <= 17 and max(sizes.values()) < 300
+    order = df.where("doc_id is not null").orderBy("doc_id").select(merkle.buckets(df, 16).alias("b")).collect()
+    assert [r.b for r in order] == sorted(r.b for r in order)
 
 
 # ---- 4 token files --------------------------------------------------------------------------------------------
@@ -193,18 +226,55 @@ def test_token_files(docs, empty, tokenizer):
     assert repair.read(repair.write(empty, tokenizer)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(6))
 def test_grammar_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)
-    docs = [np.append(rng.zipf(1.3, rng.integers(0, 400)) % 900, 2).astype(np.uint32) for _ in range(60)]
-    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
-    symbols, where, rules, first = repair.compress(ids, ends, 2)
-    assert len(symbols) < len(ids) and (repair.expand(symbols, rules, first) == ids).all()
-    for i, d in enumerate(docs):
-        lo = where[i - 1] if i else 0
-        assert (repair.expand(symbols[lo : where[i]], rules, first) == d).all()
-    sizes = repair.expansion_sizes(rules, first)
-    assert all(len(repair.expand(np.array([first + r], np.uint32), rules, first)) == sizes[r] for r in range(len(rules)))
+    docs = [np.append(rng.zipf(1.3, rng.integers(0, 400)) % (900 if seed % 2 else 4) + 3, 2).astype(np.uint32) for _ in range(60)]
+    ids = np.concatenate(docs)
+    symbols, rules, sizes, first = repair.compress(ids, 2)
+    assert len(symbols) < len(ids) and (repair.expand(symbols, rules, sizes, first) == ids).all()
+    assert all(len(repair.expand(np.array([first + r], np.uint32), rules, sizes, first)) == sizes[r] for r in range(len(rules)))
+    for lo, hi in rng.integers(0, len(ids), (30, 2)).tolist():
+        assert (repair.expand(symbols, rules, sizes, first, lo, hi) == ids[lo:hi]).all()
+    pairs: dict = {}  # places of each pair, none of which overlap
+    for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+        if 2 not in pair and (pair not in pairs or pairs[pair][-1] + 1 < i):
+            pairs.setdefault(pair, []).append(i)
+    assert all(len(x) == 1 for x in pairs.values())
+    used = np.bincount(np.concatenate((symbols.astype(int), rules.reshape(-1).astype(int))), minlength=first + len(rules))
+    assert (used[first:] > 1).mean() > 0.5 and (used[first:] > 0).all()
+
+
+def test_grammar_of_runs_and_small_sequences():
+    for ids in ([], [2], [5, 2], [5, 5, 2], [5, 5, 5, 2], [5] * 4 + [2], [5] * 1000 + [2], [7, 8, 7, 8, 7, 2, 2, 8, 7, 2]):
+        symbols, rules, sizes, first = repair.compress(np.array(ids, np.uint32), 2)
+        assert repair.expand(symbols, rules, sizes, first).tolist() == ids
+
+
+def test_shards_give_any_range_of_tokens(spark, docs, tokenizer):
+    for row in repair.write(docs, tokenizer, shard_tokens=9000).collect():
+        shard = repair.Shard(row.file, row.offset)
+        whole = shard.ids(0, row.tokens)
+        assert len(whole) == row.tokens == shard.tokens[-1] and len(shard.section("sequence")) == row.symbols
+        for lo, hi in ((0, 1), (row.tokens - 1, row.tokens), (row.tokens // 3, row.tokens // 2), (5, 5)):
+            assert (shard.ids(lo, hi) == whole[lo:hi]).all()
+        shard.close()
+
+
+def test_token_ids_are_those_of_the_plain_call(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer)
+    texts = ["a <|endoftext|> b", "foo  <|endoftext|>  bar.<|endoftext|>,", *thue_morse(2048), "<|endoftext|", None, "x" * 100_000 + " y"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    files = {r.doc_id: r for r in repair.read(repair.write(df, tokenizer)).collect()}
+    packed = {}
+    for r in packing.pack(df, tokenizer, capacity=1 << 20).collect():
+        packed[r.doc_id] = r
+    for i, t in enumerate(texts):
+        ids = plain.encode(t or "", add_special_tokens=False).ids
+        for r, end, n in ((files[i], 2, "n_tokens"), (packed[i], 0, "length")):
+            assert r[n] == len(ids) + 1 and r.ids_crc32 == zlib.crc32(np.array([*ids, end], "<u4").tobytes())
 
 
 # ---- 5 resampling ---------------------------------------------------------------------------------------------
@@ -223,6 +293,43 @@ def test_resampling(spark, empty):
     assert resampling.resample(empty, labels).count() == 0
 
 
+def brute_weights(rows, good, smoothing=5.0, bits=resampling.BITS):
+    """Log ratio of every text's words and word pairs, from counts in plain dictionaries over the same buckets."""
+    import regex
+
+    def ngrams(text):
+        w = [x.encode() for x in regex.findall(r"[0-9A-Za-z\u0080-\U0010FFFF]+", text or "")]
+        w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in w]
+        raw = np.frombuffer(b" ".join(w), np.uint8)
+        ends = np.cumsum([len(x) + 1 for x in w]) - 1 if w else np.zeros(0, int)
+        h = [int(x) for x in common.span_hashes(raw, ends - [len(x) for x in w] if w else ends, ends)]
+        pairs = [int(common.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % (1 << 64)], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        return [x >> (64 - bits) for x in h + pairs]
+
+    raw, target = {}, {}
+    for doc_id, text in rows:
+        for x in ngrams(text):
+            raw[x] = raw.get(x, 0) + 1
+            target[x] = target.get(x, 0) + (doc_id in good)
+    share = sum(target.values()) / max(sum(raw.values()), 1)
+    return [sum(np.log((target[x] + smoothing) / (raw[x] * share + smoothing)) for x in ngrams(t)) for _, t in rows]
+
+
+def test_resampling_weights(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(("Alpha", "beta", "gämma", "7", "x-y", "z.")) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
+    rows += [(60, None), (60, ""), (None, "Alpha beta"), (None, None), (5, rows[5][1])]
+    labels = [(i, i % 2, None if i % 3 else 0) for i in range(40)] + [(3, 0, 0), (5, 1, 1), (None, 1, 0)]
+    good = {i for i in range(40) if i % 2} - {3, 5}
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ratio = resampling.log_ratio(df, marks)
+    got = sorted((r.doc_id is None, r.doc_id or 0, round(r.log_weight, 4)) for r in resampling.weights(df, ratio).collect())
+    assert got == sorted((i is None, i or 0, round(float(w), 4)) for (i, _), w in zip(rows, brute_weights(rows, good)))
+    kept = resampling.resample(df, marks, keep=0.5).collect()
+    keys = sorted((r.key for r in resampling.weights(df, ratio).collect()), reverse=True)
+    assert sorted((r.key for r in kept), reverse=True) == keys[: -(-len(rows) // 2)]
+
+
 def test_top_k_with_ties(spark):
     df = spark.createDataFrame([(i, 0.0, float(i // 10)) for i in range(100)] + [(None, 0.0, 5.0)], "doc_id long, log_weight double, key double")
     for k in (0, 1, 5, 10, 37, 46, 101):
@@ -279,6 +386,60 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.predict(df, language.train(empty), "doc_id").collect()} == {"und"}
 
 
+def brute_language(train, texts, smoothing=0.05, evidence=60, bits=17):
+    """Multinomial naive Bayes over the same hashed n-grams, counted one by one."""
+
+    def ngrams(text):
+        chars, gap = [" "], True
+        for c in (text or "").lower():
+            if c.isalpha():
+                chars.append(c)
+                gap = False
+            elif not gap:
+                chars.append(" ")
+                gap = True
+        if not gap:
+            chars.append(" ")
+        out = []
+        for n in language.SIZES:
+            for i in range(len(chars) - n + 1):
+                if n == 1 and chars[i] == " ":
+                    continue
+                h = 0
+                for c in chars[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+                out.append(int(common.mix(np.array([(h + n) % (1 << 64)], np.uint64))[0]) >> (64 - bits))
+        return out
+
+    langs = sorted({x for _, x in train})
+    counts = {x: np.full(1 << bits, smoothing) for x in langs}
+    for text, x in train:
+        np.add.at(counts[x], ngrams(text), 1)
+    prior = {x: np.log(sum(y == x for _, y in train) / len(train)) for x in langs}
+    found = []
+    for text in texts:
+        grams = ngrams(text)
+        if not any(c.isalpha() for c in text or ""):
+            found.append(("und", 0.0))
+            continue
+        score = np.array([sum(np.log(counts[x][g] / counts[x].sum()) for g in grams) * evidence / max(len(grams), evidence) + prior[x] for x in langs])
+        found.append((langs[int(score.argmax())], float(1 / np.exp(score - score.max()).sum())))
+    return found
+
+
+def test_language_equals_plain_bayes(spark, monkeypatch):
+    monkeypatch.setattr(language, "STRETCH", 64)  # n-grams cross stretches
+    rnd = random.Random(7)
+    make = {"aa": ["der", "die", "und", "nicht"], "bb": ["the", "and", "not", "der"], "cc": ["le", "et", "été", "nicht"]}
+    texts = [(i, " ".join(rnd.choices(make[x], k=rnd.randint(1, 40))) + rnd.choice(("", "!", " 12.")), x) for i, x in enumerate(["aa", "bb", "cc", "bb"] * 15)]
+    texts += [(90, None, "aa"), (91, "", None), (92, "É", None), (93, "x" * 3000 + " the and", "bb"), (None, "le et", "cc"), (3, texts[3][1], "bb")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    learn = [(t, x) for i, t, x in texts if i is not None and zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and x is not None]
+    got = sorted(((r.text is None, r.text or "", r.lang_pred, round(r.score, 3)) for r in language.identify(df, "text").collect()))
+    want = brute_language(learn, [t for _, t, _ in texts])
+    assert got == sorted((t is None, t or "", x, round(p, 3)) for (_, t, _), (x, p) in zip(texts, want))
+
+
 # ---- 8 packing ------------------------------------------------------------------------------------------------
 
 
@@ -319,9 +480,30 @@ def test_plan_equals_best_fit_decreasing(seed):
         else:
             bins.append(64 - n)
     p = packing.plan(counts, 64)
-    assert int(max(p["sequence"] + 0)) < len(bins) + 1
-    used = {s for k in range(len(p["length"])) for s in [p["sequence"][k]]}
-    assert max(used) + 1 <= len(bins)
+    filled: dict = {}  # every slot of the plan, as ranks take it
+    for i in range(len(p["length"])):
+        length, lo, per, sequence, offset = (int(p[x][i]) for x in ("length", "from", "per", "sequence", "offset"))
+        same = p["from"][p["length"] == length]
+        hi = min([int(x) for x in same if x > lo], default=counts[length])
+        for k in range(hi - lo):
+            filled.setdefault(sequence + k // per, []).append((offset + k % per * length, length))
+    assert len(filled) == len(bins) and sum(map(len, filled.values())) == len(lengths)
+    for slots in filled.values():
+        at = 0
+        for offset, length in sorted(slots):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
+def test_packing_of_repeated_and_missing_ids(spark, tokenizer):
+    tk = common.TokenEncoder(tokenizer).tokenizer
+    rows = [(1, "a b c"), (1, "a b c"), (None, "x y"), (None, None), (2, "word " * 40), (1, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, tokenizer, capacity=16).collect()
+    want = [(i, len(tk.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows]
+    assert sum(r.length for r in got) == sum(n for _, n in want)
+    assert sorted((str(r.doc_id), r.piece) for r in got) == sorted((str(i), k) for i, n in want for k in range(-(-n // 16)))
 
 
 # ---- 9 chat ---------------------------------------------------------------------------------------------------
@@ -341,11 +523,33 @@ def test_chat(spark, tokenizer):
             assert r.n_turns == len(turns) and r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
             assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t or ''}\n" for _, _, role, t in turns).encode()).hexdigest()
         later = [w for w in windows.collect() if w.conv_id == 1 and w.window]
-        assert all(chat.parse(w.text)[0] == ("system", "rules") for w in later)
-        assert all(w.tokens <= budget or w.turns == 1 for w in windows.collect())
+        assert all(chat.parse(w.text)[0] == ("system", "rules") for w in later if w.context)
+        assert all(w.tokens <= budget or w.turns == 1 and not w.context for w in windows.collect())
     assert chat.digest(chat.format_windows(df.limit(0), tokenizer)).count() == 0
 
 
+def test_chat_windows_hold_the_budget(spark, tokenizer):
+    rnd = random.Random(8)
+    enc = common.TokenEncoder(tokenizer)
+    rows = [(c, t, "system" if t == 0 else ("user", "assistant")[t % 2], f"turn {c} {t} " + "word " * rnd.randint(0, 150)) for c in range(8) for t in range(25)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    size = lambda text: len(enc.encode(pa.array([text]))[0])
+    for budget in (60, 300, 500):
+        found = sorted(chat.format_windows(df, tokenizer, budget, 200).collect(), key=lambda w: (w.conv_id, w.window))
+        new = [(w.conv_id, t) for w in found for t in chat.parse(w.text)[w.context :]]
+        assert new == [(c, (role, text)) for c, _, role, text in rows]
+        for w, after in zip(found, found[1:]):
+            assert w.tokens == size(w.text) and (w.tokens <= budget or w.turns == 1 and not w.context)
+            if after.conv_id == w.conv_id:  # the next turn would not have fitted beside the system turn and the new ones
+                role, text = chat.parse(after.text)[after.context]
+                turn = f"{chat.START}{role}\n{text}{chat.END}\n"
+                own = chat.parse(w.text)
+                must = [x for i, x in enumerate(own) if i >= w.context or w.turns > 1 or x[0] == "system"]
+                assert size("".join(f"{chat.START}{r}\n{t}{chat.END}\n" for r, t in must)) + size(turn) > budget
+    wide = [w.turns for w in found]
+    assert np.mean(wide) > 1.5
+
+
 # ---- 10 Jaccard -----------------------------------------------------------------------------------------------
 
 
@@ -385,3 +589,112 @@ def test_jaccard_chains_of_edits(spark):
     rnd.shuffle(rows)
     got = {r.doc_id: r.component_id for r in jaccard.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == brute_components([r[:2] for r in rows])
+
+
+def test_jaccard_rows_that_repeat_an_id_keep_all_their_links(spark):
+    rnd = random.Random(6)
+    a, b = words(rnd, 100), words(rnd, 100, 10_000)
+    near = [*b[:-1], "other"]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in ((1, a), (5, a), (5, b), (9, near), (7, []), (5, []))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_copies(spark.createDataFrame(rows, DOCS)).collect())
+    assert [x[::2] for x in got] == [(1, 1), (5, 1), (5, 1), (5, 1), (7, 7), (9, 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_with_hot_keys_split(spark, monkeypatch, seed):
+    """Every key counts as hot: tokens in parts, pivots split, joins by broadcast."""
+    for module, name, value in ((jaccard, "FULL", 2), (jaccard, "SPLIT", 2), (common, "HOT_ROWS", 1)):
+        monkeypatch.setattr(module, name, value)
+    rnd = random.Random(seed)
+    bases = [words(rnd, rnd.randint(3, 90), 30) for _ in range(8)]
+    rows = []
+    for i in range(150):
+        text = list(rnd.choice(bases)) + words(rnd, rnd.randint(0, 4), 30)
+        for _ in range(rnd.randint(0, 3)):
+            text[rnd.randrange(len(text))] = f"e{rnd.randint(0, 5)}"
+        rows.append((rnd.randint(0, 120) if i % 3 else i, " ".join(text), "en", "s", 0))
+    got = jaccard.near_copies(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == brute_components([r[:2] for r in rows])
+
+
+# ---- columns of the operators' own names ----------------------------------------------------------------------
+
+
+CLASH = ["lang_pred", "score", "_gone", "_runs", "_did", "_th", "_id", "_hash", "_spans", "words", "size", "bucket", "digest", "salt", "key", "task", "rank", "held_out", "TARGET", "at", "n", "hash", "label", "token"]
+
+
+def clashing(df):
+    for i, name in enumerate(CLASH):
+        df = df.withColumn(name, F.lit(i))
+    return df
+
+
+def rows_of(df):
+    return sorted((tuple(map(str, r)) for r in df.collect()))
+
+
+def test_columns_of_any_name_pass_through(spark, tokenizer):
+    rnd = random.Random(13)
+    base = words(rnd, 80)
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(words(rnd, 30)), None, "", "zzz " * 60, " ".join(words(rnd, 20) + base[:60])]
+    plain = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, texts[0]])], DOCS)
+    bench = spark.createDataFrame([(1, "zzz zzz"), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    wide = clashing(plain)
+    for run in (
+        lambda d: decontaminate.report(d, clashing(bench) if d is wide else bench),
+        merkle.compare_edits,
+        lambda d: repair.read(repair.write(d, tokenizer)),
+        lambda d: resampling.resample(d, clashing(labels) if d is wide else labels),
+        superkmers.removal,
+        lambda d: language.identify(d, "doc_id"),
+        lambda d: packing.pack(d, tokenizer).drop("sequence_id", "offset"),
+        jaccard.near_copies,
+    ):
+        assert rows_of(run(wide)) == rows_of(run(plain))
+    for keep in (lambda d: decontaminate.remove(d, bench), lambda d: decontaminate.remove(d, bench, "spans"), superkmers.deduplicate, jaccard.representatives, language.keep_known):
+        got = keep(wide)
+        assert got.columns == wide.columns
+        assert rows_of(got.select(*plain.columns)) == rows_of(keep(plain))
+        assert all(list(r) == list(range(len(CLASH))) for r in got.select(*CLASH).collect())
+
+
+def test_pages_and_turns_with_columns_of_any_name(spark, tokenizer):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (2, "u", "a"), (3, None, None)], "page_id long, url string, html string")
+    extra = lambda df: df.withColumns({x: F.lit(1) for x in ("digest", "size", "salt", "first", "hot", "refers_to", "window", "loss", "context")})
+    run = lambda df: warc.read(warc.normalise(warc.write(df)))
+    assert rows_of(run(extra(pages))) == rows_of(run(pages))
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    assert rows_of(chat.format_and_read(extra(turns), tokenizer)) == rows_of(chat.format_and_read(turns, tokenizer))
+
+
+def test_warc_repeated_rows_and_hot_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_ROWS", 2)
+    pages = [(i, f"http://{i}", "same" if i % 2 else f"page {i // 4}") for i in range(40)] + [(7, "http://7", "same"), (7, "http://7", "same"), (None, None, "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    first: dict = {}
+    for i, _, html in pages:
+        if i is not None:
+            first[html] = min(first.get(html, i), i)
+    want = sorted(str((i, len(h), None if i == first[h] else first[h])) for i, _, h in pages)
+    assert sorted(str((r.page_id, r.payload_bytes, r.refers_to)) for r in warc.read(warc.normalise(warc.write(df))).collect()) == want
+
+
+def test_substring_dedup_of_thue_morse_words_and_hot_minimisers(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    rnd = random.Random(21)
+    x, y = thue_morse(1024)
+    same = words(rnd, 49)
+    rows = [(1, " ".join([*same[:20], x, *same[20:]])), (2, " ".join([*same[:20], y, *same[20:]])), (3, " ".join([*same[:20], x, *same[20:]]))]
+    rows += [(10 + i, " ".join(words(rnd, 30) + same + same + words(rnd, 30))) for i in range(6)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    for hot in (2000, 2):
+        got = sorted(map(tuple, superkmers.removal(df, hot=hot).collect()))
+        assert got == sorted(brute_removal(rows, 50)) and got[1][2] == 0 and got[2][2] == 50
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(superkmers, "run_hashes", lambda w, k: np.zeros(len(w) - k + 1, np.uint64))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([0, 0, 0, 0]), pa.array([0, 0, 0, 5], pa.int32()), pa.array(["a b c", "a b d", "a b c d", "x b d"])], names=["did", "th", "start", "words"])
+    assert superkmers._repeated(batch, 3).to_pylist() == [{"did": 3, "th": 0, "start": 0, "n": 1}]

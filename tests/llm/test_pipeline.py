@@ -21,3 +21,28 @@ def test_stages(spark):
     assert [x for x, _ in seen] == ["language", "near_copies", "repeated_passages", "benchmark", "packing"]
     kept = [n for _, n in seen]
     assert kept[0] > kept[1] >= kept[2] > kept[3] > 0
+
+
+def test_stages_with_nulls_repeats_and_columns_of_any_name(spark):
+    pytest.importorskip("public_tokenizers")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900, None, "en", "s", 0), (901, "", "en", None, 0), (902, "12 34", None, "s", 5), (None, "a text of some words without an id", "en", "s", 3)], docs.schema)
+    wide = docs.unionByName(docs).unionByName(odd)
+    for x in ("score", "lang_pred", "_gone", "_runs", "_spans"):
+        wide = wide.withColumn(x, pipeline.F.lit(x))
+    before = wide.count()
+    for name, stage in pipeline.STAGES[:-1]:
+        wide, columns = pipeline.materialise(stage(spark, wide, SF), f"test-odd-{name}"), wide.columns
+        assert wide.columns == columns and 0 < wide.count() <= before
+        assert all(r.score == "score" for r in wide.select("score").collect())
+        before = wide.count()
+    packed = pipeline.pack_sequences(spark, wide, SF)
+    assert packed.where("piece = 0").count() == before
+
+
+def test_stages_of_an_empty_table(spark):
+    pytest.importorskip("public_tokenizers")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0

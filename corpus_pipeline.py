@@ -20,7 +20,7 @@ from tessella.llm.queries import tokenizer
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.identify(docs, *docs.columns).where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+    return language.keep_known(docs)
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,8 +43,8 @@ def bucketed(rects: DataFrame, size: int, margin: int = 0) -> DataFrame:
     return rects
 
 
-def bucket_size(limit: int) -> int:
-    return max(8 * limit, 256)
+def bucket_size(limit: float) -> int:
+    return max(8 * int(limit), 256)
 
 
 def width(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE) -> DataFrame:

@@ -1,21 +1,26 @@
 """Checks on the edges of polygons of any angle: width, space, notch, separation, enclosure, grid and angle.
 
 Metrics: euclidean (segment to segment), square (largest coordinate difference over end points and midpoints), projection (end points onto the
-other edge's normal). Limits are strict; distance 0 is no violation but for enclosure. Results aren't made distinct.
+other edge's normal). Limits are strict; distance 0 (up to rounding) is no violation but for enclosure. Results aren't made distinct.
+
+Pairs within a polygon come from its own array of points, without a shuffle. Distances are computed step by step in projections of their own, so that
+generated methods stay short enough for the JVM to compile, and behind a generator, so that no filter on them is drawn into a join, to be tried on every
+pair that meets; pairs whose boxes are too far apart are left out before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.points import edges as point_edges
 from tessella.operators.bands import same
 from tessella.operators.drc import PAIR, bucket_size
 
-ENDS = (("x1", "y1"), ("x2", "y2"))
+ENDS = ["x1", "y1", "x2", "y2"]
+CONTACT = 1e-9  # what rounding may leave of a distance of 0
 
 
 def polygon_edges(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,117 +29,137 @@ def polygon_edges(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
     return e.select(*keys, "poly_idx", "n", "edge", "e.*")
 
 
-# ---- distances, as SQL over two edges -------------------------------------------------------------------------
-
+# ---- distances: tables with columns e and f (structs x1, y1, x2, y2) gain a column d ----------------------------
 
-def _point_segment(p: str, x: str, y: str, s: str) -> str:
-    px, py = f"cast({p}.{x} as double)", f"cast({p}.{y} as double)"
-    dx, dy = f"cast({s}.x2 - {s}.x1 as double)", f"cast({s}.y2 - {s}.y1 as double)"
-    length = f"({dx} * {dx} + {dy} * {dy})"
-    t = f"greatest(0.0D, least(1.0D, (({px} - {s}.x1) * {dx} + ({py} - {s}.y1) * {dy}) / {length}))"
-    ax, ay = f"({px} - {s}.x1)", f"({py} - {s}.y1)"
-    far = f"sqrt(({px} - ({s}.x1 + {t} * {dx})) * ({px} - ({s}.x1 + {t} * {dx})) + ({py} - ({s}.y1 + {t} * {dy})) * ({py} - ({s}.y1 + {t} * {dy})))"
-    return f"(case when {length} = 0 then sqrt({ax} * {ax} + {ay} * {ay}) else {far} end)"
 
+def _distance(pairs: DataFrame, d: str) -> DataFrame:
+    return pairs.select("*", F.explode(F.array(F.expr(d))).alias("d"))
 
-def _crossing(e: str, f: str) -> str:
-    """The segments meet in one point (parallel ones don't), in exact integers."""
-    d1x, d1y, d2x, d2y = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)", f"({f}.x2 - {f}.x1)", f"({f}.y2 - {f}.y1)"
-    ox, oy = f"({f}.x1 - {e}.x1)", f"({f}.y1 - {e}.y1)"
-    det, t, u = f"({d1x} * {d2y} - {d1y} * {d2x})", f"({ox} * {d2y} - {oy} * {d2x})", f"({ox} * {d1y} - {oy} * {d1x})"
-    return f"({det} <> 0 and sign({det}) * {t} between 0 and abs({det}) and sign({det}) * {u} between 0 and abs({det}))"
 
+def _vectors(pairs: DataFrame) -> DataFrame:
+    """Direction (x, y) of both edges, and from the start of e to the start of f, as doubles."""
+    whole = {"ex": "e.x2 - e.x1", "ey": "e.y2 - e.y1", "fx": "f.x2 - f.x1", "fy": "f.y2 - f.y1", "ox": "f.x1 - e.x1", "oy": "f.y1 - e.y1"}
+    return pairs.select("*", *(F.expr(f"cast({v} as double)").alias(k) for k, v in whole.items()))
 
-def euclidean(e: str, f: str) -> str:
-    nearest = ", ".join([_point_segment(e, x, y, f) for x, y in ENDS] + [_point_segment(f, x, y, e) for x, y in ENDS])
-    return f"(case when {_crossing(e, f)} then 0.0D else least({nearest}) end)"
 
+def _normals(pairs: DataFrame) -> DataFrame:
+    """Unit normals of both edges; that of a point is (0, 1)."""
+    sized = pairs.select("*", F.expr("sqrt(ex * ex + ey * ey)").alias("el"), F.expr("sqrt(fx * fx + fy * fy)").alias("fl"))
+    return sized.select("*", *(F.expr(x).alias(k) for s in "ef" for k, x in ((f"{s}nx", f"if({s}l = 0, 0.0D, -{s}y / {s}l)"), (f"{s}ny", f"if({s}l = 0, 1.0D, {s}x / {s}l)"))))
 
-def square(e: str, f: str) -> str:
-    def mid(s: str) -> tuple[str, str]:
-        return f"(({s}.x1 + {s}.x2) div 2)", f"(({s}.y1 + {s}.y2) div 2)"
 
-    ends = {s: [(f"{s}.{x}", f"{s}.{y}") for x, y in ENDS] for s in (e, f)}
-    pairs = [(p, q) for p in [*ends[e], mid(e)] for q in [*ends[f], mid(f)]]
-    return "cast(least(" + ", ".join(f"greatest(abs({p[0]} - {q[0]}), abs({p[1]} - {q[1]}))" for p, q in pairs) + ") as double)"
+def _euclidean(pairs: DataFrame) -> DataFrame:
+    """0 where the segments cross (in exact integers; parallel ones don't), else the least of four distances from an end point to the other segment."""
+    v = _vectors(pairs)
+    cross = {"det": ("e.x2 - e.x1", "f.y2 - f.y1", "e.y2 - e.y1", "f.x2 - f.x1"), "t": ("f.x1 - e.x1", "f.y2 - f.y1", "f.y1 - e.y1", "f.x2 - f.x1"), "u": ("f.x1 - e.x1", "e.y2 - e.y1", "f.y1 - e.y1", "e.x2 - e.x1")}
+    v = v.select("*", *(F.expr(f"({a}) * ({b}) - ({c}) * ({d})").alias(k) for k, (a, b, c, d) in cross.items()))
+    v = v.select("*", F.expr("det <> 0 and sign(det) * t between 0 and abs(det) and sign(det) * u between 0 and abs(det)").alias("crossing"))
+    # the ends of f seen from the start of e, those of e seen from the start of f
+    ends = {"p": ("ox", "oy", "e"), "q": ("ox + fx", "oy + fy", "e"), "r": ("-ox", "-oy", "f"), "s": ("ex - ox", "ey - oy", "f")}
+    along = [F.expr(f"if({on}x * {on}x + {on}y * {on}y = 0, 0.0D, greatest(0.0D, least(1.0D, (({x}) * {on}x + ({y}) * {on}y) / ({on}x * {on}x + {on}y * {on}y))))").alias(f"{k}t") for k, (x, y, on) in ends.items()]
+    v = v.select("*", *along)
+    v = v.select("*", *(F.expr(f"({z}) - {k}t * {on}{c}").alias(f"{k}{c}") for k, (x, y, on) in ends.items() for c, z in (("x", x), ("y", y))))
+    return _distance(v, "if(crossing, 0.0D, sqrt(least(" + ", ".join(f"{k}x * {k}x + {k}y * {k}y" for k in ends) + ")))")
 
 
-def _normal(e: str) -> tuple[str, str]:
-    length = f"sqrt(cast({e}.x2 - {e}.x1 as double) * ({e}.x2 - {e}.x1) + cast({e}.y2 - {e}.y1 as double) * ({e}.y2 - {e}.y1))"
-    return f"(case when {length} = 0 then 0.0D else -({e}.y2 - {e}.y1) / {length} end)", f"(case when {length} = 0 then 1.0D else ({e}.x2 - {e}.x1) / {length} end)"
+def _square(pairs: DataFrame) -> DataFrame:
+    v = pairs.select("*", *(F.expr(f"({s}.{c}1 + {s}.{c}2) div 2").alias(f"{s}m{c}") for s in "ef" for c in "xy"))
+    at = {s: [(f"{s}.x1", f"{s}.y1"), (f"{s}.x2", f"{s}.y2"), (f"{s}mx", f"{s}my")] for s in "ef"}
+    apart = [f"greatest(abs({p[0]} - {q[0]}), abs({p[1]} - {q[1]}))" for p in at["e"] for q in at["f"]]
+    return _distance(v, f"cast(least({', '.join(apart)}) as double)")
 
 
-def projection(e: str, f: str) -> str:
-    parts = []
-    for a, b in ((e, f), (f, e)):
-        nx, ny = _normal(a)
-        parts += [f"abs(({b}.{x} - {a}.x1) * {nx} + ({b}.{y} - {a}.y1) * {ny})" for x, y in ENDS]
-    return f"least({', '.join(parts)})"
+def _projection(pairs: DataFrame) -> DataFrame:
+    v = _normals(_vectors(pairs))
+    ends = [("ox", "oy", "e"), ("ox + fx", "oy + fy", "e"), ("-ox", "-oy", "f"), ("ex - ox", "ey - oy", "f")]
+    return _distance(v, "least(" + ", ".join(f"abs(({x}) * {on}nx + ({y}) * {on}ny)" for x, y, on in ends) + ")")
 
 
-def facing(e: str, f: str) -> str:
-    (ax, ay), (bx, by) = _normal(e), _normal(f)
-    return f"({ax} * {bx} + {ay} * {by} < -0.5)"
+METRICS = {"euclidean": _euclidean, "square": _square, "projection": _projection}
 
 
-METRICS = {"euclidean": euclidean, "square": square, "projection": projection}
+def _facing(pairs: DataFrame) -> DataFrame:
+    """The pairs whose normals point against each other."""
+    v = _normals(_vectors(pairs)).where("enx * fnx + eny * fny < -0.5D")
+    return v.select(*pairs.columns)
 
 
 # ---- checks ---------------------------------------------------------------------------------------------------
 
 
-def _pairs(met: DataFrame, keys: Sequence[str]) -> DataFrame:
-    ends = [F.col(f"{s}.{c}").alias(name) for s, names in (("e", PAIR[:4]), ("f", PAIR[4:])) for c, name in zip(("x1", "y1", "x2", "y2"), names)]
-    return met.select(*(F.col(f"e.{k}").alias(k) for k in keys), *ends)
+def _literal(limit: float) -> str:
+    return str(int(limit)) if limit == int(limit) else f"{limit!r}D"  # a bare fraction would be a decimal, which is slow
+
+
+def _near(limit: float, e: str = "e", f: str = "f") -> Column:
+    """The boxes of two edges are less than limit apart on both axes."""
+    return F.expr(" and ".join(f"least({a}.{c}1, {a}.{c}2) < greatest({b}.{c}1, {b}.{c}2) + {_literal(limit)}" for c in "xy" for a, b in ((e, f), (f, e))))
 
 
-def _within(polygons: DataFrame, keys: Sequence[str], least_edges: int) -> DataFrame:
-    """Pairs of edges of one polygon that share no vertex."""
-    e = polygon_edges(polygons, keys).where(f"n >= {least_edges}")
-    apart = F.expr("e.edge + 2 <= f.edge and not (e.edge = 0 and f.edge = e.n - 1)")
-    return e.alias("e").join(e.alias("f"), same([*keys, "poly_idx"], "e", "f") & apart)
+def _violations(pairs: DataFrame, keys: Sequence[str], metric: str, limit: float) -> DataFrame:
+    found = METRICS[metric](pairs).where(f"d > {CONTACT}D and d < {_literal(limit)}")
+    return found.select(*keys, *(F.col(f"{s}.{c}").alias(name) for s, names in (("e", PAIR[:4]), ("f", PAIR[4:])) for c, name in zip(ENDS, names)))
+
+
+def _within(polygons: DataFrame, keys: Sequence[str], least_edges: int, limit: float, metric: str) -> DataFrame:
+    """keys, e, f: edges of one polygon that share no vertex. A short projection can join edges at any distance, so there none is left out."""
+    own = polygons.select(*keys, point_edges(F.col("points")).alias("edges")).where(f"size(edges) >= {least_edges}")
+    first = own.select(*keys, "edges", F.posexplode("edges").alias("i", "e"))
+    later = first.select(*keys, "e", "i", F.size("edges").alias("n"), F.posexplode(F.expr("slice(edges, i + 3, greatest(size(edges) - i - 2, 0))")).alias("k", "f"))
+    apart = later.where("not (i = 0 and k + 3 = n)").select(*keys, "e", "f")
+    return apart if metric == "projection" else apart.where(_near(limit))
 
 
 def width(polygons: DataFrame, keys: Sequence[str], limit: float, metric: str = "euclidean") -> DataFrame:
-    d = METRICS[metric]("e", "f")
-    return _pairs(_within(polygons, keys, 3).where(f"{d} > 0 and {d} < {limit}"), keys)
+    return _violations(_within(polygons, keys, 3, limit, metric), keys, metric, limit)
 
 
 def notch(polygons: DataFrame, keys: Sequence[str], limit: float, metric: str = "euclidean") -> DataFrame:
     """Pairs whose normals point against each other."""
-    d = METRICS[metric]("e", "f")
-    return _pairs(_within(polygons, keys, 4).where(f"{facing('e', 'f')} and {d} > 0 and {d} < {limit}"), keys)
+    return _violations(_facing(_within(polygons, keys, 4, limit, metric)), keys, metric, limit)
+
 
+def _structs(met: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return met.select(*(F.col(f"e.{k}").alias(k) for k in keys), *(F.struct(*(F.col(f"{s}.{c}") for c in ENDS)).alias(s) for s in "ef"))
 
-def space(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean") -> DataFrame:
-    """Pairs of edges of a and b. For the euclidean and square metrics edges meet through grid buckets; a projection can be short at any distance, so
+
+def space(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: float, metric: str = "euclidean", once: bool = False) -> DataFrame:
+    """Pairs of edges of a and b; with `once`, of polygons of which the first has the smaller poly_idx. For the euclidean and square metrics edges meet through grid buckets; a projection can be short at any distance, so
     there all edges of a group's two regions are compared."""
     e, f = polygon_edges(a, keys), polygon_edges(b, keys)
-    d = METRICS[metric]("e", "f")
-    cond, near = same(keys, "e", "f"), "true"
+    cond = same(keys, "e", "f") & (F.col("e.poly_idx") < F.col("f.poly_idx") if once else F.lit(True))
     if metric != "projection":
         size = bucket_size(limit)
         for name, lo, hi in (("bx", "x1", "x2"), ("by", "y1", "y2")):
-            span = F.expr(f"explode(sequence(cast(floor((least({lo}, {hi}) - {limit}) / {size}) as bigint), cast(floor((greatest({lo}, {hi}) + {limit}) / {size}) as bigint)))")
+            span = F.expr(f"explode(sequence(cast(floor((least({lo}, {hi}) - {_literal(limit)}) / {size}) as bigint), cast(floor((greatest({lo}, {hi}) + {_literal(limit)}) / {size}) as bigint)))")
             e, f = e.select("*", span.alias(name)), f.select("*", span.alias(name))
-            cond = cond & F.expr(f"e.{name} = f.{name} and e.{name} = floor((greatest(least(e.{lo}, e.{hi}), least(f.{lo}, f.{hi})) - {limit}) / {size})")
-            near += f" and least(e.{lo}, e.{hi}) < greatest(f.{lo}, f.{hi}) + {limit} and least(f.{lo}, f.{hi}) < greatest(e.{lo}, e.{hi}) + {limit}"
-    # the case keeps the long distance expression from being tried on pairs that are far apart
-    return _pairs(e.alias("e").join(f.alias("f"), cond).where(f"case when {near} then {d} > 0 and {d} < {limit} else false end"), keys)
+            cond = cond & F.expr(f"e.{name} = f.{name} and e.{name} = floor((greatest(least(e.{lo}, e.{hi}), least(f.{lo}, f.{hi})) - {_literal(limit)}) / {size})")
+        cond = cond & _near(limit)
+    return _violations(_structs(e.alias("e").join(f.alias("f"), cond), keys), keys, metric, limit)
 
 
-def separation(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean") -> DataFrame:
+def separation(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: float, metric: str = "euclidean") -> DataFrame:
     return space(a, b, keys, limit, metric)
 
 
 def enclosure(outer: DataFrame, inner: DataFrame, keys: Sequence[str], limit: float, metric: str = "euclidean") -> DataFrame:
-    """Each inner edge with the nearest edge (the first of equals) of each outer polygon, where nearer than limit. Distance 0 counts."""
-    e, f = polygon_edges(inner, keys).alias("e"), polygon_edges(outer, keys).alias("f")
-    met = e.join(f, same(keys, "e", "f")).withColumn("d", F.expr(METRICS[metric]("e", "f")))
-    group = [*(F.col(f"e.{k}").alias(k) for k in keys), F.col("e.poly_idx").alias("ip"), F.col("e.edge").alias("ie"), F.col("f.poly_idx").alias("op")]
-    pick = F.struct(*(F.col(f"{s}.{c}").alias(name) for s, names in (("e", PAIR[:4]), ("f", PAIR[4:])) for c, name in zip(("x1", "y1", "x2", "y2"), names)))
-    best = met.groupBy(*group).agg(F.min("d").alias("d"), F.min_by(pick, F.struct("d", "f.edge")).alias("pair"))
-    return best.where(f"d < {limit}").select(*keys, "pair.*")
+    """Each inner edge with the nearest edge (the first of equals) of each outer polygon, where nearer than limit. Distance 0 counts.
+
+    For the euclidean and square metrics only edges that meet in a grid bucket can be that near; the nearest of those is the nearest of all.
+    """
+    e, f = polygon_edges(inner, keys), polygon_edges(outer, keys)
+    cond = same(keys, "e", "f")
+    if metric != "projection":
+        size = bucket_size(limit)
+        for name, lo, hi in (("bx", "x1", "x2"), ("by", "y1", "y2")):
+            span = F.expr(f"explode(sequence(cast(floor((least({lo}, {hi}) - {_literal(limit)}) / {size}) as bigint), cast(floor((greatest({lo}, {hi}) + {_literal(limit)}) / {size}) as bigint)))")
+            e, f = e.select("*", span.alias(name)), f.select("*", span.alias(name))
+            cond = cond & F.expr(f"e.{name} = f.{name} and e.{name} = floor((greatest(least(e.{lo}, e.{hi}), least(f.{lo}, f.{hi})) - {_literal(limit)}) / {size})")
+        cond = cond & _near(limit)
+    met = e.alias("e").join(f.alias("f"), cond).select(*(F.col(f"e.{k}").alias(k) for k in keys), F.col("e.poly_idx").alias("ip"), F.col("e.edge").alias("ie"), F.col("f.poly_idx").alias("op"), F.col("f.edge").alias("oe"), *(F.struct(*(F.col(f"{s}.{c}") for c in ENDS)).alias(s) for s in "ef"))
+    near = METRICS[metric](met).where(f"d < {_literal(limit)}")
+    best = near.groupBy(*keys, "ip", "ie", "op").agg(F.min_by(F.struct("e", "f"), F.struct("d", "oe")).alias("p"))
+    return best.select(*keys, *(F.col(f"p.{s}.{c}").alias(name) for s, names in (("e", PAIR[:4]), ("f", PAIR[4:])) for c, name in zip(ENDS, names)))
 
 
 def grid(polygons: DataFrame, keys: Sequence[str], gx: int, gy: int) -> DataFrame:

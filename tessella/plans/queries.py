@@ -12,6 +12,8 @@ from tessella.operators import bands, boolean, connectivity, drc, edges, sizing
 from tessella.plans.shapes import KEYS, RINGS, SHAPES_SQL, SIDES, numbered, pair, polygons, shapes
 
 WIDTH, SPACE, ENCLOSURE, NOTCH, GROW = 14, 4, 3, 16, 7
+#: Limits for slanted edges: no distance between edges as short as these shapes' is equal to them, so two ways of rounding agree.
+EDGE_SPACE, EDGE_ENCLOSURE = 4.123, 3.123
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 K = "cell_id, layer"
@@ -59,11 +61,6 @@ def ring_sql(kind: str) -> str:
     return f"ring AS (SELECT cell_id, layer, id, n, edge, ex1 AS x1, ey1 AS y1, ex2 AS x2, ey2 AS y2 FROM ({rows}))"
 
 
-def duck(sql: str) -> str:
-    return sql.replace("0.0D", "0.0::DOUBLE").replace("1.0D", "1.0::DOUBLE").replace(" div ", " // ")
-
-
-EDGE_PAIR = "e.x1 AS e1x1, e.y1 AS e1y1, e.x2 AS e1x2, e.y2 AS e1y2, f.x1 AS e2x1, f.y1 AS e2y1, f.x2 AS e2x2, f.y2 AS e2y2"
 PAIR = ", ".join(drc.PAIR)
 #: the lesser edge first
 ORDERED = f"SELECT DISTINCT {K}, " + ", ".join(f"CASE WHEN (e2x1, e2y1, e2x2, e2y2) < (e1x1, e1y1, e1x2, e1y2) THEN {drc.PAIR[(i + 4) % 8]} ELSE {c} END AS {c}" for i, c in enumerate(drc.PAIR))
@@ -170,33 +167,71 @@ def enclosure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- edges ----------------------------------------------------------------------------------------------------
 
+_BOTH = "e.x1 AS a_x, e.y1 AS a_y, e.x2 AS b_x, e.y2 AS b_y, f.x1 AS c_x, f.y1 AS c_y, f.x2 AS d_x, f.y2 AS d_y"
+_OUT = "a_x AS e1x1, a_y AS e1y1, b_x AS e1x2, b_y AS e1y2, c_x AS e2x1, c_y AS e2y1, d_x AS e2x2, d_y AS e2y2"
+
+
+def edge_distance_sql(metric: str, pairs: str, carried: str) -> str:
+    """CTEs ending in far: the edge pairs (a to b, c to d, with a number no) of a table, the columns carried, and their distance."""
+    legs = (("c", "a", "b"), ("d", "a", "b"), ("a", "c", "d"), ("b", "c", "d"))  # a point, and the segment it is seen from
+    if metric == "square":
+        mids = "unnest([[a_x, a_y], [b_x, b_y], [(a_x + b_x) // 2, (a_y + b_y) // 2]]) AS p, [[c_x, c_y], [d_x, d_y], [(c_x + d_x) // 2, (c_y + d_y) // 2]] AS qs"
+        return f"spots AS (SELECT no, p, unnest(qs) AS q FROM (SELECT no, {mids} FROM {pairs})), least_d AS (SELECT no, min(greatest(abs(p[1] - q[1]), abs(p[2] - q[2]))) AS d FROM spots GROUP BY no), far AS (SELECT {carried}, {_OUT}, d FROM {pairs} JOIN least_d USING (no))"
+    rows = " UNION ALL ".join(f"SELECT no, {p}_x - {s}_x AS wx, {p}_y - {s}_y AS wy, {t}_x - {s}_x AS ux, {t}_y - {s}_y AS uy FROM {pairs}" for p, s, t in legs)
+    if metric == "projection":
+        leg = "CASE WHEN ux = 0 AND uy = 0 THEN abs(wy)::DOUBLE ELSE abs(ux * wy - uy * wx) / sqrt((ux * ux + uy * uy)::DOUBLE) END"
+        crossing = "false"
+    else:
+        leg = "CASE WHEN ux * wx + uy * wy <= 0 THEN sqrt((wx * wx + wy * wy)::DOUBLE) WHEN ux * wx + uy * wy >= ux * ux + uy * uy THEN sqrt(((wx - ux) * (wx - ux) + (wy - uy) * (wy - uy))::DOUBLE) ELSE abs(ux * wy - uy * wx) / sqrt((ux * ux + uy * uy)::DOUBLE) END"
+        side = lambda s, t, p: f"sign(({t}_x - {s}_x) * ({p}_y - {s}_y) - ({t}_y - {s}_y) * ({p}_x - {s}_x))"
+        crossing = f"(b_x - a_x) * (d_y - c_y) <> (b_y - a_y) * (d_x - c_x) AND {side('a', 'b', 'c')} * {side('a', 'b', 'd')} <= 0 AND {side('c', 'd', 'a')} * {side('c', 'd', 'b')} <= 0"
+    return f"legs AS ({rows}), least_d AS (SELECT no, min({leg}) AS d FROM legs GROUP BY no), far AS (SELECT {carried}, {_OUT}, CASE WHEN {crossing} THEN 0 ELSE d END AS d FROM {pairs} JOIN least_d USING (no))"
+
 
 def _edge_query(name: str, check: Callable, kind: str, metric: str, least_edges: int, cond: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return check(polygons(shapes(spark, sf_dir), kind), KEYS, NOTCH, metric)
 
     run.__name__ = f"{name}_{metric}"
-    d = edges.METRICS[metric]("e", "f")
-    query(duck(f"WITH {SHAPES_SQL}, {ring_sql(kind)} SELECT e.cell_id, e.layer, {EDGE_PAIR} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer = f.layer AND e.id = f.id AND e.edge + 2 <= f.edge AND NOT (e.edge = 0 AND f.edge = e.n - 1) WHERE e.n >= {least_edges} AND {cond} AND {d} > 0 AND {d} < {NOTCH}"))(run)
+    pairs = f"pairs AS (SELECT row_number() OVER () AS no, e.cell_id, e.layer, {_BOTH} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer = f.layer AND e.id = f.id AND f.edge - e.edge BETWEEN 2 AND e.n - 1 - CASE WHEN e.edge = 0 THEN 1 ELSE 0 END WHERE e.n >= {least_edges}), kept AS (SELECT * FROM pairs WHERE {cond})"
+    query(f"WITH {SHAPES_SQL}, {ring_sql(kind)}, {pairs}, {edge_distance_sql(metric, 'kept', K)} SELECT {K}, {PAIR} FROM far WHERE d > 0 AND d < {NOTCH}")(run)
 
 
+_AGAINST = "(b_x - a_x) * (d_x - c_x) + (b_y - a_y) * (d_y - c_y) < -0.5 * sqrt(((b_x - a_x) ** 2 + (b_y - a_y) ** 2)::DOUBLE) * sqrt(((d_x - c_x) ** 2 + (d_y - c_y) ** 2)::DOUBLE)"
 for _metric in edges.METRICS:
-    _edge_query("edge_width", edges.width, "triangle" if _metric == "projection" else "ell", _metric, 3, "true")
-    _edge_query("notch", edges.notch, "ell", _metric, 4, edges.facing("e", "f"))
+    _edge_query("edge_width", edges.width, "kite" if _metric == "projection" else "ell", _metric, 3, "true")
+    _edge_query("notch", edges.notch, "ell", _metric, 4, _AGAINST)
 
 
-def _separation_query(metric: str) -> None:
+def _separation_query(metric: str, kind: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        a, b = (polygons(x, "triangle") for x in pair(spark, sf_dir))
-        return edges.separation(a, b, KEYS, SPACE, metric)
+        a, b = (polygons(x, kind) for x in pair(spark, sf_dir))
+        return edges.separation(a, b, KEYS, EDGE_SPACE, metric)
 
     run.__name__ = f"separation_{metric}"
-    d = edges.METRICS[metric]("e", "f")
-    query(duck(f"WITH {SHAPES_SQL}, {ring_sql('triangle')} SELECT e.cell_id, e.layer, {EDGE_PAIR} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer + 1 = f.layer WHERE e.layer <= 6 AND {d} > 0 AND {d} < {SPACE}"))(run)
+    close = " AND ".join(f"least({s}.{c}1, {s}.{c}2) < greatest({t}.{c}1, {t}.{c}2) + {EDGE_SPACE}" for c in "xy" for s, t in (("e", "f"), ("f", "e")))
+    pairs = f"pairs AS (SELECT row_number() OVER () AS no, e.cell_id, e.layer, {_BOTH} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer + 1 = f.layer WHERE e.layer <= 6 AND {close})"
+    query(f"WITH {SHAPES_SQL}, {ring_sql(kind)}, {pairs}, {edge_distance_sql(metric, 'pairs', K)} SELECT {K}, {PAIR} FROM far WHERE d > 0 AND d < {EDGE_SPACE}")(run)
+
+
+for _metric in ("euclidean", "square"):
+    _separation_query(_metric, "triangle")
+
+
+def _edge_enclosure_query(metric: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        outer, inner = (polygons(x, "ell") for x in pair(spark, sf_dir))
+        found = edges.enclosure(outer, inner, KEYS, EDGE_ENCLOSURE, metric)
+        return found.groupBy(*KEYS, *drc.PAIR[:4]).agg(F.count("*").alias("outer_polygons"))  # which of two edges as near is named depends on rounding
+
+    run.__name__ = f"edge_enclosure_{metric}"
+    close = " AND ".join(f"least({s}.{c}1, {s}.{c}2) < greatest({t}.{c}1, {t}.{c}2) + {EDGE_ENCLOSURE}" for c in "xy" for s, t in (("e", "f"), ("f", "e")))
+    pairs = f"pairs AS (SELECT row_number() OVER () AS no, f.cell_id, f.layer, e.id AS ip, e.edge AS ie, f.id AS op, f.edge AS oe, {_BOTH} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer = f.layer + 1 WHERE f.layer <= 6 AND {close})"
+    query(f"WITH {SHAPES_SQL}, {ring_sql('ell')}, {pairs}, {edge_distance_sql(metric, 'pairs', K + ', ip, ie, op, oe')} SELECT {K}, {', '.join(drc.PAIR[:4])}, count(*) AS outer_polygons FROM (SELECT DISTINCT {K}, ip, ie, op, {', '.join(drc.PAIR[:4])} FROM far WHERE d < {EDGE_ENCLOSURE}) GROUP BY ALL")(run)
 
 
 for _metric in ("euclidean", "square"):
-    _separation_query(_metric)
+    _edge_enclosure_query(_metric)
 
 
 @query(f"WITH {SHAPES_SQL}, v AS (SELECT {K}, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y FROM shapes) SELECT {K}, x AS e1x1, y AS e1y1, x AS e1x2, y AS e1y2, (x + 2) // 5 * 5 AS e2x1, (y + 5) // 10 * 10 AS e2y1, (x + 2) // 5 * 5 AS e2x2, (y + 5) // 10 * 10 AS e2y2 FROM v WHERE x % 5 <> 0 OR y % 10 <> 0")

@@ -32,11 +32,12 @@ RINGS = {
     "box": "x1 y1, x2 y1, x2 y2, x1 y2, x1 y1",
     "ell": "x1 y1, x2 y1, x2 ym, xm ym, xm y2, x1 y2, x1 y1",
     "triangle": "x1 y1, x2 y1, x1 y2, x1 y1",
+    "kite": "xm y1, x2 ym, xm y2, x1 ym, xm y1",
 }
 
 
 def polygons(rects: DataFrame, kind: str = "box") -> DataFrame:
-    """One polygon in each rectangle: its border, an L or a triangle."""
+    """One polygon in each rectangle: its border, an L, a triangle or a kite."""
     ring = F.array(*(F.struct(F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y")) for x, y in (p.split() for p in RINGS[kind].split(", "))))
     middle = numbered(rects).withColumns({"xm": F.expr("(x1 + x2) div 2"), "ym": F.expr("(y1 + y2) div 2")})
     return middle.select("cell_id", "layer", "poly_idx", ring.alias("points"))

@@ -36,14 +36,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{re.sub('^file:/+', 'file:///', whole).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []  # folders of intermediate tables of this driver
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many intermediate tables there are by now."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the intermediate tables written since then. Only for callers whose results are written elsewhere by now."""
+    while len(_written) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_each(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of many, a written table, with one, which has a row a key, where a key may hold most rows of many.
 

@@ -42,6 +42,7 @@ FAN = 64  # tables added up at a time, of at most half a megabyte each
 MEMBER_BITS = 26  # of the bitmap of documents that a join needs: 8 MB at most
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)  # first, plain, last
 SPLIT = 256  # candidates of a pivot that one task takes; for very large pivots the root of their number
+SLICE = 1 << 19  # bytes of text whose sets a task makes at a time
 FULL = 1 << 16  # rows of a token counter beyond which its tokens meet in parts
 FACTS = "doc_id long, th long, size int, one long, two long, plain array<int>, task int, chunk int, counts binary"
 PREFIX = "token long, part int, doc_id long, one long, two long, size int, at int"
@@ -117,7 +118,7 @@ def facts(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "th", "size", "one", "two", "plain", "task", "chunk", "counts"]
         seen = np.zeros(1 << BITS, np.uint32)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             token, end = sets(column(batch, "text"), k)
             np.add.at(seen, token >> np.uint64(64 - BITS), np.uint32(1))
             one, two = digests(token, end)
@@ -178,7 +179,7 @@ def prefixes(docs: DataFrame, classes, parts, k: int = WORDS, percent: int = PER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[tuple[int, int]] = set()  # the digests of this task's documents
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             token, end = sets(column(batch, "text"), k)
             one, two = digests(token, end)
             size = np.diff(end, prepend=0)
@@ -307,7 +308,7 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, frequency, k:
     """The pairs that link: sets meet at a, the last order's prefixes are intersected, then the sets."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             token, end = sets(column(batch, "text"), k)
             start = np.concatenate(([0], end[:-1]))
             places = column(batch, "places").to_pylist()

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 
 SF = "/root/testdata/sf0.001"
 
 
+def written(df):
+    """A stage's result as the next one gets it."""
+    path = pipeline.shared_dir(df.sparkSession, "test-stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def test_stages(spark):
     pytest.importorskip("public_tokenizers")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = docs.columns, []
     for name, stage in pipeline.STAGES:
-        docs = pipeline.materialise(stage(spark, docs, SF), f"test-{name}")
+        docs = written(stage(spark, docs, SF))
         seen.append((name, docs.count()))
         if name != pipeline.STAGES[-1][0]:
             assert docs.columns == columns
@@ -29,10 +37,10 @@ def test_stages_with_nulls_repeats_and_columns_of_any_name(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (900, None, "en", "s", 0), (901, "", "en", None, 0), (902, "12 34", None, "s", 5), (None, "a text of some words without an id", "en", "s", 3)], docs.schema)
     wide = docs.unionByName(docs).unionByName(odd)
     for x in ("score", "lang_pred", "_gone", "_runs", "_spans"):
-        wide = wide.withColumn(x, pipeline.F.lit(x))
+        wide = wide.withColumn(x, F.lit(x))
     before = wide.count()
     for name, stage in pipeline.STAGES[:-1]:
-        wide, columns = pipeline.materialise(stage(spark, wide, SF), f"test-odd-{name}"), wide.columns
+        wide, columns = written(stage(spark, wide, SF)), wide.columns
         assert wide.columns == columns and 0 < wide.count() <= before
         assert all(r.score == "score" for r in wide.select("score").collect())
         before = wide.count()
@@ -44,5 +52,5 @@ def test_stages_of_an_empty_table(spark):
     pytest.importorskip("public_tokenizers")
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
-        docs = stage(spark, docs, SF)
+        docs = written(stage(spark, docs, SF))
         assert docs.count() == 0

@@ -5,6 +5,8 @@
 3. repeated_passages: words of 50-word windows that an earlier document has go; n_chars follows the text.
 4. benchmark: documents of which a twentieth or more is benchmark text go.
 5. packing: the rest is packed into sequences of 2048 tokens.
+
+A stage's input is written before it starts, so each stage first deletes what the stages before it left in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,27 +17,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, jaccard, language, packing, superkmers
-from tessella.llm.common import materialise, table
+from tessella.llm.common import release, shared_dir, table, written
 from tessella.llm.queries import tokenizer
 
 
+_since = 0  # intermediate tables there were when the latest stage began
+
+
+def _begin(spark: SparkSession, first: bool = False) -> None:
+    global _since
+    if not first:
+        release(spark, _since)
+    _since = written()
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark, first=True)
     return language.keep_known(docs)
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return jaccard.representatives(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return superkmers.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return packing.pack(docs, tokenizer())
 
 
@@ -53,5 +70,7 @@ ORACLE_SQL = None  # a trained language model is no SQL
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out, made = shared_dir(spark, f"pipeline-{name}"), stage(spark, docs, sf_dir)
+        made.write.parquet(out)
+        docs = spark.read.schema(made.schema).parquet(out)
     return docs

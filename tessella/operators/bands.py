@@ -1,8 +1,9 @@
 """Coverage of rectilinear geometry: polygons to rectangles, rectangles to disjoint canonical bands.
 
-A rectangle table has key columns (cell, layer, ...) and x1, y1, x2, y2. Work is partitioned by the keys and a y tile, so a huge plane is many
-groups; each tile is cut into slabs between neighbouring y edges, and window functions over x do the rest. All steps after the first
-shuffle keep its partitioning. Rectangles without area cover nothing. Null keys are keys like any other.
+A rectangle table has key columns (cell, layer, ...) and x1, y1, x2, y2. Work is partitioned by the keys and a y tile, and for planes that are
+large along x too (`wide=False`) by an x tile, so a huge plane is many groups; each tile is cut into slabs between neighbouring y edges, and window
+functions over x do the rest. Bands that touch the border of an x tile are swept once more, those alone, to join them. Bands of equal x range
+are then joined along y, which shuffles them by that range. Rectangles without area cover nothing. Null keys are keys like any other.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.session import materialise
+
 TILE = 8192  # height of a tile in database units
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -30,20 +33,25 @@ def transpose(rects: DataFrame) -> DataFrame:
     return rects.select(*(F.col(other.get(c, c)).alias(c) for c in rects.columns))
 
 
-def tiled(rects: DataFrame, tile: int = TILE) -> DataFrame:
-    """Rectangles cut at tile borders, with the tile's number."""
-    cut = rects.where("x1 < x2 and y1 < y2").withColumn("tile", F.explode(F.expr(f"sequence(cast(floor(y1 / {tile}) as bigint), cast(floor((y2 - 1) / {tile}) as bigint))")))
-    return cut.withColumns({"y1": F.greatest("y1", F.col("tile") * tile), "y2": F.least("y2", (F.col("tile") + 1) * tile)})
+def tiled(rects: DataFrame, tile: int = TILE, wide: bool = True) -> DataFrame:
+    """Rectangles cut at tile borders, with the numbers of the tile (tx is 0 for tiles as wide as the plane). One that ends before it starts raises."""
+    turned = F.expr("x1 > x2 or y1 > y2")
+    sound = rects.withColumn("x1", F.when(turned, F.raise_error(F.lit("a rectangle ends before it starts")).cast("bigint")).otherwise(F.col("x1")))
+    cut = sound.where("x1 < x2 and y1 < y2")
+    for name, lo, hi in (("tile", "y1", "y2"),) if wide else (("tile", "y1", "y2"), ("tx", "x1", "x2")):
+        cut = cut.withColumn(name, F.explode(F.expr(f"sequence(cast(floor({lo} / {tile}) as bigint), cast(floor(({hi} - 1) / {tile}) as bigint))")))
+        cut = cut.withColumns({lo: F.greatest(lo, F.col(name) * tile), hi: F.least(hi, (F.col(name) + 1) * tile)})
+    return cut.withColumn("tx", F.lit(0).cast("bigint")) if wide else cut
 
 
-def slab_cells(a: DataFrame, b: DataFrame | None, keys: Sequence[str], tile: int = TILE) -> DataFrame:
-    """Elementary cells keys, tile, y1, y2, x1, x2 with a and b, the number of rectangles of each side that cover them."""
+def slab_cells(a: DataFrame, b: DataFrame | None, keys: Sequence[str], tile: int = TILE, wide: bool = True) -> DataFrame:
+    """Elementary cells keys, tx, tile, y1, y2, x1, x2 with a and b, the number of rectangles of each side that cover them."""
     keys = list(keys)
     both = a.select(*keys, *BOX, F.lit(0).alias("side"))
     if b is not None:
         both = both.unionByName(b.select(*keys, *BOX, F.lit(1).alias("side")))
-    group = [*keys, "tile"]
-    dealt = tiled(both, tile).repartition(*group)
+    group = [*keys, "tx", "tile"]
+    dealt = tiled(both, tile, wide).repartition(*group)
     edges = dealt.select(*group, F.explode(F.array("y1", "y2")).alias("lo")).distinct()
     slabs = edges.withColumn("hi", F.lead("lo").over(Window.partitionBy(*group).orderBy("lo"))).where("hi is not null")
     within = dealt.alias("r").join(slabs.alias("s"), same(group, "r", "s") & F.expr("r.y1 <= s.lo and r.y2 >= s.hi"))
@@ -55,22 +63,37 @@ def slab_cells(a: DataFrame, b: DataFrame | None, keys: Sequence[str], tile: int
     return counted.where("next > x").select(*group, "y1", "y2", F.col("x").alias("x1"), F.col("next").alias("x2"), "a", "b")
 
 
-def joined_up(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells that touch become maximal bands: first along x in each slab, then along y where x1 and x2 agree."""
-    group = [*keys, "tile", "y1"]
+def _along_x(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells of a slab that touch, joined; tx and tile stay."""
+    group = [*keys, "tx", "tile", "y1"]
     line = Window.partitionBy(*group).orderBy("x1")
     new = F.when(F.lag("x2").over(line) == F.col("x1"), 0).otherwise(1)
     runs = cells.withColumn("new", new).withColumn("run", F.sum("new").over(line))
-    flat = runs.groupBy(*group, "y2", "run").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).select(*keys, *BOX)
+    return runs.groupBy(*group, "y2", "run").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).drop("run")
+
+
+def _along_y(flat: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bands of equal keys and x range that touch, joined."""
     tower = Window.partitionBy(*keys, "x1", "x2").orderBy("y1")
     new = F.when(F.lag("y2").over(tower) == F.col("y1"), 0).otherwise(1)
     runs = flat.withColumn("new", new).withColumn("run", F.sum("new").over(tower))
     return runs.groupBy(*keys, "x1", "x2", "run").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2")).select(*keys, *BOX)
 
 
-def union_bands(rects: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+def joined_up(cells: DataFrame, keys: Sequence[str], tile: int = TILE, wide: bool = True) -> DataFrame:
+    """Cells that touch become maximal bands: first along x in each slab, then along y where x1 and x2 agree."""
+    flat = _along_x(cells, keys)
+    if not wide:
+        border = f"x1 % {tile} = 0 or x2 % {tile} = 0"
+        pieces = materialise(_along_y(flat, [*keys, "tx", "tile"]), "tile-bands").select(*keys, *BOX)
+        seam = _along_x(slab_cells(pieces.where(border), None, keys, tile).where("a > 0"), keys)
+        flat = pieces.where(f"not ({border})").unionByName(seam.select(*keys, *BOX))
+    return _along_y(flat.select(*keys, *BOX), keys)
+
+
+def union_bands(rects: DataFrame, keys: Sequence[str], tile: int = TILE, wide: bool = True) -> DataFrame:
     """Disjoint canonical bands of the union of rectangles."""
-    return joined_up(slab_cells(rects, None, keys, tile).where("a > 0"), keys)
+    return joined_up(slab_cells(rects, None, keys, tile, wide).where("a > 0"), keys, tile, wide)
 
 
 def polygon_bands(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:

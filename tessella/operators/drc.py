@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.bands import BOX, TILE, same, slab_cells, transpose, union_bands
 from tessella.operators.boolean import boolean
+from tessella.plans.session import materialise
 
 PAIR = ["e1x1", "e1y1", "e1x2", "e1y2", "e2x1", "e2y1", "e2x2", "e2y2"]
 
@@ -47,20 +48,34 @@ def bucket_size(limit: float) -> int:
     return max(8 * int(limit), 256)
 
 
-def width(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE) -> DataFrame:
+def width(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE, wide: bool = True) -> DataFrame:
     """Bands of the union thinner than limit, along x and along y."""
-    found = [union_bands(r, keys, tile).where(f"x2 - x1 < {limit}").select(*upright(keys, "x1", "x2", "y1", "y2")) for r in (rects, transpose(rects))]
+    found = [union_bands(r, keys, tile, wide).where(f"x2 - x1 < {limit}").select(*upright(keys, "x1", "x2", "y1", "y2")) for r in (rects, transpose(rects))]
     return found[0].unionByName(swap_axes(found[1])).distinct()
 
 
-def _meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Pairs of bands less than limit apart in both axes: keys, a and b structs. A pair counts in the bucket of its greatest lower corner."""
+def _gaps(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, once: bool = False) -> DataFrame:
+    """Gaps of 0 < d < limit between bands of a and b (each pair in one direction with `once`): keys, PAIR, and the box x1..y2 between.
+
+    Bands that overlap along one axis face each other along the other; those apart on both leave a diagonal gap from corner to corner. A pair counts in the
+    bucket of its greatest lower corner.
+    """
     size = bucket_size(limit)
     x, y = bucketed(a, size, limit).alias("x"), bucketed(b, size, limit).alias("y")
-    near = F.expr(f"x.x1 < y.x2 + {limit} and y.x1 < x.x2 + {limit} and x.y1 < y.y2 + {limit} and y.y1 < x.y2 + {limit}")
-    once = F.expr(f"x.bx = floor((greatest(x.x1, y.x1) - {limit}) / {size}) and x.by = floor((greatest(x.y1, y.y1) - {limit}) / {size})")
-    met = x.join(y, same([*keys, "bx", "by"], "x", "y") & near & once)
-    return met.select(*(F.col(f"x.{k}").alias(k) for k in keys), *(F.struct(*(F.col(f"{s}.{c}") for c in BOX)).alias(n) for s, n in (("x", "a"), ("y", "b"))))
+    gap = {c: f"greatest(y.{c}1 - x.{c}2, x.{c}1 - y.{c}2)" for c in "xy"}
+    near = f"{gap['x']} < {limit} and {gap['y']} < {limit} and greatest({gap['x']}, {gap['y']}) > 0 and {gap['x']} <> 0 and {gap['y']} <> 0"
+    mine = f"x.bx = floor((greatest(x.x1, y.x1) - {limit}) / {size}) and x.by = floor((greatest(x.y1, y.y1) - {limit}) / {size})"
+    first = "struct(x.x1, x.y1, x.x2, x.y2) < struct(y.x1, y.y1, y.x2, y.y2)" if once else "true"
+    met = x.join(y, same([*keys, "bx", "by"], "x", "y") & F.expr(f"{near} and {mine} and {first}"))
+    ends = {f"{c}{s}": f"if(y.{c}1 > x.{c}2, {one}, {two})" for c in "xy" for s, one, two in (("a", f"x.{c}2", f"x.{c}1"), ("b", f"y.{c}1", f"y.{c}2"))}
+    spans = {f"{c}lo": f"greatest(x.{c}1, y.{c}1)" for c in "xy"} | {f"{c}hi": f"least(x.{c}2, y.{c}2)" for c in "xy"}
+    seen = met.select(*(F.col(f"x.{k}").alias(k) for k in keys), *(F.expr(v).alias(f"_{k}") for k, v in (ends | spans | {"gx": gap["x"], "gy": gap["y"]}).items()))
+    seen = seen.where(f"_gx < 0 or _gy < 0 or _gx * _gx + _gy * _gy < {limit * limit}")
+    beside, above = "_gy < 0", "_gx < 0"
+    place = {"e1x1": ("_xa", "_xlo", "_xa"), "e1y1": ("_ylo", "_ya", "_ya"), "e1x2": ("_xa", "_xhi", "_xa"), "e1y2": ("_yhi", "_ya", "_ya"), "e2x1": ("_xb", "_xlo", "_xb"), "e2y1": ("_ylo", "_yb", "_yb"), "e2x2": ("_xb", "_xhi", "_xb"), "e2y2": ("_yhi", "_yb", "_yb")}
+    pairs = seen.select(*keys, *(F.expr(f"cast(case when {beside} then {u} when {above} then {v} else {w} end as bigint)").alias(k) for k, (u, v, w) in place.items()))
+    box = {"x1": "least(e1x1, e2x1)", "y1": "least(e1y1, e2y1)", "x2": "greatest(e1x2, e2x2)", "y2": "greatest(e1y2, e2y2)"}
+    return pairs.select("*", *(F.expr(v).alias(k) for k, v in box.items()))
 
 
 def _open_gaps(gaps: DataFrame, cover: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -81,40 +96,16 @@ def _open_gaps(gaps: DataFrame, cover: DataFrame, keys: Sequence[str], limit: in
     return pieces.groupBy(*keys, *PAIR).agg(F.sum("box").alias("box"), F.sum("part").alias("part")).where("part < box").select(*keys, *PAIR)
 
 
-def _side_gaps(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Gaps along x of bands that overlap in y, either one left."""
-    met = _meeting(a, b, keys, limit).selectExpr(*(f"`{k}`" for k in keys), "a", "b", "greatest(a.y1, b.y1) as y1", "least(a.y2, b.y2) as y2").where("y1 < y2")
-    right = met.where(f"b.x1 - a.x2 between 1 and {limit - 1}").select(*upright(keys, "a.x2", "b.x1", "y1", "y2"), F.expr("a.x2").alias("x1"), "y1", F.expr("b.x1").alias("x2"), "y2")
-    left = met.where(f"a.x1 - b.x2 between 1 and {limit - 1}").select(*upright(keys, "a.x1", "b.x2", "y1", "y2"), F.expr("b.x2").alias("x1"), "y1", F.expr("a.x1").alias("x2"), "y2")
-    return right.unionByName(left)
-
-
-def _corner_gaps(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Diagonal gaps shorter than limit, from corner to corner."""
-    met = _meeting(a, b, keys, limit).withColumns({"dx": F.expr("greatest(b.x1 - a.x2, a.x1 - b.x2)"), "dy": F.expr("greatest(b.y1 - a.y2, a.y1 - b.y2)")}).where(f"dx > 0 and dy > 0 and dx * dx + dy * dy < {limit * limit}")
-    corner = {"ax": "if(b.x1 > a.x2, a.x2, a.x1)", "ay": "if(b.y1 > a.y2, a.y2, a.y1)", "bx": "if(b.x1 > a.x2, b.x1, b.x2)", "by": "if(b.y1 > a.y2, b.y1, b.y2)"}
-    met = met.withColumns({k: F.expr(v) for k, v in corner.items()})
-    points = [F.expr(x).cast("long").alias(y) for x, y in zip(("ax", "ay", "ax", "ay", "bx", "by", "bx", "by"), PAIR)]
-    return met.select(*keys, *points, *(F.expr(x).alias(y) for x, y in (("least(ax, bx)", "x1"), ("least(ay, by)", "y1"), ("greatest(ax, bx)", "x2"), ("greatest(ay, by)", "y2"))))
-
-
 def space(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE) -> DataFrame:
     """Gaps of 0 < d < limit between rectangles of a and b that the union of both doesn't fill."""
     both = a.select(*keys, *BOX).unionByName(b.select(*keys, *BOX))
-    cover = union_bands(both, keys, tile)
-    gaps = _side_gaps(a, b, keys, limit).unionByName(_turned(_side_gaps(transpose(a), transpose(b), keys, limit))).unionByName(_corner_gaps(a, b, keys, limit))
-    return ordered(_open_gaps(gaps, cover, keys, limit)).distinct()
-
-
-def _turned(gaps: DataFrame) -> DataFrame:
-    return transpose(swap_axes(gaps))
+    return ordered(_open_gaps(_gaps(a, b, keys, limit), union_bands(both, keys, tile), keys, limit)).distinct()
 
 
-def self_space(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE) -> DataFrame:
+def self_space(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE, wide: bool = True) -> DataFrame:
     """Space within the union of one layer."""
-    across = union_bands(rects, keys, tile)
-    gaps = _side_gaps(across, across, keys, limit).unionByName(_turned(_side_gaps(transpose(across), transpose(across), keys, limit))).unionByName(_corner_gaps(across, across, keys, limit))
-    return ordered(_open_gaps(gaps, across, keys, limit)).distinct()
+    across = materialise(union_bands(rects, keys, tile, wide), "union")
+    return ordered(_open_gaps(_gaps(across, across, keys, limit, once=True), across, keys, limit)).distinct()
 
 
 def _margins(outer: DataFrame, inner: DataFrame, keys: Sequence[str], limit: int, tile: int) -> DataFrame:

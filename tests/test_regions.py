@@ -57,12 +57,19 @@ def test_booleans_equal_a_raster(spark, seed):
     a, b = some(12), some(12)
     cells = [{(x, y) for r in s for x in range(r[0], r[2]) for y in range(r[1], r[3])} for s in (a, b)]
     want = {"union": cells[0] | cells[1], "intersection": cells[0] & cells[1], "symmetric_difference": cells[0] ^ cells[1], "difference": cells[0] - cells[1]}
+    one = [sorted(map(tuple, bands.union_bands(boxes(spark, *a, *b), KEYS, tile=5, wide=w).collect())) for w in (True, False)]
+    assert one[0] == one[1]
     for name, cover in want.items():
         got = boolean.boolean(name, boxes(spark, *a), boxes(spark, *b), KEYS, tile=7).collect()
         flat = [(x, y) for r in got for x in range(r.x1, r.x2) for y in range(r.y1, r.y2)]
         assert len(flat) == len(set(flat)) and set(flat) == cover
 
 
+def test_a_turned_rectangle_raises(spark):
+    with pytest.raises(Exception, match="ends before it starts"):
+        bands.union_bands(boxes(spark, (5, 0, 3, 9)), KEYS).collect()
+
+
 def test_polygons_and_the_guard(spark):
     ell = polygon(spark, [(0, 0), (100, 0), (100, 40), (40, 40), (40, 100), (0, 100), (0, 0)])
     assert area(boolean.boolean_polygons("union", ell, ell, KEYS)) == 6400

@@ -62,4 +62,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normaliser, op2_decontamination, op3_merkle_fingerprints, op4_repair_token_ids, op5_importance_resampling, op6_superkmer_dedup, op7_language_id, op8_best_fit_packing, op9_chat_windows, op10_ngram_jaccard_join)}
 
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op3_merkle_fingerprints": merkle.ORACLE, "op6_superkmer_dedup": superkmers.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc_normaliser": warc.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_merkle_fingerprints": merkle.ORACLE, "op6_superkmer_dedup": superkmers.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE}

@@ -156,22 +156,27 @@ def token_counts(found: DataFrame) -> np.ndarray:
         tasks = -(-tasks // FAN)
         if tasks == 1:
             break
-    total = np.zeros(1 << BITS, np.uint64)
-    for r in tables.collect():
+    total = np.zeros(1 << BITS, np.float32)  # the driver holds one such table; all that is made of it is made chunk by chunk
+    for r in tables.collect():  # CHUNKS short rows
         x = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
         total[r["chunk"] * len(x) : (r["chunk"] + 1) * len(x)] = x
     return total
 
 
+def _chunkwise(total: np.ndarray, f) -> np.ndarray:  # noqa: ANN001
+    return np.concatenate([f(x.astype(np.float64)).astype(np.uint8) for x in total.reshape(CHUNKS, -1)])
+
+
 def frequency_classes(total: np.ndarray) -> np.ndarray:
     """A class for each bucket of tokens: 0 within the noise of the mean, above it two with every doubling."""
-    floor = total.mean() + 3 * np.sqrt(total.mean()) + 3
-    return np.where(total <= floor, 0, np.ceil(2 * np.log2(np.maximum(total, 1) / floor))).clip(0, 63).astype(np.uint8)
+    mean = float(total.mean(dtype=np.float64))
+    floor = mean + 3 * mean**0.5 + 3
+    return _chunkwise(total, lambda x: np.where(x <= floor, 0, np.ceil(2 * np.log2(np.maximum(x, 1) / floor))).clip(0, 63))
 
 
 def parts_of(total: np.ndarray) -> np.ndarray:
     """The logarithm of the number of parts in which the tokens of each bucket meet."""
-    return np.ceil(np.log2(np.maximum(total / FULL, 1))).clip(0, 30).astype(np.uint8)
+    return _chunkwise(total, lambda x: np.ceil(np.log2(np.maximum(x / FULL, 1))).clip(0, 30))
 
 
 def prefixes(docs: DataFrame, classes, parts, k: int = WORDS, percent: int = PERCENT) -> DataFrame:  # noqa: ANN001
@@ -387,6 +392,7 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     found = facts(docs, k, percent)
     total = token_counts(found)
     frequency, parts = context.broadcast(frequency_classes(total)), context.broadcast(parts_of(total))
+    del total
     own = found.where("chunk is null").select("doc_id", "th", "size", "one", "two", "plain")
     first = F.min(F.struct("doc_id", "th")).alias("first")
     classes = own.where("doc_id is not null and size > 0").groupBy(*NODE).agg(first, F.first("plain").alias("plain"))

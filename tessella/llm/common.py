@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
@@ -9,6 +10,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import cache
 from itertools import chain
 
@@ -109,6 +111,13 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def _settle() -> None:
+    """Give memory that a task no longer needs back to the system, as workers stay for the tasks that follow."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut to about `limit` bytes of text each; a longer document stands alone."""
     for batch in batches:
@@ -120,6 +129,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+    _settle()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

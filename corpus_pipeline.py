@@ -21,6 +21,7 @@ from tessella.llm.common import release, shared_dir, table, written
 from tessella.llm.queries import tokenizer
 
 
+BATCH_ROWS = 1000
 _since = 0  # intermediate tables there were when the latest stage began
 
 
@@ -29,6 +30,8 @@ def _begin(spark: SparkSession, first: bool = False) -> None:
     if not first:
         release(spark, _since)
     _since = written()
+    # texts are long: batches of so many rows hold a few megabytes on either side of the border to Python
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

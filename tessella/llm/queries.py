@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, decontaminate, jaccard, language, merkle, packing, repair, resampling, superkmers, warc
+from tessella.llm import centroids, chat, decontaminate, jaccard, language, merkle, packing, repair, resampling, superkmers, warc
 from tessella.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normaliser, op2_decontamination, op3_merkle_fingerprints, op4_repair_token_ids, op5_importance_resampling, op6_superkmer_dedup, op7_language_id, op8_best_fit_packing, op9_chat_windows, op10_ngram_jaccard_join)}
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
-ORACLES: dict[str, str] = {"op1_warc_normaliser": warc.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_merkle_fingerprints": merkle.ORACLE, "op6_superkmer_dedup": superkmers.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normaliser, op2_decontamination, op3_merkle_fingerprints, op4_repair_token_ids, op5_importance_resampling, op6_superkmer_dedup, op7_language_id, op8_best_fit_packing, op9_chat_windows, op10_ngram_jaccard_join, op13_centroid_clustering)}
+
+ORACLES: dict[str, str] = {"op1_warc_normaliser": warc.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_merkle_fingerprints": merkle.ORACLE, "op6_superkmer_dedup": superkmers.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE, "op13_centroid_clustering": centroids.ORACLE}

@@ -6,13 +6,98 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 
-from tessella.llm import centroids
+from tessella.llm import bpe, centroids
 
 VECTORS = "vec_id long, embedding array<float>, label int, cluster string"
 
 
+# ---- byte-level BPE -------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    public = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    return path, public.PATTERN, tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_ids_of_every_code_point(vocabulary):
+    path, pattern, library = vocabulary
+    encoder = bpe.RankEncoder(bpe.load_ranks(path), pattern)
+    texts = [f"a{chr(c)} {chr(c)}1{chr(c)}{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(texts), 1 << 14):
+        got = encoder.encode(texts[lo : lo + (1 << 14)])
+        assert [x.tolist() for x in got] == [library.encode_ordinary(x) for x in texts[lo : lo + (1 << 14)]]
+
+
+def test_ids_of_odd_and_very_long_pieces(vocabulary):
+    path, pattern, library = vocabulary
+    encoder, rnd = bpe.RankEncoder(bpe.load_ranks(path), pattern), random.Random(2)
+    texts = [None, "", " ", "\n\n \t x", "it's <|endoftext|> we'll I'D", "a" * 50_001, " " * 30_000 + "x", "!?" * 20_000, "1" * 10_000, "日本語" * 3000, "".join(rnd.choice("abcdeinorst") for _ in range(200_000))]
+    texts += ["".join(rnd.choice("abé 1.\n'x") for _ in range(200)) for _ in range(200)]
+    for _ in range(2):  # the second time from memory
+        got = encoder.encode(texts)
+        assert [x.tolist() for x in got] == [library.encode_ordinary(x or "") for x in texts]
+        assert [encoder.decode(x) for x in got] == [(x or "").encode() for x in texts]
+    assert encoder.queue.top == 0 and not any(encoder.queue.low) and not any(encoder.queue.buckets)
+
+
+def test_memory_of_pieces_turns_over(vocabulary, monkeypatch):
+    path, pattern, library = vocabulary
+    monkeypatch.setattr(bpe, "MEMORY", 7)
+    encoder, rnd = bpe.RankEncoder(bpe.load_ranks(path), pattern), random.Random(4)
+    for _ in range(20):
+        texts = [" ".join(rnd.choice(["Ärger", "zxqv", "unwieldiness", "the", "qqq"]) + rnd.choice("abc") for _ in range(30)) for _ in range(4)]
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode_ordinary(x) for x in texts]
+        assert len(encoder.known) <= 7 and len(encoder.older) <= 7
+
+
+def by_plain_merges(piece, ranks):
+    parts = [bytes([x]) for x in piece]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            return [ranks[x] for x in parts]
+        _, i = min(pairs)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_ranks_in_any_order_and_gaps_between_them():
+    """A merge may make a pair of a lower rank, which then comes first."""
+    rnd = random.Random(9)
+    for _ in range(60):
+        tokens = {"".join(rnd.choice("abc") for _ in range(rnd.randint(2, 6))).encode() for _ in range(40)}
+        places = rnd.sample(range(5000), 256 + len(tokens))
+        ranks = dict(zip([*(bytes([x]) for x in range(256)), *sorted(tokens)], places))
+        encoder = bpe.RankEncoder(ranks, r"\S+")
+        pieces = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 40))) for _ in range(30)]
+        want = [[ranks[x.encode()]] if x.encode() in ranks else by_plain_merges(x.encode(), ranks) for x in pieces]
+        assert [x.tolist() for x in encoder.encode(pieces)] == want
+    with pytest.raises(ValueError, match="no token"):
+        bpe.RankEncoder({b"a": 0}, ".")
+
+
+def test_encoded_documents(spark, vocabulary):
+    path, pattern, library = vocabulary
+    rows = [(1, "some words", "x"), (1, "some words", "x"), (2, None, None), (3, "", "x"), (None, "no id, é", "x"), (4, "w" * 70_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = []
+    for i, t, _ in rows:
+        ids = library.encode_ordinary(t or "")
+        want.append((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())))
+    assert sorted(map(tuple, bpe.round_trip(docs, path, pattern).collect()), key=repr) == sorted(want, key=repr)
+    encoded = bpe.encode(docs, path, pattern)
+    assert sorted((r.doc_id or -1, bytes(r.raw)) for r in bpe.decode(encoded, path, pattern).collect()) == sorted((i or -1, (t or "").encode()) for i, t, _ in rows)
+    assert np.concatenate([r.ids for r in encoded.collect() if r.ids]).max() < 50_256
+    assert bpe.round_trip(docs.limit(0), path, pattern).collect() == []
+
+
 # ---- centroid clustering --------------------------------------------------------------------------------------
 
 

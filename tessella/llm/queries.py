@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, centroids, chat, decontaminate, jaccard, language, merkle, packing, repair, resampling, superkmers, warc
+from tessella.llm import bpe, centroids, chat, decontaminate, dialogue, jaccard, language, merkle, packing, repair, resampling, superkmers, warc
 from tessella.llm.common import table
 
 
@@ -66,10 +66,14 @@ def op11_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report(*dialogue.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normaliser, op2_decontamination, op3_merkle_fingerprints, op4_repair_token_ids, op5_importance_resampling, op6_superkmer_dedup, op7_language_id, op8_best_fit_packing, op9_chat_windows, op10_ngram_jaccard_join, op11_rank_queue_bpe, op13_centroid_clustering)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normaliser, op2_decontamination, op3_merkle_fingerprints, op4_repair_token_ids, op5_importance_resampling, op6_superkmer_dedup, op7_language_id, op8_best_fit_packing, op9_chat_windows, op10_ngram_jaccard_join, op11_rank_queue_bpe, op12_conversation_repair, op13_centroid_clustering)}
 
-ORACLES: dict[str, str] = {"op1_warc_normaliser": warc.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_merkle_fingerprints": merkle.ORACLE, "op6_superkmer_dedup": superkmers.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc_normaliser": warc.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_merkle_fingerprints": merkle.ORACLE, "op6_superkmer_dedup": superkmers.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE, "op12_conversation_repair": dialogue.ORACLE, "op13_centroid_clustering": centroids.ORACLE}

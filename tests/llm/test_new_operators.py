@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 
-from tessella.llm import bpe, centroids
+from tessella.llm import bpe, centroids, dialogue
 
 VECTORS = "vec_id long, embedding array<float>, label int, cluster string"
 
@@ -98,6 +101,134 @@ def test_encoded_documents(spark, vocabulary):
     assert bpe.round_trip(docs.limit(0), path, pattern).collect() == []
 
 
+# ---- conversation repair --------------------------------------------------------------------------------------
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string, edits string"
+
+
+def damaged_by_hand(rows):
+    """Present turns of every conversation, in order."""
+    found = {}
+    for conv, turn, role, text, *_ in rows:
+        kept = found.setdefault(conv, [])
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        role, text, fault = role if role is not None else " ", text if text is not None else " ", zlib.crc32(key.encode()) % 20
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        role = "user" if fault == 4 else role
+        kept += [(turn, role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1], hashlib.sha256(x[2].encode()).hexdigest())
+    return {k: sorted(v, key=order) for k, v in found.items()}
+
+
+def faults_of(turns):
+    seen, out = set(), []
+    for _, role, text in turns:
+        bare = re.sub(r"[\x20\x09-\x0D]", "", text)
+        out.append("b" if not bare else "d" if (role, text) in seen else "t" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def best_by_trying_all(turns, faults):
+    """Every choice of edits with up to two inserted turns in each gap, judged by the pattern itself."""
+    gaps = [(), ("user",), ("assistant",), ("user", "assistant"), ("assistant", "user")]
+    choices = []
+    for (_, role, text), fault in zip(turns, faults):
+        more = fault == "t"
+        some = [("D", 3, None)]
+        if fault not in ("b", "d"):
+            some += [("K", more, (role, text)), ("R", 2 + more, ("user", text)), ("R", 2 + more, ("assistant", text))]
+        choices.append(some)
+    best = None
+    for put in itertools.product(gaps, repeat=len(turns) + 1):
+        for ops in itertools.product(*choices):
+            lines, edits, cost = [], "", 0
+            for i, more in enumerate(put):
+                for role in more:
+                    lines.append((role, ""))
+                    edits, cost = edits + "I", cost + 2
+                if i < len(ops):
+                    letter, price, line = ops[i]
+                    edits, cost = edits + letter, cost + price
+                    if line:
+                        lines.append(line)
+            if (best is None or (cost, edits) <= best[:2]) and re.fullmatch("(s?(ua)+)?", "".join(r[:1] or "-" for r, _ in lines)):
+                best = (cost, edits, "\n".join(f"{r}:{t}" for r, t in lines))
+    return best
+
+
+def best_by_memo(turns, faults):
+    """The same by a recursion over turns and states, for longer conversations."""
+    after = {"": "u", "s": "u", "u": "a", "a": "u"}
+    names = {"u": "user", "a": "assistant"}
+    ends = {"": (0, "", ()), "a": (0, "", ()), "u": (2, "I", (("assistant", ""),)), "s": (4, "II", (("user", ""), ("assistant", "")))}
+    later = ends
+    for (_, role, text), fault in zip(reversed(turns), reversed(faults)):
+        more, now = fault == "t", {}
+        for state in ends:
+            some = [(later[state][0] + 3, "D" + later[state][1], later[state][2])]
+            if fault not in ("b", "d"):
+                to, lead = after[state], role[:1]
+                some.append((later[to][0] + 2 + more, "R" + later[to][1], ((names[to], text), *later[to][2])))
+                if lead == to or (lead == "s" and state == ""):
+                    some.append((later[lead][0] + more, "K" + later[lead][1], ((role, text), *later[lead][2])))
+            now[state] = min(some)
+        for _ in range(2):
+            now = {s: min(now[s], (now[after[s]][0] + 2, "I" + now[after[s]][1], ((names[after[s]], ""), *now[after[s]][2]))) for s in now}
+        later = now
+    cost, edits, lines = later[""]
+    return cost, edits, "\n".join(f"{r}:{t}" for r, t in lines)
+
+
+def reported(rows, best=best_by_memo):
+    out = []
+    for conv, turns in damaged_by_hand(rows).items():
+        faults = faults_of(turns)
+        known = [t for t, _, _ in turns if t is not None]
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        leads = [r[:1] for _, r, _ in turns]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(leads, leads[1:]))
+        cost, edits, lines = best(turns, faults) if turns else (0, "", "")
+        out.append((conv, gaps, *(faults.count(x) for x in "bdt"), illegal, cost, edits, hashlib.sha256(lines.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def drawn(rnd, convs, longest):
+    roles = ["system", "user", "user", "assistant", "assistant", "tool", "", None]
+    texts = ["Yes.", "Yes.", "No", "Really? ", "", " \t\n", None, "a.b", "é!", "x" * 50]
+    return [(c, rnd.choice([t, t, t, t + 1, None]), rnd.choice(roles), rnd.choice(texts), "x") for c in range(convs) for t in range(rnd.randint(0, longest))]
+
+
+def test_the_two_brute_forces_agree():
+    rnd = random.Random(6)
+    rows = drawn(rnd, 40, 2) + [(100 + i, t, rnd.choice(["system", "user", "assistant", "tool"]), rnd.choice(["A.", "b", "c!", ""]), "x") for i in range(4) for t in range(3)]
+    assert reported(rows, best_by_trying_all) == reported(rows)
+
+
+@pytest.mark.parametrize("limit", [dialogue.SLICE, 1, 120])
+def test_repairs_equal_brute_force_however_conversations_are_cut(spark, limit):
+    rnd = random.Random(limit)
+    rows = drawn(rnd, 150, 9) + drawn(rnd, 3, 40)
+    rows += [(None, t, r, f"{t}{e}", "x") for t, (r, e) in enumerate([("user", "."), ("assistant", "!"), ("assistant", ""), ("user", "?")] * 4)]
+    rows += [(7777, t, rnd.choice(["user", "assistant", "system"]), rnd.choice([f"t{t}.", f"t{t}", "same."]), "x") for t in range(700)]  # longer than others together
+    rows += [(8888, 3, "user", "again.", "x")] * 60  # one turn, repeated
+    rows += [(9999, next(t for t in range(1000) if zlib.crc32(f"9999:{t}".encode()) % 20 == 0), "user", "gone.", "x")]
+    conversations = spark.createDataFrame(rows, CONVERSATIONS).repartition(5)
+    assert sorted(map(tuple, dialogue.report(*dialogue.damage(conversations), limit).collect()), key=repr) == reported(rows)
+
+
+def test_repaired_turns(spark):
+    rows = [(1, 0, "system", "Be brief.", "x"), (1, 1, "assistant", "Hello.", "x"), (1, 2, "user", "Why", "x"), (1, 3, "user", " ", "x"), (2, 0, "tool", "call.", "x"), (3, 0, "user", "", "x")]
+    for limit in (dialogue.SLICE, 1):
+        got = dialogue.repaired(spark.createDataFrame(rows, CONVERSATIONS), limit=limit).orderBy("conv_id", "place").collect()
+        assert [tuple(r) for r in got] == [(1, 0, 0, "K", "system", "Be brief."), (1, 1, None, "I", "user", ""), (1, 2, 1, "K", "assistant", "Hello.")]  # KIKDD is before KIKKDI
+
+
+def test_no_conversations(spark):
+    none = spark.createDataFrame([], CONVERSATIONS)
+    assert dialogue.report(none).collect() == [] and dialogue.repaired(none).collect() == []
+
+
 # ---- centroid clustering --------------------------------------------------------------------------------------
 
 

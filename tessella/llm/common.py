@@ -10,14 +10,15 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1000  # a key with fewer rows is never split
@@ -38,7 +39,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{re.sub('^file:/+', 'file:///', whole).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_written: list[str] = []  # folders of intermediate tables of this driver
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(folders: list[str]) -> Iterator[list[str]]:
+    """Note the folders of the intermediate tables that are made inside, by this thread, in the list given."""
+    token = _scratch.set(folders)
+    try:
+        yield folders
+    finally:
+        _scratch.reset(token)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -46,34 +57,53 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    _written.append(path)
+    if (made := _scratch.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many intermediate tables there are by now."""
-    return len(_written)
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Delete these folders and empty the list. Only for callers whose results are written elsewhere by now."""
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Delete the intermediate tables written since then. Only for callers whose results are written elsewhere by now."""
-    while len(_written) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+SENT_BYTES = 8 << 20  # that a join by broadcast may send
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes each row has."""
+    total = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind.startswith("array"):
+            total = total + F.coalesce(8 * F.size(name), F.lit(0))
+        elif kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+    return total.cast("long")
 
 
 def join_each(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of many, a written table, with one, which has a row a key, where a key may hold most rows of many.
 
-    Keys with more than a 10,000th of the rows of many, of which there can be no more than 10,000, are joined by broadcast; no other key is large.
+    Keys with more than a 10,000th of the rows of many, of which there can be no more than 10,000, are joined by broadcast if their rows of one have
+    at most SENT_BYTES together, else dealt in parts of so many rows, each with its copy of the row of one; no other key is large.
     """
     counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
     rows, most = counts.agg(F.sum("_n"), F.max("_n")).first()
     limit = max(HOT_ROWS, (rows or 0) // 10_000)
     if (most or 0) <= limit:
         return many.join(one, keys)
-    hot = counts.where(F.col("_n") > limit).drop("_n").join(one, keys)
-    return many.join(F.broadcast(hot), keys).unionByName(many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one, keys))
+    frequent = counts.where(F.col("_n") > limit)
+    hot = frequent.drop("_n").join(one, keys)
+    rest = many.join(F.broadcast(frequent.select(*keys)), keys, "left_anti").join(one, keys)
+    if (hot.agg(F.sum(_row_bytes(hot))).first()[0] or 0) <= SENT_BYTES:
+        return many.join(F.broadcast(hot), keys).unionByName(rest)
+    parts = frequent.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+    # many is a written table, so a task that runs again numbers its rows alike
+    dealt = many.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(parts), keys).withColumn("_part", F.pmod("_at", F.col("_parts")).cast("int")).drop("_at", "_parts")
+    copies = hot.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"]).drop("_part").unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -198,14 +228,38 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+_STATES = ((0x9FB21C651E98DF25, 0xA0761D6478BD642F), (0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB))  # factor and start of two states, odd
+
+
+def span_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span of bytes, 128 bits together: two states of their own take the same eight bytes after the other, so bytes that mend one break the other."""
+    size = ends - starts
+    words = lanes(raw)
+    first = words[starts] & _LOW[np.minimum(size, 8)]
+    out = [mix((first + size.astype(np.uint64) * U64(start)) * U64(factor)) for factor, start in _STATES]
+    deep = np.flatnonzero(size > 8)
+    for k in range(1, LANES):
+        if not len(deep):
+            break
+        at = starts[deep] + 8 * k
+        lane = words[at] & _LOW[np.minimum(ends[deep] - at, 8)]
+        for x, (factor, _) in zip(out, _STATES):
+            x[deep] = mix((x[deep] + lane) * U64(factor))
+        deep = deep[size[deep] > 8 * (k + 1)]
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        both = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        out[0][i], out[1][i] = int.from_bytes(both[:8], "little"), int.from_bytes(both[8:], "little")
+    return out[0], out[1]
+
+
+def run_hashes(words: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of every k consecutive word hashes (rows not regarded)."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for j in range(k):
-        h = h * U64(_BASE) + words[j : j + n]
+        h = h * U64(base) + words[j : j + n]
     return mix(h)
 
 

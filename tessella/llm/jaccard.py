@@ -1,6 +1,7 @@
 """N-gram Jaccard join with several global token orders: exact links and components of near copies.
 
-A document's set holds the hashes of its distinct `k`-word shingles (all words as one, if fewer). Two documents link when their sets'
+A document's set holds its distinct `k`-word shingles (all words as one, if fewer), each known by 128 bits in two halves. The first half is the token
+by which candidates are found; sets are told apart, and links decided, by both. Two documents link when their sets'
 Jaccard similarity is at least `percent` / 100. Linked sets share a token among the first s - ceil(percent * s / 100) + 1 of each, in every global order.
 Two orders put frequent tokens last (classes from a fixed-size table of counts over all documents, and within a class a hash of the order's
 own); one is a plain hash order, known before the counts are.
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import LOWER, column, free_name, join_each, list_array, materialise, mix, run_hashes, slices, span_hashes, text_bytes, word_spans
+from tessella.llm.common import LOWER, column, free_name, join_each, list_array, materialise, mix, run_hashes, slices, span_digests, text_bytes, word_spans
 
 WORDS, PERCENT = 5, 80
 BITS, CHUNKS = 23, 64  # of the table of counts: 8 MB of classes, whatever the input
@@ -47,7 +48,7 @@ FULL = 1 << 16  # rows of a token counter beyond which its tokens meet in parts
 FACTS = "doc_id long, th long, size int, one long, two long, plain array<int>, task int, chunk int, counts binary"
 PREFIX = "token long, part int, doc_id long, one long, two long, size int, at int"
 GROUPED = "token long, part int, doc_id long, one long, two long, size int, at int, p_doc long, p_one long, p_two long, p_size int, split boolean"
-SETS = "p_one long, p_two long, part int, one long, two long, tokens array<long>"
+SETS = "p_one long, p_two long, part int, one long, two long, tokens array<long>, others array<long>"
 LINKS = "a_one long, a_two long, b_one long, b_two long"
 NODE, A, B = ["one", "two"], ["a_one", "a_two"], ["b_one", "b_two"]
 
@@ -55,41 +56,61 @@ NODE, A, B = ["one", "two"], ["a_one", "a_two"], ["b_one", "b_two"]
 # ---- sets -----------------------------------------------------------------------------------------------------
 
 
-def shingles(col: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Token and row of every shingle, with repeats."""
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def shingles(col: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token, its second half and row of every shingle, with repeats."""
     raw, at = text_bytes(col)
     starts, ends, first = word_spans(raw, at)
-    words = span_hashes(LOWER[raw], starts, ends)
     row = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    full = run_hashes(words, k)
-    inside = row[: len(full)] == row[k - 1 :] if len(full) else np.zeros(0, bool)
     short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < k))
-    few = np.zeros(len(short), np.uint64)
-    for j in range(k):
-        more = first[short] + j < first[short + 1]
-        few[more] = mix(few[more] * np.uint64(0x9E3779B97F4A7C15) + words[first[short][more] + j])
-    return np.concatenate((full[inside], few)), np.concatenate((row[: len(full)][inside], short))
-
-
-def sets(col: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct tokens of all rows, rising within each, and the end of each row's."""
-    token, row = shingles(col, k)
+    halves = []
+    for words, base in zip(span_digests(LOWER[raw], starts, ends), BASES):
+        full = run_hashes(words, k, base)
+        inside = row[: len(full)] == row[k - 1 :] if len(full) else np.zeros(0, bool)
+        few = np.zeros(len(short), np.uint64)
+        for j in range(k):
+            more = first[short] + j < first[short + 1]
+            few[more] = mix(few[more] * np.uint64(base) + words[first[short][more] + j])
+        halves.append(np.concatenate((full[inside], few)))
+    return halves[0], halves[1], np.concatenate((row[: len(full)][inside], short))
+
+
+def sets(col: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of all rows, 128 bits in two halves, rising by the first within each row; and the end of each row's."""
+    token, other, row = shingles(col, k)
     order = np.lexsort((token, row))
-    token, row = token[order], row[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
-    token, row = token[new], row[new]
-    return token, np.searchsorted(row, np.arange(len(col)), "right")
-
-
-def digests(token: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each set, 0 of an empty one."""
+    token, other, row = token[order], other[order], row[order]
+    same = np.zeros(len(token), bool)
+    same[1:] = (token[1:] == token[:-1]) & (row[1:] == row[:-1])
+    apart = np.zeros(len(token), bool)
+    apart[1:] = same[1:] & (other[1:] != other[:-1])
+    if apart.any():  # shingles of one first half: by the second too
+        order = np.lexsort((other, token, row))
+        token, other, row = token[order], other[order], row[order]
+        same[1:] = (token[1:] == token[:-1]) & (row[1:] == row[:-1]) & (other[1:] == other[:-1])
+    return token[~same], other[~same], np.searchsorted(row[~same], np.arange(len(col)), "right")
+
+
+def digests(token: np.ndarray, other: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set, one from either half of its shingles, 0 of an empty one."""
     at = np.concatenate(([0], end))
-    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(token ^ np.uint64(x)))))[at] for x in ORDERS[:2]]
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(half ^ np.uint64(x)))))[at] for half, x in zip((token, other), ORDERS)]
     one, two = ((x[1:] - x[:-1]).view(np.int64) for x in sums)
     return one, two
 
 
+def common_size(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share, by both halves."""
+    at = np.searchsorted(x[0], y[0])
+    at[at == len(x[0])] = 0
+    met = x[0][at] == y[0]
+    if (x[1][at[met]] == y[1][met]).all() and len(np.unique(x[0])) == len(x[0]) and len(np.unique(y[0])) == len(y[0]):
+        return int(met.sum())
+    return len(set(zip(x[0].tolist(), x[1].tolist())) & set(zip(y[0].tolist(), y[1].tolist())))
+
+
 def rank_keys(token: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     """Keys by which a global order sorts tokens: frequency class, then a hash."""
     return (classes[token >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(58)) | (mix(token ^ np.uint64(order)) >> np.uint64(6))
@@ -119,9 +140,9 @@ def facts(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
         names = ["doc_id", "th", "size", "one", "two", "plain", "task", "chunk", "counts"]
         seen = np.zeros(1 << BITS, np.uint32)
         for batch in slices(batches, limit=SLICE):
-            token, end = sets(column(batch, "text"), k)
+            token, other, end = sets(column(batch, "text"), k)
             np.add.at(seen, token >> np.uint64(64 - BITS), np.uint32(1))
-            one, two = digests(token, end)
+            one, two = digests(token, other, end)
             n = batch.num_rows
             key = mix(token ^ np.uint64(ORDERS[1]))
             least, row, _ = _heads(key, key, end, percent)
@@ -185,8 +206,8 @@ def prefixes(docs: DataFrame, classes, parts, k: int = WORDS, percent: int = PER
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[tuple[int, int]] = set()  # the digests of this task's documents
         for batch in slices(batches, limit=SLICE):
-            token, end = sets(column(batch, "text"), k)
-            one, two = digests(token, end)
+            token, other, end = sets(column(batch, "text"), k)
+            one, two = digests(token, other, end)
             size = np.diff(end, prepend=0)
             new = np.zeros(len(size), bool)
             for i, key in enumerate(zip(one.tolist(), two.tolist())):
@@ -314,19 +335,19 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, frequency, k:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            token, end = sets(column(batch, "text"), k)
+            token, other, end = sets(column(batch, "text"), k)
             start = np.concatenate(([0], end[:-1]))
             places = column(batch, "places").to_pylist()
-            one, two = (x.tolist() for x in digests(token, end))
+            one, two = (x.tolist() for x in digests(token, other, end))
             right = [a == x and b == y for a, b, x, y in zip(one, two, column(batch, "one").to_pylist(), column(batch, "two").to_pylist())]
             for lo in range(0, len(places), 64):
                 rows = [(p["p_one"], p["p_two"], p["part"], i) for i in range(lo, min(lo + 64, len(places))) if right[i] for p in places[i]]
                 for some in (rows[j : j + 512] for j in range(0, len(rows), 512)):
                     *to, row = zip(*some)
-                    flat = np.concatenate([token[start[i] : end[i]] for i in row]).view(np.int64)
-                    tokens = list_array(flat, np.cumsum([end[i] - start[i] for i in row]), pa.int64())
+                    to_list = np.cumsum([end[i] - start[i] for i in row])
+                    halves = [list_array(np.concatenate([half[start[i] : end[i]] for i in row]).view(np.int64), to_list, pa.int64()) for half in (token, other)]
                     own = [pa.array([x[i] for i in row], pa.int64()) for x in (one, two)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(to, (pa.int64(), pa.int64(), pa.int32()))), *own, tokens], names=["p_one", "p_two", "part", "one", "two", "tokens"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(to, (pa.int64(), pa.int64(), pa.int32()))), *own, *halves], names=["p_one", "p_two", "part", "one", "two", "tokens", "others"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequency.value
@@ -335,28 +356,25 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, frequency, k:
             n = int(prefix_size(np.array(len(x)), percent))
             return np.sort(np.partition(rank_keys(x, table, ORDERS[2]), n - 1)[:n])
 
-        def meet(a: np.ndarray, b: np.ndarray) -> int:
-            at = np.searchsorted(a, b)
-            return int((a[np.minimum(at, len(a) - 1)] == b).sum())
-
         of = own = None
         for batch in batches:
             links = []
-            values = column(batch, "tokens")
-            flat, ends = values.values.to_numpy(zero_copy_only=False).view(np.uint64), values.offsets.to_numpy()
+            flat, more = (column(batch, x).values.to_numpy(zero_copy_only=False).view(np.uint64) for x in ("tokens", "others"))
+            ends = column(batch, "tokens").offsets.to_numpy()
             for i, (p_one, p_two, part, one, two) in enumerate(zip(*(column(batch, x).to_pylist() for x in ("p_one", "p_two", "part", "one", "two")))):
-                x = flat[ends[i] : ends[i + 1]]
+                x = flat[ends[i] : ends[i + 1]], more[ends[i] : ends[i + 1]]
                 if (one, two) == (p_one, p_two):
                     if of != (p_one, p_two, part):
-                        of, own = (p_one, p_two, part), (x.copy(), head(x))
+                        of, own = (p_one, p_two, part), (x[0].copy(), x[1].copy(), head(x[0]))
                     continue
                 if of != (p_one, p_two, part):
                     raise RuntimeError("a pivot's set is missing")
-                y, theirs = own
-                if len(x) * 100 < percent * len(y) or len(y) * 100 < percent * len(x) or not meet(theirs, head(x)):
+                *y, theirs = own
+                n, m = len(x[0]), len(y[0])
+                if n * 100 < percent * m or m * 100 < percent * n or not np.isin(theirs, head(x[0])).any():
                     continue
-                both = meet(y, x)
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                both = common_size(tuple(y), x)
+                if 100 * both >= percent * (n + m - both):
                     links.append((p_one, p_two, one, two))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=[*A, *B])

@@ -4,13 +4,15 @@
    super-k-mer, of which only place and minimiser are kept (about one row for 20 words).
 2. Minimisers seen in one document only can't hold a repeated window and are left out.
 3. The rest is joined to the texts; each super-k-mer travels as one packed string to the bucket of its minimiser, where its windows are
-   sorted with those of the others, and those whose words also start in a smaller doc_id are found. A minimiser with over `hot`
-   super-k-mers isn't one bucket: its windows go by their own digest, pre-aggregated to the smallest doc_id.
-4. Runs of repeated windows go back to their documents, whose covered words are removed.
-
-Windows are judged on the input. In a bucket, windows that a hash brings together are compared word by word; windows of frequent minimisers are known
-by a 128-bit cryptographic digest of their words. A null text has no words; a null doc_id is larger
-than any other; repeated doc_ids are told apart by a hash of the text, and rows that are equal get equal results. Texts shorter than the
+   sorted with those of the others, and those whose words also start in a smaller doc_id are found.
+4. A minimiser with over `hot` super-k-mers isn't one bucket. Its strings are cut again by the minimiser of another hash order, and equal strings are
+   pre-aggregated to their smallest doc_id: all windows of the others are repeated. The buckets of (minimiser, next minimiser) with up to `hot`
+   different strings are sorted like any other, larger ones are cut once more; after LEVELS orders the key is the hash of the window itself.
+5. Runs of repeated windows go back to their documents, whose covered words are removed.
+
+Windows are judged on the input, and equal only if their words are: in a bucket, windows that a hash brings together are compared word by word. A null
+text has no words; a null doc_id is larger than any other; repeated doc_ids are told apart by a hash of the text, and rows that are equal are one to steps
+1 to 4, so that any number of them costs what one does, and get equal results. Texts shorter than the
 window, and empty tables, pass through. Only doc_id and text are read; `deduplicate` keeps the other columns.
 """
 
@@ -31,7 +33,8 @@ WIDTH, SEED, HOT = 50, 8, 2000
 LAST = (1 << 63) - 1  # stands for a null doc_id
 KMERS = "did long, th long, minimiser long, start int, n int"
 PACKED = "minimiser long, did long, th long, start int, words string"
-DIGESTS = "digest binary, did long, th long, start int"
+STRINGS = "key long, did long, th long, start int, n int, words string"
+LEVELS = 6  # hash orders by which hot buckets are cut
 RUNS = "did long, th long, start int, n int"
 
 
@@ -54,6 +57,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.coalesce(F.col("text"), F.lit("")).alias("text")).select("did", F.xxhash64("text").alias("th"), "text")
 
 
+def _distinct(keyed: DataFrame) -> DataFrame:
+    """Each (did, th) once. Texts are shuffled only if some repeat, and copies in a task are one before."""
+    repeats = keyed.groupBy("did", "th").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return materialise(keyed.dropDuplicates(["did", "th"]), "distinct-texts") if repeats else keyed
+
+
+def minimisers(words: np.ndarray, width: int, seed: int, level: int = 0) -> np.ndarray:
+    """The minimiser of every window of word hashes (rows not regarded), under one of LEVELS orders; beyond them the hash of the window."""
+    if level > LEVELS:
+        return run_hashes(words, width)
+    runs = run_hashes(words, seed)
+    return _sliding_min(mix(runs ^ mix(np.full(1, level, np.uint64))) if level else runs, width - seed + 1)
+
+
 def super_kmers(keyed: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """Every super-k-mer of (did, th, text) rows: did, th, minimiser, first window, windows."""
 
@@ -63,7 +80,7 @@ def super_kmers(keyed: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
             starts, ends, first = word_spans(raw, at)
             if len(starts) < width:
                 continue
-            low = _sliding_min(run_hashes(span_hashes(raw, starts, ends), seed), width - seed + 1)
+            low = minimisers(span_hashes(raw, starts, ends), width, seed)
             row = np.repeat(np.arange(batch.num_rows), np.diff(first))
             window = np.flatnonzero(row[: len(low)] == row[width - 1 :])
             if not len(window):
@@ -100,21 +117,45 @@ def pack_strings(wanted: DataFrame, width: int = WIDTH) -> DataFrame:
     return wanted.mapInArrow(run, PACKED)
 
 
-def window_digests(wanted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A digest for each window of the wanted super-k-mers."""
+def cut_strings(wanted: DataFrame, width: int, seed: int, level: int) -> DataFrame:
+    """The wanted super-k-mers, cut where the minimiser of another order changes, as strings by both minimisers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 17):
-            out: tuple[list, ...] = ([], [], [], [])
-            for did, th, text, kmers in zip(*(column(batch, x).to_pylist() for x in ("did", "th", "text", "kmers"))):
+        for batch in slices(batches, limit=1 << 18):
+            raw, at = text_bytes(column(batch, "text"))
+            starts, ends, first = word_spans(raw, at)
+            low = minimisers(span_hashes(raw, starts, ends), width, seed, level)
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for before, did, th, text, kmers in zip(first.tolist(), *(column(batch, x).to_pylist() for x in ("did", "th", "text", "kmers"))):
                 words = text.encode().split()
                 for k in kmers:
-                    for s in range(k["start"], k["start"] + k["n"]):
-                        for to, x in zip(out, (hashlib.blake2b(b" ".join(words[s : s + width]), digest_size=16).digest(), did, th, s)):
+                    own = low[before + k["start"] : before + k["start"] + k["n"]]
+                    head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    keys = mix(own[head] ^ mix(np.full(1, k["minimiser"], np.int64).view(np.uint64))).view(np.int64)
+                    for key, s, n in zip(keys.tolist(), (head + k["start"]).tolist(), np.diff(head, append=len(own)).tolist()):
+                        for to, x in zip(out, (key, did, th, s, n, b" ".join(words[s : s + n + width - 1]).decode())):
                             to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32()))], names=["digest", "did", "th", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["key", "did", "th", "start", "n", "words"])
+
+    return wanted.select("did", "th", "text", "kmers").mapInArrow(run, STRINGS)
+
 
-    return wanted.mapInArrow(run, DIGESTS)
+def resolve(strings: DataFrame, width: int, seed: int, hot: int, level: int = 1) -> DataFrame:
+    """Runs of repeated windows in strings that may be many to a key, or equal in any number."""
+    strings = materialise(strings, "strings")
+    first = materialise(strings.groupBy("key", "words").agg(F.min("did").alias("lo"), F.first("n").alias("n")).withColumn("sid", F.monotonically_increasing_id()), "first-strings")
+    known = materialise(join_each(strings.drop("n"), first, ["key", "words"]).select("did", "th", "start", "n", "sid", "lo"), "known-strings")
+    sized = join_each(first, first.groupBy("key").agg(F.count("*").alias("times")), ["key"])
+    few = sized.where(F.lit(level > LEVELS) | (F.col("times") <= hot)).select(F.col("key").alias("minimiser"), F.col("lo").alias("did"), F.col("sid").alias("th"), F.lit(0).alias("start"), "words")
+    inside = sort_buckets(few, width)
+    many = sized.where(F.col("times") > hot)
+    if level <= LEVELS and many.limit(1).count():
+        whole = F.array(F.struct(F.lit(0).alias("start"), "n", F.col("key").alias("minimiser"))).alias("kmers")
+        deeper = cut_strings(many.select(F.col("lo").alias("did"), F.col("sid").alias("th"), F.col("words").alias("text"), whole), width, seed, level + 1)
+        inside = inside.unionByName(resolve(deeper, width, seed, hot, level + 1))
+    inside = inside.select(F.col("th").alias("sid"), F.col("start").alias("at"), F.col("n").alias("long"))
+    own = known.where("did = lo").join(inside, "sid").select("did", "th", (F.col("start") + F.col("at")).alias("start"), F.col("long").alias("n"))
+    return known.where("did > lo").select("did", "th", "start", "n").unionByName(own)
 
 
 def _groups(words: np.ndarray, window: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,17 +234,14 @@ def sort_buckets(packed: DataFrame, width: int = WIDTH, strings: int = 4000) ->
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """did, th, start, n: runs of windows whose words also start in a document with a smaller doc_id."""
-    texts = _keyed(docs)
+    texts = _distinct(_keyed(docs))
     kmers = materialise(super_kmers(texts, width, seed), "super-kmers")
     shared = kmers.groupBy("minimiser").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("times")).where("lo < hi")
     placed = join_each(kmers, shared.select("minimiser", "times"), ["minimiser"])
     found = sort_buckets(pack_strings(_wanted(texts, placed.where(F.col("times") <= hot)), width), width)
     if not shared.where(F.col("times") > hot).limit(1).count():
         return found
-    digests = materialise(window_digests(_wanted(texts, placed.where(F.col("times") > hot)), width), "window-digests")
-    first = digests.groupBy("digest").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("digest", "lo")
-    again = join_each(digests, first, ["digest"]).where("did > lo")
-    return found.unionByName(again.select("did", "th", "start", F.lit(1).alias("n")))
+    return found.unionByName(resolve(cut_strings(_wanted(texts, placed.where(F.col("times") > hot)), width, seed, 1), width, seed, hot))
 
 
 def _kept(text: str, runs: list[dict] | None, width: int) -> tuple[int, int, bytes]:

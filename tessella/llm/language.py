@@ -3,7 +3,8 @@
 The model learns from at most `max_rows` labelled rows (all of them below that), chosen by a hash of doc_id. A null text, or one
 without a letter, is `und` with score 0. The score is the posterior of the predicted language, tempered to the weight of
 `evidence` n-grams so that long texts don't all saturate. Ties go to the language that sorts first. Without any labelled row every
-text is `und`. Repeated rows each get their own prediction. Only doc_id, text and lang are read; other columns pass through.
+text is `und`. The matrix has at most MAX_CELLS cells: with more languages than fit at 2**bits buckets each (128 at 17 bits) it has fewer buckets, down to
+2**LEAST_BITS, which leaves room for 262,144 languages; more are an error. Repeated rows each get their own prediction. Only doc_id, text and lang are read; other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SIZES = (1, 2, 3, 4)  # of the character n-grams
 STRETCH = 1 << 17  # characters hashed at a time
 BATCH = 1 << 18  # bytes of text looked at together
 MAX_CELLS = 1 << 24  # languages times buckets that the broadcast matrix may have
+LEAST_BITS = 6
+GATHERED = 1 << 21  # cells of the matrix that a step of scoring gathers
 
 
 @dataclass
@@ -71,9 +74,11 @@ def _ngrams(code: np.ndarray, row: np.ndarray, bits: int) -> Iterator[tuple[np.n
 def train(labelled: DataFrame, max_rows: int = 200_000, bits: int = 17, smoothing: float = 0.05) -> Model:
     """Fit on rows (doc_id, text, lang) with neither text nor lang null."""
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    found = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit((MAX_CELLS >> bits) + 1).collect())
-    if len(found) << bits > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS >> bits} languages; give fewer bits")
+    found = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit((MAX_CELLS >> LEAST_BITS) + 1).collect())
+    if len(found) << LEAST_BITS > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS >> LEAST_BITS} languages")
+    while len(found) << bits > MAX_CELLS:
+        bits -= 1
     langs, total = [x for x, _ in found], sum(n for _, n in found)
     if total > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
@@ -113,10 +118,12 @@ def predict(docs: DataFrame, model: Model, *keep: str, evidence: int = 60, lang:
             if m.langs:
                 code, row, has = _chars(column(batch, "text").to_pylist())
                 size, total = np.zeros(n), np.zeros((n, len(m.langs)))
-                for buckets, at in _ngrams(code, row, bits):
-                    head = np.flatnonzero(np.diff(at, prepend=-1))
-                    size[at[head]] += np.diff(head, append=len(at))
-                    if len(head):
+                step = max(1, GATHERED // len(m.langs))
+                for every, of in _ngrams(code, row, bits):
+                    for lo in range(0, len(every), step):
+                        buckets, at = every[lo : lo + step], of[lo : lo + step]
+                        head = np.flatnonzero(np.diff(at, prepend=-1))
+                        size[at[head]] += np.diff(head, append=len(at))
                         total[at[head]] += np.add.reduceat(by_bucket[buckets], head, axis=0, dtype=np.float64)
                 total *= (evidence / np.maximum(size, evidence))[:, None]
                 total += m.prior

@@ -207,7 +207,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
     """Write all documents in ascending doc_id order; the manifest, one row per shard, tasks and shards in that order."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "token-shards")
-    source = docs.select("doc_id", "text")
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     parts = max(source.rdd.getNumPartitions(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
         if out:
             out.close()
 
-    ordered = source.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), "hash")  # with the hash, rows of one id, or of none, are dealt to many tasks
+    ordered = source.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     return materialise(ordered.mapInArrow(run, MANIFEST), "shard-manifest")
 
 

@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z only) and cut into words. A benchmark item's windows
 has fewer. One scan of the documents explodes the 64-bit hash of every window of those lengths against the set; the words of each hit are
 then compared, so a hash alone never decides. Hits and one row for each document are grouped; only those rows are shuffled.
 
-The set is broadcast while it has at most `broadcast_windows` windows. A larger one can't be: then place and hash of every document window are
+The set is broadcast while it has at most `broadcast_windows` windows and SENT_BYTES of words and item ids. A larger one can't be: then place and hash of every document window are
 shuffled to it, and the hits of a document go back to its text, where words are compared. Both ways give the same rows.
 
 Null or empty text has no words and is never hit. A null item_id counts for hits but not as an item; items that repeat an item_id are one.
@@ -22,6 +22,7 @@ from tessella.llm.common import free_name
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 13
+SENT_BYTES = 128 << 20
 
 
 def lowered(text: Column) -> Column:
@@ -53,9 +54,10 @@ def _hashes(sizes: list[int]) -> list[Column]:
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_windows: int = 500_000) -> DataFrame:
     """Per document: doc_id, text_hash, copies (equal rows), n_words, spans (sorted from, size of hit windows), items."""
     found = benchmark_windows(benchmark, width)
-    sizes = {r["w_size"]: r["n"] for r in found.groupBy("w_size").agg(F.count("*").alias("n")).collect()}
+    counted = found.groupBy("w_size").agg(F.count("*").alias("n"), F.sum(F.octet_length("w_text") + 8 * F.size("w_items")).alias("bytes")).collect()
+    sizes = {r["w_size"]: r["n"] for r in counted}
     doc = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
-    if sum(sizes.values()) > broadcast_windows:
+    if sum(sizes.values()) > broadcast_windows or sum(r["bytes"] for r in counted) > SENT_BYTES:
         return _hits_by_shuffle(docs, doc, found, sorted(sizes))
     start = F.struct(F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("hashes"))  # the row that every document keeps
     run = doc.select("doc_id", "text_hash", "words", F.inline(F.array(start, *_hashes(sorted(sizes)))))

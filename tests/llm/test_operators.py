@@ -618,6 +618,46 @@ def test_jaccard_with_hot_keys_split(spark, monkeypatch, seed):
     assert {r.doc_id: r.component_id for r in got} == brute_components([r[:2] for r in rows])
 
 
+def test_words_made_to_collide_stay_apart(spark):
+    """A 64-bit hash that takes eight bytes after the other can be mended by the last eight."""
+    rows = [(1, "abcdefghijklmnop a b c d"), (2, "zzzadocuwr#n0\\^j a b c d"), (3, "zzzadocuwr#n0\\^j a b c d abcdefghijklmnop a b c d")]
+    raw = np.frombuffer(b"".join(t.split()[0].encode() for _, t in rows[:2]), np.uint8)
+    one, two = common.span_digests(raw, np.array([0, 16]), np.array([16, 32]))
+    assert one[0] != one[1] and two[0] != two[1]
+    got = jaccard.near_copies(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 2), (3, 6, 3)]
+
+
+def test_sets_whose_tokens_collide_are_compared_by_both_halves(monkeypatch):
+    plain = common.span_digests
+    monkeypatch.setattr(jaccard, "span_digests", lambda *x: (np.zeros(len(x[1]), np.uint64), plain(*x)[1]))
+    token, other, end = jaccard.sets(pa.array(["a b c d e f g", "a b c d e x y", "a b c d e a b c d e", None, "one"]))
+    assert end.tolist() == [3, 6, 11, 11, 12] and len(set(token.tolist())) == 1
+    one, two = ((token[a:b], other[a:b]) for a, b in ((0, 3), (3, 6)))
+    assert jaccard.common_size(one, two) == 1 and jaccard.common_size(one, one) == 3
+
+
+@pytest.mark.parametrize("sent", [0, 8 << 20])
+def test_frequent_keys_are_joined_in_parts_or_by_broadcast(spark, monkeypatch, sent):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "SENT_BYTES", sent)
+    many = common.materialise(spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)], "k int, i int").repartition(3), "many")
+    one = spark.createDataFrame([(k, [k] * 5, f"t{k}") for k in range(5)], "k int, more array<int>, t string")
+    assert sorted(map(tuple, common.join_each(many, one, ["k"]).select("k", "i", "t").collect())) == sorted((k, i, f"t{k}") for k, i in map(tuple, many.collect()) if k < 5)
+
+
+def test_hundreds_of_languages(spark):
+    rnd = random.Random(12)
+    names = [f"l{i:03}" for i in range(200)]
+    lexicon = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for x in names}
+    rows = [(i, " ".join(rnd.choice(lexicon[x]) for _ in range(30)), x, "s", 0) for i, x in enumerate(names * 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.train(docs)
+    assert model.log_prob.shape == (200, 1 << 16)
+    got = language.predict(docs, model, "doc_id", "lang").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.97 * len(rows)
+
+
 # ---- columns of the operators' own names ----------------------------------------------------------------------
 
 
@@ -694,6 +734,27 @@ def test_substring_dedup_of_thue_morse_words_and_hot_minimisers(spark, monkeypat
         assert got == sorted(brute_removal(rows, 50)) and got[1][2] == 0 and got[2][2] == 50
 
 
+@pytest.mark.parametrize("hot", [1, 3, 40])
+def test_hot_minimisers_are_cut_by_other_orders(spark, hot):
+    """Short windows over few words: minimisers with many different strings, equal strings in many documents, and copies."""
+    rnd = random.Random(hot)
+    seed = words(rnd, 4)
+    rows = [(i, " ".join(words(rnd, 12, 6) + seed + words(rnd, 12, 6))) for i in range(60)]
+    rows += [(100 + i, rows[i % 3][1]) for i in range(30)] + [(7, rows[9][1]), (7, " ".join(seed * 9)), (200, " ".join(seed * 12))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    assert sorted(map(tuple, superkmers.removal(df, 10, 3, hot).collect())) == sorted(brute_removal(rows, 10))
+
+
+def test_thousands_of_equal_rows_cost_what_one_does(spark, monkeypatch):
+    text = " ".join(f"w{i % 71}x{i}" for i in range(120))
+    rows = [(1, text, "en", "s", 0), *[(None, text, "en", "s", 0)] * 3000, *[(5, text, "en", "s", 0)] * 3000]
+    df = spark.createDataFrame(rows, DOCS)
+    kmers = superkmers.super_kmers(superkmers._distinct(superkmers._keyed(df)))
+    assert kmers.count() <= 3 * 60
+    got = superkmers.removal(df).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(1, 0, 1), (None, 120, 3000), (5, 120, 3000)}
+
+
 def test_windows_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(superkmers, "run_hashes", lambda w, k: np.zeros(len(w) - k + 1, np.uint64))
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([0, 0, 0, 0]), pa.array([0, 0, 0, 5], pa.int32()), pa.array(["a b c", "a b d", "a b c d", "x b d"])], names=["did", "th", "start", "words"])

@@ -6,57 +6,85 @@
 4. benchmark: documents of which a twentieth or more is benchmark text go.
 5. packing: the rest is packed into sequences of 2048 tokens.
 
-A stage's input is written before it starts, so each stage first deletes what the stages before it left in the shared folder.
+A stage's input is written before it starts, so each stage first deletes what the stages before it, of the same run, left in the shared folder. Stages that are
+called one by one in a session are one run: the result of each must be written before the next is called.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, jaccard, language, packing, superkmers
-from tessella.llm.common import release, shared_dir, table, written
+from tessella.llm.common import release, scratch, shared_dir, table
 from tessella.llm.queries import tokenizer
 
 
-BATCH_ROWS = 1000
-_since = 0  # intermediate tables there were when the latest stage began
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "1000"  # texts are long: so many rows hold a few megabytes on either side of the border to Python
 
 
-def _begin(spark: SparkSession, first: bool = False) -> None:
-    global _since
-    if not first:
-        release(spark, _since)
-    _since = written()
-    # texts are long: batches of so many rows hold a few megabytes on either side of the border to Python
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+class Run:
+    """What a run of the stages leaves for the next stage to clear up: the folders that its own stages made, no other's, and the session's batch size."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders, self.batch = spark, [], None
+
+    @contextmanager
+    def stage(self, last: bool = False) -> Iterator[None]:
+        release(self.spark, self.folders)
+        self.batch = self.batch or self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, BATCH_ROWS)
+        try:
+            with scratch(self.folders):
+                yield
+        except BaseException:
+            last = True
+            raise
+        finally:
+            if last:
+                self.spark.conf.set(BATCH, self.batch)
+                self.batch = None
+
+
+_runs: WeakKeyDictionary[SparkSession, Run] = WeakKeyDictionary()  # of stages that are called one by one
+
+
+def _run(spark: SparkSession) -> Run:
+    return _current.get() or _runs.setdefault(spark, Run(spark))
+
+
+_current: ContextVar[Run | None] = ContextVar("run", default=None)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark, first=True)
-    return language.keep_known(docs)
+    with _run(spark).stage():
+        return language.keep_known(docs)
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return jaccard.representatives(docs)
+    with _run(spark).stage():
+        return jaccard.representatives(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return superkmers.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    with _run(spark).stage():
+        return superkmers.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+    with _run(spark).stage():
+        return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return packing.pack(docs, tokenizer())
+    with _run(spark).stage(last=True):
+        return packing.pack(docs, tokenizer())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -71,9 +99,16 @@ ORACLE_SQL = None  # a trained language model is no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        out, made = shared_dir(spark, f"pipeline-{name}"), stage(spark, docs, sf_dir)
-        made.write.parquet(out)
-        docs = spark.read.schema(made.schema).parquet(out)
+    docs, own = table(spark, sf_dir, "documents"), []
+    token = _current.set(Run(spark))
+    try:
+        for name, stage in STAGES:
+            out, made = shared_dir(spark, f"pipeline-{name}"), stage(spark, docs, sf_dir)
+            made.write.parquet(out)
+            docs = spark.read.schema(made.schema).parquet(out)
+            release(spark, own)
+            own.append(out)
+        release(spark, _current.get().folders)
+    finally:
+        _current.reset(token)
     return docs

@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.bands import BOX, TILE, same, slab_cells, transpose, union_bands
-from tessella.operators.boolean import boolean
+from tessella.operators.bands import BOX, TILE, joined_up, same, slab_cells, transpose, union_bands
+from tessella.operators.boolean import KEEP
 from tessella.plans.session import materialise
 
 PAIR = ["e1x1", "e1y1", "e1x2", "e1y2", "e2x1", "e2y1", "e2x2", "e2y2"]
@@ -108,27 +108,50 @@ def self_space(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TI
     return ordered(_open_gaps(_gaps(across, across, keys, limit, once=True), across, keys, limit)).distinct()
 
 
+def _real_edges(sides: Sequence[DataFrame], keys: Sequence[str], tile: int) -> DataFrame:
+    """Edges that lie on tile borders: keys, y1."""
+    edges = None
+    for side in sides:
+        own = side.where("x1 < x2 and y1 < y2").select(*keys, F.explode(F.array("y1", "y2")).alias("y1")).where(f"y1 % {tile} = 0")
+        edges = own if edges is None else edges.unionByName(own)
+    return edges.distinct()
+
+
+def _over_borders(rows: DataFrame, edges: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """Margins (keys, xa, xb, y1, y2) with those joined that only a tile border parts: none of the edges of the plane lies there."""
+    border = f"y1 % {tile} = 0 or y2 % {tile} = 0"
+    cut = rows.where(border).alias("m").join(edges.withColumn("real", F.lit(True)).alias("e"), same([*keys, "y1"], "m", "e"), "left").select("m.*", "e.real")
+    tower = Window.partitionBy(*keys, "xa", "xb").orderBy("y1")
+    new = F.when((F.lag("y2").over(tower) == F.col("y1")) & (F.col("y1") % tile == 0) & F.col("real").isNull(), 0).otherwise(1)
+    runs = cut.withColumn("new", new).withColumn("run", F.sum("new").over(tower))
+    joined = runs.groupBy(*keys, "xa", "xb", "run").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"))
+    return rows.where(f"not ({border})").unionByName(joined.select(*rows.columns))
+
+
 def _margins(outer: DataFrame, inner: DataFrame, keys: Sequence[str], limit: int, tile: int) -> DataFrame:
-    """Margins along x under limit in every slab where an inner run lies in an outer run."""
+    """Margins along x under limit in every slab between neighbouring edges of the plane where an inner run lies in an outer run, whatever the tiles."""
     cells = slab_cells(outer, inner, keys, tile)
     group = [*keys, "tile", "y1", "y2"]
     line = Window.partitionBy(*keys, "tile", "y1").orderBy("x1")
-
-    def runs(cond: str) -> DataFrame:
-        kept = cells.where(cond).withColumn("new", F.when(F.lag("x2").over(line) == F.col("x1"), 0).otherwise(1)).withColumn("run", F.sum("new").over(line))
-        return kept.groupBy(*group, "run").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
-
-    o, i = runs("a > 0").alias("o"), runs("b > 0").alias("i")
-    met = o.join(i, same(group, "o", "i") & F.expr("o.x1 <= i.x1 and o.x2 >= i.x2"))
-    met = met.select(*(F.col(f"o.{k}").alias(k) for k in [*keys, "y1", "y2"]), F.col("o.x1").alias("ox1"), F.col("o.x2").alias("ox2"), F.col("i.x1").alias("ix1"), F.col("i.x2").alias("ix2"))
-    left = met.where(f"ix1 - ox1 < {limit}").select(*upright(keys, "ox1", "ix1", "y1", "y2"))
-    return left.unionByName(met.where(f"ox2 - ix2 < {limit}").select(*upright(keys, "ix2", "ox2", "y1", "y2")))
+    # one pass for both sides: a cell knows its outer run, and inner runs are what is left of those cells
+    starts = F.when(F.lag("x2").over(line) == F.col("x1"), 0).otherwise(1)
+    outer_run = cells.where("a > 0").withColumn("new", starts).withColumn("run", F.sum("new").over(line))
+    of_run = Window.partitionBy(*group, "run")
+    seen = outer_run.withColumns({"ox1": F.min("x1").over(of_run), "ox2": F.max("x2").over(of_run)}).where("b > 0")
+    inside = Window.partitionBy(*group, "run").orderBy("x1")
+    runs = seen.withColumn("new", F.when(F.lag("x2").over(inside) == F.col("x1"), 0).otherwise(1)).withColumn("part", F.sum("new").over(inside))
+    met = runs.groupBy(*group, "run", "part").agg(F.min("x1").alias("ix1"), F.max("x2").alias("ix2"), F.first("ox1").alias("ox1"), F.first("ox2").alias("ox2"))
+    sides = F.array(F.struct(F.col("ox1").alias("xa"), F.col("ix1").alias("xb")), F.struct(F.col("ix2").alias("xa"), F.col("ox2").alias("xb")))
+    rows = met.select(*keys, "y1", "y2", F.inline(sides)).where(f"xb - xa < {limit}")
+    joined = _over_borders(rows, _real_edges([outer, inner], keys, tile), keys, tile)
+    return joined.select(*upright(keys, "xa", "xb", "y1", "y2"))
 
 
 def enclosure(outer: DataFrame, inner: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE) -> DataFrame:
-    """Inner coverage outside outer, as the sides of its bands, and margins under limit, slab by slab."""
-    bare = boolean("difference", inner, outer, keys, tile).select(*upright(keys, "x1", "x2", "y1", "y2"))
-    covered = boolean("intersection", inner, outer, keys, tile)
+    """Inner coverage outside outer, as the sides of its bands, and margins under limit, slab by slab; the rows don't depend on the tile."""
+    cells = materialise(slab_cells(inner, outer, keys, tile), "enclosure-cells")
+    bare = joined_up(cells.where(KEEP["difference"]), keys).select(*upright(keys, "x1", "x2", "y1", "y2"))
+    covered = materialise(joined_up(cells.where(KEEP["intersection"]), keys), "covered")
     along = _margins(outer, covered, keys, limit, tile)
     across = swap_axes(_margins(transpose(outer), transpose(covered), keys, limit, tile))
     return bare.unionByName(along).unionByName(across).distinct()

@@ -175,8 +175,9 @@ def edge_distance_sql(metric: str, pairs: str, carried: str) -> str:
     """CTEs ending in far: the edge pairs (a to b, c to d, with a number no) of a table, the columns carried, and their distance."""
     legs = (("c", "a", "b"), ("d", "a", "b"), ("a", "c", "d"), ("b", "c", "d"))  # a point, and the segment it is seen from
     if metric == "square":
-        mids = "unnest([[a_x, a_y], [b_x, b_y], [(a_x + b_x) // 2, (a_y + b_y) // 2]]) AS p, [[c_x, c_y], [d_x, d_y], [(c_x + d_x) // 2, (c_y + d_y) // 2]] AS qs"
-        return f"spots AS (SELECT no, p, unnest(qs) AS q FROM (SELECT no, {mids} FROM {pairs})), least_d AS (SELECT no, min(greatest(abs(p[1] - q[1]), abs(p[2] - q[2]))) AS d FROM spots GROUP BY no), far AS (SELECT {carried}, {_OUT}, d FROM {pairs} JOIN least_d USING (no))"
+        spots = {s: [(f"{p}_x", f"{p}_y") for p in ends] + [tuple(f"trunc(({ends[0]}_{c} + {ends[1]}_{c}) / 2)::BIGINT" for c in "xy")] for s, ends in (("e", "ab"), ("f", "cd"))}
+        apart = ", ".join(f"greatest(abs({px} - {qx}), abs({py} - {qy}))" for px, py in spots["e"] for qx, qy in spots["f"])
+        return f"far AS (SELECT {carried}, {_OUT}, least({apart}) AS d FROM {pairs})"
     rows = " UNION ALL ".join(f"SELECT no, {p}_x - {s}_x AS wx, {p}_y - {s}_y AS wy, {t}_x - {s}_x AS ux, {t}_y - {s}_y AS uy FROM {pairs}" for p, s, t in legs)
     if metric == "projection":
         leg = "CASE WHEN ux = 0 AND uy = 0 THEN abs(wy)::DOUBLE ELSE abs(ux * wy - uy * wx) / sqrt((ux * ux + uy * uy)::DOUBLE) END"
@@ -193,7 +194,8 @@ def _edge_query(name: str, check: Callable, kind: str, metric: str, least_edges:
         return check(polygons(shapes(spark, sf_dir), kind), KEYS, NOTCH, metric)
 
     run.__name__ = f"{name}_{metric}"
-    pairs = f"pairs AS (SELECT row_number() OVER () AS no, e.cell_id, e.layer, {_BOTH} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer = f.layer AND e.id = f.id AND f.edge - e.edge BETWEEN 2 AND e.n - 1 - CASE WHEN e.edge = 0 THEN 1 ELSE 0 END WHERE e.n >= {least_edges}), kept AS (SELECT * FROM pairs WHERE {cond})"
+    number = "0" if metric == "square" else "row_number() OVER ()"
+    pairs = f"pairs AS (SELECT {number} AS no, e.cell_id, e.layer, {_BOTH} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer = f.layer AND e.id = f.id AND f.edge - e.edge BETWEEN 2 AND e.n - 1 - CASE WHEN e.edge = 0 THEN 1 ELSE 0 END WHERE e.n >= {least_edges}), kept AS (SELECT * FROM pairs WHERE {cond})"
     query(f"WITH {SHAPES_SQL}, {ring_sql(kind)}, {pairs}, {edge_distance_sql(metric, 'kept', K)} SELECT {K}, {PAIR} FROM far WHERE d > 0 AND d < {NOTCH}")(run)
 
 
@@ -210,7 +212,8 @@ def _separation_query(metric: str, kind: str) -> None:
 
     run.__name__ = f"separation_{metric}"
     close = " AND ".join(f"least({s}.{c}1, {s}.{c}2) < greatest({t}.{c}1, {t}.{c}2) + {EDGE_SPACE}" for c in "xy" for s, t in (("e", "f"), ("f", "e")))
-    pairs = f"pairs AS (SELECT row_number() OVER () AS no, e.cell_id, e.layer, {_BOTH} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer + 1 = f.layer WHERE e.layer <= 6 AND {close})"
+    number = "0" if metric == "square" else "row_number() OVER ()"
+    pairs = f"pairs AS (SELECT {number} AS no, e.cell_id, e.layer, {_BOTH} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer + 1 = f.layer WHERE e.layer <= 6 AND {close})"
     query(f"WITH {SHAPES_SQL}, {ring_sql(kind)}, {pairs}, {edge_distance_sql(metric, 'pairs', K)} SELECT {K}, {PAIR} FROM far WHERE d > 0 AND d < {EDGE_SPACE}")(run)
 
 

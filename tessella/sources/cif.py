@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.sequences import must, running
 from tessella.plans.session import materialise
+from tessella.sources.lef import rest
 
 KNOWN = ("DS", "DF", "L", "B", "W", "P", "C", "9", "E")
 ELEMENT = "file string, cell string, block bigint, seq bigint, kind string, layer int, points array<struct<x:int,y:int>>, width int, ref_cell string, origin struct<x:int,y:int>, mirror boolean, angle double, text string"
@@ -25,7 +26,7 @@ def commands(statements: DataFrame) -> DataFrame:
     bare = F.trim(F.regexp_replace(F.regexp_replace(began, r"\([^)]*(\)|$)", " "), r"\s+", " "))
     parts = opened.select("file", "block", "seq", F.split(bare, " ").alias("p")).where("p[0] <> ''")
     name = must(F.col("p")[0].isin(*KNOWN), F.concat(F.lit("CIF: unsupported command "), F.col("p")[0]), F.col("p")[0])
-    return parts.select("file", "block", "seq", name.alias("command"), F.slice("p", 2, 1 << 20).alias("args"))
+    return parts.select("file", "block", "seq", name.alias("command"), rest("p").alias("args"))
 
 
 def _scaled(value: Column) -> Column:
@@ -75,8 +76,9 @@ def elements(statements: DataFrame) -> DataFrame:
     one = F.get("args", F.lit(0))
     number, under = F.get("args", F.lit(1)).cast("double"), F.get("args", F.lit(2)).cast("double")
     scale = F.when(name("DS"), F.when(F.size("args") == 3, number / under).otherwise(1 / number))
-    label = F.when(name("L"), one).when(name("DS"), F.lit("0"))  # a cell starts on layer 0
-    state = running(c, {"opened": name("DS").cast("int"), "closed": name("DF").cast("int"), "ended": F.when(name("E"), 1).otherwise(0)}, {"cell_id": F.when(name("DS"), one.cast("long")), "scale": scale, "label": label})
+    counts = {"opened": name("DS").cast("int"), "closed": name("DF").cast("int"), "ended": F.when(name("E"), 1).otherwise(0)}
+    modal = {"cell_id": F.when(name("DS"), one.cast("long")), "scale": scale, "label": F.when(name("L"), one)}
+    state = running(c, counts, modal, reset=name("DS")).withColumn("label", F.coalesce("label", F.lit("0")))  # a cell starts on layer 0
     inside = F.col("opened") - F.col("closed") == F.when(name("DF") | name("E"), 0).otherwise(1)
     proper = materialise(state.withColumn("command", must(inside & ((F.col("ended") == 0) | name("E")), F.concat(F.lit("CIF: command out of place: "), F.col("command")), F.col("command"))), "cif-commands")
     names = cell_names(proper)
@@ -89,7 +91,7 @@ def elements(statements: DataFrame) -> DataFrame:
         "file", "cell", "block", "seq",
         F.when(is_box | is_ring, "boundary").when(is_wire, "path").when(is_call, "cellRef").otherwise("text").alias("kind"),
         F.when(~is_call, F.col("layer")).alias("layer"),
-        F.when(is_box, _box(F.col("args"))).when(is_ring, closed).when(is_wire, _points(F.slice("args", 2, 1 << 20))).alias("points"),
+        F.when(is_box, _box(F.col("args"))).when(is_ring, closed).when(is_wire, _points(rest("args"))).alias("points"),
         F.when(is_wire, _scaled(one)).alias("width"),
         F.when(is_call, one.cast("long")).alias("ref_id"),
         F.when(is_call, call).alias("call"),

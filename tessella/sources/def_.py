@@ -13,7 +13,7 @@ from tessella.functions.codes import orientation_of, transform_of
 from tessella.functions.curves import point
 from tessella.operators.sequences import must, running
 from tessella.plans.session import materialise
-from tessella.sources.lef import pieces, word
+from tessella.sources.lef import PLACE, pieces, rest, word
 
 PIECE = r"(END\s+\S+(?=\s|$)|\S[\s\S]*)"
 #: Sections that hold entries.
@@ -34,7 +34,7 @@ def scan(statements: DataFrame) -> DataFrame:
 
 def _clause(*keys: str) -> Column:
     """The words of the entry's first clause that starts with one of the keys."""
-    return F.get(F.filter(F.slice("clauses", 2, 1 << 20), lambda c: F.get(c, F.lit(0)).isin(*keys)), F.lit(0))
+    return F.get(F.filter(rest("clauses"), lambda c: F.get(c, F.lit(0)).isin(*keys)), F.lit(0))
 
 
 def _at(clause: Column, i: int) -> Column:
@@ -133,7 +133,8 @@ def elements(scanned: DataFrame, mapping: DataFrame) -> DataFrame:
     blank = {"layer": "int", "points": "array<struct<x:int,y:int>>", "width": "int", "ref_cell": "string", "origin": "struct<x:int,y:int>", "mirror": "boolean", "angle": "double", "text": "string", "name": "string"}
 
     def part(df: DataFrame, rank: int, kind: str, **have: Column) -> DataFrame:
-        order = F.struct(F.lit(rank).alias("rank"), *(F.col(c).cast("long").alias(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in ("block", "seq", "wire")))
+        at = {"seq": PLACE, "wire": "int"}
+        order = F.struct(F.lit(rank).alias("rank"), *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in at.items()))
         return df.select("file", order.alias("elem_order"), F.lit(kind).alias("kind"), *(have.get(c, F.lit(None)).cast(t).alias(c) for c, t in blank.items()))
 
     spot = F.struct(F.col("x"), F.col("y"))
@@ -148,7 +149,7 @@ def elements(scanned: DataFrame, mapping: DataFrame) -> DataFrame:
 def cells(scanned: DataFrame) -> DataFrame:
     """file, cell_idx, cell: the design, then an empty cell for each macro in order of first use."""
     tops = design(scanned).select("file", F.when(F.col("design") == "", "TOP").otherwise(F.col("design")).alias("top"))
-    used = components(scanned).where("macro <> ''").groupBy("file", "macro").agg(F.min(F.struct("block", "seq")).alias("first")).join(tops, "file").where("macro <> top")
+    used = components(scanned).where("macro <> ''").groupBy("file", "macro").agg(F.min("seq").alias("first")).join(tops, "file").where("macro <> top")
     order = F.row_number().over(Window.partitionBy("file").orderBy("first"))
     return tops.select("file", F.lit(0).alias("cell_idx"), F.col("top").alias("cell")).unionByName(used.select("file", order.alias("cell_idx"), F.col("macro").alias("cell")))
 

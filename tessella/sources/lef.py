@@ -18,19 +18,27 @@ PIECE = r"(END(?:\s+(?!(?:END|MACRO|PIN|PORT|OBS|LAYER|SITE|VIA|UNITS|VERSION)\s
 TOPS = ("LAYER", "SITE", "VIA", "MACRO", "UNITS")
 
 
+PLACE = "struct<block:bigint,seq:bigint,part:int>"  # of a statement in its file
+
+
 def word(i: int) -> Column:
     return F.get("words", F.lit(i))
 
 
+def rest(words: str) -> Column:
+    """All but the first."""
+    return F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+
+
 def pieces(statements: DataFrame, pattern: str = PIECE) -> DataFrame:
-    """file, block, seq, words, whole: openings, closings and statements (whole) in order."""
+    """file, block, seq (a place: block, statement, part), words, whole: openings, closings and statements (whole) in order."""
     # a comment may hold a semicolon: then the next statement starts within it
     tail = F.when(F.contains("text", F.lit("\n")), F.contains(F.substring_index("text", "\n", -1), F.lit("#"))).when(F.contains("text", F.lit("#")), True)
     open_ = running(statements, carried={"noted": tail}, before=True)
     text = F.when(F.col("noted"), F.regexp_replace("text", r"^[^\n]*", " ")).otherwise(F.col("text"))
     bare = open_.select("file", "block", "seq", F.regexp_extract_all(F.regexp_replace(text, r"#[^\n]*", " "), F.lit(pattern), F.lit(1)).alias("p"))
     cut = bare.select("file", "block", "seq", F.size("p").alias("n"), F.posexplode("p").alias("part", "piece"))
-    return cut.select("file", "block", (F.col("seq") * 64 + F.col("part")).alias("seq"), F.split(F.trim(F.regexp_replace("piece", r"\s+", " ")), " ").alias("words"), (F.col("part") == F.col("n") - 1).alias("whole"))
+    return cut.select("file", "block", F.struct("block", "seq", "part").alias("seq"), F.split(F.trim(F.regexp_replace("piece", r"\s+", " ")), " ").alias("words"), (F.col("part") == F.col("n") - 1).alias("whole"))
 
 
 def scan(statements: DataFrame) -> DataFrame:
@@ -85,7 +93,7 @@ def pins(scanned: DataFrame) -> DataFrame:
 def shapes(scanned: DataFrame) -> DataFrame:
     """RECT and POLYGON of macros and vias: file, top, owner_idx, owner, pin ('' outside), area, port, seq, layer_name, kind, coordinates (microns)."""
     drawn = scanned.where("top in ('MACRO', 'VIA') and words[0] in ('RECT', 'POLYGON')")
-    values = F.transform(F.filter(F.slice("words", 2, 1 << 20), lambda w: ~w.isin("(", ")", "MASK", "ITERATE")), lambda w: w.cast("double"))
+    values = F.transform(F.filter(rest("words"), lambda w: ~w.isin("(", ")", "MASK", "ITERATE")), lambda w: w.cast("double"))
     return drawn.select("file", "top", F.col("section").alias("owner_idx"), F.col("name").alias("owner"), "pin", "area", "port", "seq", F.col("layer").alias("layer_name"), F.lower(word(0)).alias("kind"), values.alias("coordinates"))
 
 
@@ -112,7 +120,7 @@ def elements(scanned: DataFrame) -> DataFrame:
     xs, ys = axis(0), axis(1)
     middle = lambda i, j: F.get("f.coordinates", F.lit(i)) / 2.0 + F.get("f.coordinates", F.lit(j)) / 2.0
     centre = F.when(F.col("f.kind") == "rect", spot(middle(0, 2), middle(1, 3))).otherwise(spot(stable_mean(xs), stable_mean(ys)))
-    label_place = F.struct(F.lit(0).alias("a"), F.col("port").alias("b"), F.lit(2).alias("c"), F.lit(0).cast("long").alias("d"))
+    label_place = F.struct(F.lit(0).alias("a"), F.col("port").alias("b"), F.lit(2).alias("c"), F.lit(None).cast(PLACE).alias("d"))
     labels = firsts.select(*base, label_place.alias("place"), F.lit("text").alias("kind"), F.lit(None).cast("array<struct<x:int,y:int>>").alias("points"), centre.alias("origin"), F.col("pin").alias("text"))
     order = F.row_number().over(Window.partitionBy("file", "owner_idx").orderBy("place")) - 1
     return drawn_out.unionByName(labels).select("file", F.col("owner_idx").alias("cell_idx"), F.col("owner").alias("cell"), order.alias("elem_idx"), "kind", "layer", "points", "origin", "text")

@@ -172,3 +172,17 @@ def test_codes(spark):
     assert tuple(one(codes.unpacked(codes.packed(record), "a int, b string"))) == (1, "é")
     assert one(codes.unquoted(F.lit('"x y"'))) == "x y" and one(codes.number_text(F.lit(2.0))) == "2" and one(codes.number_text(F.lit(0.25))) == "0.25"
     assert one(codes.stable_mean(F.array(F.lit(1.7e308), F.lit(1.7e308)))) == 1.7e308
+
+
+@pytest.mark.parametrize("stretch", [10_000, 1])
+def test_statements_of_many_pieces_keep_their_order(spark, stretch):
+    """Ninety empty macros, which have no semicolon, stand before the first statement of the next one."""
+    body = "LAYER M1 TYPE ROUTING ; END M1 LAYER M2 TYPE ROUTING ; END M2 " + " ".join(f"MACRO e{i} END e{i}" for i in range(90)) + " MACRO b PIN p PORT LAYER M2 ; RECT 0 0 1 2 ; END END p END b END LIBRARY"
+    got = lef.elements(scanned(spark, lef, body, stretch)).orderBy("elem_idx").collect()
+    assert [(r.cell, r.kind, r.layer, r.text) for r in got] == [("b", "boundary", 2, None), ("b", "text", 2, "p")]
+
+
+def test_long_lists_are_not_cut(spark):
+    points = " ".join(f"{i % 1000}.5 {i}.5" for i in range(600_000))
+    body = f"LAYER M1 TYPE ROUTING ; END M1 MACRO m OBS LAYER M1 ; POLYGON {points} ; END END m"
+    assert len(lef.elements(scanned(spark, lef, body)).first().points) == 600_001

@@ -114,6 +114,18 @@ def test_enclosure(spark, inner, want):
     assert drc.enclosure(boxes(spark, (0, 0, 200, 200)), boxes(spark, inner), KEYS, 50).count() == want
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_enclosure_does_not_depend_on_the_tile(spark, turned):
+    """One margin over many tile borders is one row; an edge that lies on a border still parts it."""
+    turn = bands.transpose if turned else (lambda x: x)
+    for outer, inner, rows in (((0, 0, 100, 20000), [(5, 100, 60, 19000)], 1), ((0, 0, 100, 20000), [(5, 100, 60, 8192), (5, 8192, 50, 16384)], 2), ((0, 0, 100, 20000), [(5, 100, 60, 12288), (40, 12288, 60, 19000), (90, 300, 96, 400)], 4)):
+        sets = []
+        for tile in (4096, 8192, 1 << 20):
+            found = drc.enclosure(turn(boxes(spark, outer)), turn(boxes(spark, *inner)), KEYS, 10, tile)
+            sets.append({tuple(r) for r in found.select(*drc.PAIR).collect()})
+        assert sets[0] == sets[1] == sets[2] and len(sets[0]) == rows, sets
+
+
 def test_sizing(spark):
     ell = boxes(spark, (0, 0, 200, 100), (0, 100, 100, 200))
     assert area(sizing.sized(ell, KEYS, 10)) == 38400

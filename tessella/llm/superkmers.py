@@ -6,8 +6,8 @@
 3. The rest is joined to the texts; each super-k-mer travels as one packed string to the bucket of its minimiser, where its windows are
    sorted with those of the others, and those whose words also start in a smaller doc_id are found.
 4. A minimiser with over `hot` super-k-mers isn't one bucket. Its strings are cut again by the minimiser of another hash order, and equal strings are
-   pre-aggregated to their smallest doc_id: all windows of the others are repeated. The buckets of (minimiser, next minimiser) with up to `hot`
-   different strings are sorted like any other, larger ones are cut once more; after LEVELS orders the key is the hash of the window itself.
+   pre-aggregated to their smallest doc_id: all windows of the others are repeated. The buckets of (minimiser, next minimiser) with up to DIFFERENT * `hot`
+   different strings, which one task holds, are sorted like any other, larger ones are cut once more; after LEVELS orders the key is the hash of the window itself.
 5. Runs of repeated windows go back to their documents, whose covered words are removed.
 
 Windows are judged on the input, and equal only if their words are: in a bucket, windows that a hash brings together are compared word by word. A null
@@ -34,7 +34,8 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 KMERS = "did long, th long, minimiser long, start int, n int"
 PACKED = "minimiser long, did long, th long, start int, words string"
 STRINGS = "key long, did long, th long, start int, n int, words string"
-LEVELS = 6  # hash orders by which hot buckets are cut
+LEVELS = 3  # hash orders by which hot buckets are cut
+DIFFERENT = 20
 RUNS = "did long, th long, start int, n int"
 
 
@@ -146,9 +147,10 @@ def resolve(strings: DataFrame, width: int, seed: int, hot: int, level: int = 1)
     first = materialise(strings.groupBy("key", "words").agg(F.min("did").alias("lo"), F.first("n").alias("n")).withColumn("sid", F.monotonically_increasing_id()), "first-strings")
     known = materialise(join_each(strings.drop("n"), first, ["key", "words"]).select("did", "th", "start", "n", "sid", "lo"), "known-strings")
     sized = join_each(first, first.groupBy("key").agg(F.count("*").alias("times")), ["key"])
-    few = sized.where(F.lit(level > LEVELS) | (F.col("times") <= hot)).select(F.col("key").alias("minimiser"), F.col("lo").alias("did"), F.col("sid").alias("th"), F.lit(0).alias("start"), "words")
+    most = DIFFERENT * hot
+    few = sized.where(F.lit(level > LEVELS) | (F.col("times") <= most)).select(F.col("key").alias("minimiser"), F.col("lo").alias("did"), F.col("sid").alias("th"), F.lit(0).alias("start"), "words")
     inside = sort_buckets(few, width)
-    many = sized.where(F.col("times") > hot)
+    many = sized.where(F.col("times") > most)
     if level <= LEVELS and many.limit(1).count():
         whole = F.array(F.struct(F.lit(0).alias("start"), "n", F.col("key").alias("minimiser"))).alias("kmers")
         deeper = cut_strings(many.select(F.col("lo").alias("did"), F.col("sid").alias("th"), F.col("words").alias("text"), whole), width, seed, level + 1)

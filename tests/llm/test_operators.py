@@ -735,8 +735,9 @@ def test_substring_dedup_of_thue_morse_words_and_hot_minimisers(spark, monkeypat
 
 
 @pytest.mark.parametrize("hot", [1, 3, 40])
-def test_hot_minimisers_are_cut_by_other_orders(spark, hot):
+def test_hot_minimisers_are_cut_by_other_orders(spark, monkeypatch, hot):
     """Short windows over few words: minimisers with many different strings, equal strings in many documents, and copies."""
+    monkeypatch.setattr(superkmers, "DIFFERENT", 1)
     rnd = random.Random(hot)
     seed = words(rnd, 4)
     rows = [(i, " ".join(words(rnd, 12, 6) + seed + words(rnd, 12, 6))) for i in range(60)]

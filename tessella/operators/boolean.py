@@ -31,16 +31,16 @@ def require_manhattan(polygons: DataFrame, operand: str) -> None:
         raise NonManhattanError(operand, first)
 
 
-def boolean(operation: str, a: DataFrame, b: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+def boolean(operation: str, a: DataFrame, b: DataFrame, keys: Sequence[str], tile: int = TILE, wide: bool = True) -> DataFrame:
     """Bands of the operation on two rectangle tables."""
-    return joined_up(slab_cells(a, b, keys, tile).where(KEEP[operation]), keys)
+    return joined_up(slab_cells(a, b, keys, tile, wide).where(KEEP[operation]), keys, tile, wide)
 
 
-def boolean_polygons(operation: str, a: DataFrame, b: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+def boolean_polygons(operation: str, a: DataFrame, b: DataFrame, keys: Sequence[str], tile: int = TILE, wide: bool = True) -> DataFrame:
     """Bands of the operation on two polygon tables (keys, poly_idx, points)."""
     require_manhattan(a, "left")
     require_manhattan(b, "right")
-    return boolean(operation, polygon_bands(a, keys), polygon_bands(b, keys), keys, tile)
+    return boolean(operation, polygon_bands(a, keys), polygon_bands(b, keys), keys, tile, wide)
 
 
 def area(column: str | Column = "area") -> Column:
@@ -48,7 +48,7 @@ def area(column: str | Column = "area") -> Column:
     return F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias(column)
 
 
-def boolean_areas(a: DataFrame, b: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+def boolean_areas(a: DataFrame, b: DataFrame, keys: Sequence[str], tile: int = TILE, wide: bool = True) -> DataFrame:
     """Areas of all four operations in one sweep: no bands are joined up."""
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return slab_cells(a, b, keys, tile).groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.expr(cond), size)), F.lit(0)).alias(f"{name}_area") for name, cond in KEEP.items()))
+    return slab_cells(a, b, keys, tile, wide).groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.expr(cond), size)), F.lit(0)).alias(f"{name}_area") for name, cond in KEEP.items()))

@@ -96,10 +96,10 @@ def _open_gaps(gaps: DataFrame, cover: DataFrame, keys: Sequence[str], limit: in
     return pieces.groupBy(*keys, *PAIR).agg(F.sum("box").alias("box"), F.sum("part").alias("part")).where("part < box").select(*keys, *PAIR)
 
 
-def space(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE) -> DataFrame:
+def space(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE, wide: bool = True) -> DataFrame:
     """Gaps of 0 < d < limit between rectangles of a and b that the union of both doesn't fill."""
     both = a.select(*keys, *BOX).unionByName(b.select(*keys, *BOX))
-    return ordered(_open_gaps(_gaps(a, b, keys, limit), union_bands(both, keys, tile), keys, limit)).distinct()
+    return ordered(_open_gaps(_gaps(a, b, keys, limit), union_bands(both, keys, tile, wide), keys, limit)).distinct()
 
 
 def self_space(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE, wide: bool = True) -> DataFrame:
@@ -147,11 +147,11 @@ def _margins(outer: DataFrame, inner: DataFrame, keys: Sequence[str], limit: int
     return joined.select(*upright(keys, "xa", "xb", "y1", "y2"))
 
 
-def enclosure(outer: DataFrame, inner: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE) -> DataFrame:
-    """Inner coverage outside outer, as the sides of its bands, and margins under limit, slab by slab; the rows don't depend on the tile."""
-    cells = materialise(slab_cells(inner, outer, keys, tile), "enclosure-cells")
-    bare = joined_up(cells.where(KEEP["difference"]), keys).select(*upright(keys, "x1", "x2", "y1", "y2"))
-    covered = materialise(joined_up(cells.where(KEEP["intersection"]), keys), "covered")
+def enclosure(outer: DataFrame, inner: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE, wide: bool = True) -> DataFrame:
+    """Inner coverage outside outer, as the sides of its bands, and margins under limit, slab by slab; the rows don't depend on the tile. Slabs run along the whole plane, so margins are swept by y tiles alone."""
+    cells = materialise(slab_cells(inner, outer, keys, tile, wide), "enclosure-cells")
+    bare = joined_up(cells.where(KEEP["difference"]), keys, tile, wide).select(*upright(keys, "x1", "x2", "y1", "y2"))
+    covered = materialise(joined_up(cells.where(KEEP["intersection"]), keys, tile, wide), "covered")
     along = _margins(outer, covered, keys, limit, tile)
     across = swap_axes(_margins(transpose(outer), transpose(covered), keys, limit, tile))
     return bare.unionByName(along).unionByName(across).distinct()

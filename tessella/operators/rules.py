@@ -44,31 +44,31 @@ def _checked(regions: list[DataFrame], keys: Sequence[str], metric: str, covered
     return covered(*(polygon_bands(p, keys) for p, _ in parts)).unionByName(edged(*(q for _, q in parts)))
 
 
-def width(polygons: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean", tile: int = TILE) -> DataFrame:
-    return _checked([polygons], keys, metric, lambda r: drc.width(r, keys, limit, tile), lambda p: edges.width(p, keys, limit, metric))
+def width(polygons: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean", tile: int = TILE, wide: bool = True) -> DataFrame:
+    return _checked([polygons], keys, metric, lambda r: drc.width(r, keys, limit, tile, wide), lambda p: edges.width(p, keys, limit, metric))
 
 
-def space(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean", tile: int = TILE) -> DataFrame:
-    return _checked([a, b], keys, metric, lambda r, s: drc.space(r, s, keys, limit, tile), lambda p, q: edges.space(p, q, keys, limit, metric))
+def space(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean", tile: int = TILE, wide: bool = True) -> DataFrame:
+    return _checked([a, b], keys, metric, lambda r, s: drc.space(r, s, keys, limit, tile, wide), lambda p, q: edges.space(p, q, keys, limit, metric))
 
 
-def self_space(polygons: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean", tile: int = TILE) -> DataFrame:
+def self_space(polygons: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean", tile: int = TILE, wide: bool = True) -> DataFrame:
     """Space within the union. For other metrics the edges of the union's bands are compared, each pair of bands once."""
     require_manhattan(polygons, "left")
     rects = polygon_bands(polygons, keys)
     if metric == "euclidean":
-        return drc.self_space(rects, keys, limit, tile)
-    across = rings(union_bands(rects, keys, tile))
+        return drc.self_space(rects, keys, limit, tile, wide)
+    across = rings(union_bands(rects, keys, tile, wide))
     return drc.ordered(edges.space(across, across, keys, limit, metric, once=True)).distinct()
 
 
-def enclosure(outer: DataFrame, inner: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean", tile: int = TILE) -> DataFrame:
+def enclosure(outer: DataFrame, inner: DataFrame, keys: Sequence[str], limit: int, metric: str = "euclidean", tile: int = TILE, wide: bool = True) -> DataFrame:
     """Uncovered inner coverage, and margins under limit: slab by slab, or by edges for other metrics."""
     require_manhattan(inner, "left")
     require_manhattan(outer, "right")
     o, i = polygon_bands(outer, keys), polygon_bands(inner, keys)
     if metric == "euclidean":
-        return drc.enclosure(o, i, keys, limit, tile)
-    bare = boolean("difference", i, o, keys, tile).select(*drc.upright(keys, "x1", "x2", "y1", "y2"))
-    covered = rings(boolean("intersection", i, o, keys, tile))
+        return drc.enclosure(o, i, keys, limit, tile, wide)
+    bare = boolean("difference", i, o, keys, tile, wide).select(*drc.upright(keys, "x1", "x2", "y1", "y2"))
+    covered = rings(boolean("intersection", i, o, keys, tile, wide))
     return bare.unionByName(edges.enclosure(outer, covered, keys, limit, metric)).distinct()

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import codes, curves
 from tessella.functions import points as P
-from tessella.operators import bands, boolean, drc, rules, sequences, sizing
+from tessella.operators import rules, sequences, sizing
+from tessella.plans import grids
 from tessella.plans.queries import BOX_AREA, GROW, WIDTH, K, bands_sql, edge_distance_sql, query, ring_sql, sweep_sql
 from tessella.plans.session import materialise
 from tessella.plans.shapes import KEYS, SHAPES_SQL, numbered, polygons, shapes
-from tessella.sources import cif, def_, dxf, lef, sniff
+from tessella.sources import cif, def_, def_back, dxf, dxf_check, lef, sniff
 
 SCALE = 1024.0  # units a micron: a power of two, so that no truncation differs
 
@@ -149,59 +150,121 @@ def width_by_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.width(mixed, KEYS, WIDTH).groupBy(*KEYS).agg(F.count("*").alias("violations"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'oasis'), ('b', 'gds'), ('c', 'dxf'), ('d', 'def'), ('e', 'lef'), ('f', 'cif'), ('g', 'unknown'), ('h', 'unknown')) t(name, format)")
+@query(f"WITH {SHAPES_SQL} SELECT DISTINCT cell_id, ['cif', 'dxf', 'lef', 'def', 'unknown'][cell_id % 5 + 1] AS format FROM shapes")
 def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = {"a": b"%SEMI-OASIS\r\n", "b": bytes([0, 6, 0, 2, 0, 6]), "c": b"0\nSECTION\n", "d": b"VERSION 5.8 ;\nDESIGN top ;", "e": b"VERSION 5.8 ;\nMACRO a", "f": b"(x) DS 1;", "g": b"hello", "h": b"\xff\xfe\x00\x01\x02"}
-    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in bodies.items()], "name string, content binary")
-    return rows.select("name", sniff.format_of(F.col("content")).alias("format"))
-
-
-# ---- wire grids ------------------------------------------------------------------------------------------------
-
-# Fixed values of the scale workload: rows of abutting wire segments with stubs of varying height on every third, and cuts within the stubs' feet.
-WIRE, PITCH, SEGMENT = 230, 700, 1000
-GRID_TILE = 16384
+    """What was written for each cell, found from its first bytes; for some only the coordinates, which are no format."""
+    s = _numbered(spark, sf_dir)
+    of = lambda k: s.where(F.col("cell_id") % 5 == k)
+    cif_, dxf_, lef_ = ((w, of(k)) for k, w in enumerate((lambda c, b: cif.write_texts(c, _extra(b)), lambda c, b: dxf.write_texts(c, _extra(b), 1), lambda c, b: lef.write_texts(c, b, SCALE))))
+    texts = [w(_cells(x), _boundaries(x)) for w, x in (cif_, dxf_, lef_)]
+    d = of(3)
+    part = d.select(F.col("cell_id").cast("string").alias("file"), F.struct(F.col("poly_idx").alias("seq")).alias("elem_order"), F.lit("cellRef").alias("kind"), F.lit("m").alias("ref_cell"), F.struct(F.col("x1").cast("int").alias("x"), F.col("y1").cast("int").alias("y")).alias("origin"), F.lit(False).alias("mirror"), F.lit(0.0).alias("angle"), *(F.lit(None).cast(t).alias(c) for c, t in (("layer", "int"), ("points", "array<struct<x:int,y:int>>"), ("width", "int"), ("text", "string"), ("name", "string"))))
+    texts.append(def_.write_texts(d.select(F.col("cell_id").cast("string").alias("file"), F.lit("chip").alias("design")).distinct(), part, SCALE))
+    texts.append(of(4).groupBy(F.col("cell_id").cast("string").alias("file")).agg(F.array_join(F.collect_list(F.concat_ws(" ", F.lit("shape"), "x1", "y1", "x2", "y2")), "\n").alias("text")))
+    every = texts[0]
+    for t in texts[1:]:
+        every = every.unionByName(t)
+    return every.select(F.col("file").cast("long").alias("cell_id"), sniff.format_of(F.encode(F.substring("text", 1, 4096), "UTF-8")).alias("format"))
+
+
+# what is done to the text of a cell by cell_id % 6, and the faults that this makes: record, kind, fault; l layers and n polygons stand in a file
+_FAULTS = {1: ("-1", "EOF", "no end"), 2: ("8 + l", "LWPOLYGON", "unknown"), 3: ("9 + l + n", "ENDSEC", "out of place"), 4: ("8 + l + unnest(range(0, n))", "LWPOLYLINE", "number 70 x"), 5: ("7 + l", "SECTION", "out of place")}
+_FAULT_ROWS = " UNION ALL ".join(f"SELECT cell_id, ({r})::BIGINT AS record, '{k}' AS kind, '{f}' AS fault FROM s WHERE cell_id % 6 = {m}" for m, (r, k, f) in _FAULTS.items())
+
+
+@query(f"WITH {SHAPES_SQL}, s AS (SELECT cell_id, count(DISTINCT layer) AS l, count(*) AS n FROM shapes GROUP BY cell_id) {_FAULT_ROWS}")
+def dxf_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which the end mark, names, numbers or the order of sections are spoilt, validated strictly."""
+    s = _numbered(spark, sf_dir)
+    text = materialise(dxf.write_texts(_cells(s), _extra(_boundaries(s, "ell")), 1), "dxf")
+    which, body = F.col("file").cast("long") % 6, F.col("text")
+    once = lambda old, new: F.regexp_replace(body, f"(?s)^(.*?){old}", f"$1{new}")
+    spoilt = F.when(which == 1, F.regexp_replace(body, "0\nEOF\n$", "")).when(which == 2, once("LWPOLYLINE", "LWPOLYGON")).when(which == 3, once("0\nEOF\n$", "0\nENDSEC\n0\nEOF\n"))
+    spoilt = spoilt.when(which == 4, F.regexp_replace(body, "\n70\n1\n10\n", "\n70\nx\n10\n")).when(which == 5, once("\n2\nENTITIES\n", "\n3\nENTITIES\n")).otherwise(body)
+    found = dxf_check.faults(dxf.groups(text.select("file", spoilt.alias("text"))), 1)
+    return found.select(F.col("file").cast("long").alias("cell_id"), "record", "kind", "fault")
 
 
-def wires(spark: SparkSession, n: int) -> DataFrame:
-    g = spark.range(n * n).select((F.col("id") / n).cast("long").alias("r"), (F.col("id") % n).alias("c"))
-    base = g.select(F.lit(1).alias("layer"), F.expr(f"c * {SEGMENT}").alias("x1"), F.expr(f"r * {PITCH}").alias("y1"), F.expr(f"c * {SEGMENT} + {SEGMENT}").alias("x2"), F.expr(f"r * {PITCH} + {WIRE}").alias("y2"))
-    stub = g.where("(r + c) % 3 = 0").select(F.lit(1).alias("layer"), F.expr(f"c * {SEGMENT} + 200").alias("x1"), F.expr(f"r * {PITCH} + {WIRE}").alias("y1"), F.expr(f"c * {SEGMENT} + 200 + {WIRE}").alias("x2"), F.expr(f"r * {PITCH} + {WIRE} + 150 + (r * 31 + c * 17) % 50").alias("y2"))
-    return base.unionByName(stub)
+@query(_BOX_SQL)
+def dxf_hatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hatch for each shape, by turns with a polyline loop and with one of four lines."""
+    s = _numbered(spark, sf_dir)
+    corners = (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))
+    group = lambda code, v: F.concat(F.lit(f"{code}\n"), v.cast("string") if isinstance(v, Column) else F.lit(v), F.lit("\n"))
+    chain = [group(92, "3"), group(72, "0"), group(73, "1"), group(93, "4"), *(group(c, F.col(v)) for x, y in corners for c, v in ((10, x), (20, y)))]
+    edges = [group(92, "1"), group(93, "4"), *(group(c, v) for i in range(4) for c, v in ((72, "1"), (10, F.col(corners[i][0])), (20, F.col(corners[i][1])), (11, F.col(corners[(i + 1) % 4][0])), (21, F.col(corners[(i + 1) % 4][1]))))]
+    head = [group(0, "HATCH"), group(8, F.col("layer")), group(10, "0"), group(20, "0"), group(91, "1")]
+    hatch = F.concat(*head, F.when(F.col("poly_idx") % 2 == 0, F.concat(*chain)).otherwise(F.concat(*edges)), group(75, "0"), group(98, "1"), group(10, "1"), group(20, "1"))
+    body = s.groupBy(F.col("cell_id").cast("string").alias("file")).agg(F.array_join(F.collect_list(hatch), "").alias("body"))
+    text = materialise(body.select("file", F.concat(F.lit("0\nSECTION\n2\nENTITIES\n"), "body", F.lit("0\nENDSEC\n0\nEOF\n")).alias("text")), "hatches")
+    return _boxes(dxf.elements(dxf.entities(dxf.groups(text)), 1))
 
 
-def cuts(spark: SparkSession, n: int) -> DataFrame:
-    g = spark.range(n * n).select((F.col("id") / n).cast("long").alias("r"), (F.col("id") % n).alias("c")).where("(r + c) % 3 = 0")
-    return g.select(F.lit(1).alias("layer"), F.expr(f"c * {SEGMENT} + 205").alias("x1"), F.expr(f"r * {PITCH} + 5").alias("y1"), F.expr(f"c * {SEGMENT} + 425").alias("x2"), F.expr(f"r * {PITCH} + {WIRE - 5}").alias("y2"))
+# per cell: net nK has the shapes of layer K as bent wires, a connection to each and a use by layer; special nets pK have half of them as widths
+_NETS = f"""WITH {SHAPES_SQL} SELECT cell_id, 'n' || layer AS net, 'wire' AS what, x1, y1, x2, y2, count(*) AS n FROM shapes GROUP BY ALL
+UNION ALL SELECT cell_id, 'p' || layer, 'wide', x1, y1, x2, x2 - x1, count(*) FROM shapes WHERE layer % 2 = 1 GROUP BY ALL
+UNION ALL SELECT cell_id, 'n' || layer, 'connection', x1, y1, 0, 0, count(*) FROM shapes WHERE layer % 3 <> 0 GROUP BY ALL
+UNION ALL SELECT cell_id, 'n' || layer, 'pin', min(x1), min(y1), 0, 0, 1 FROM shapes GROUP BY cell_id, layer
+UNION ALL SELECT cell_id, 'v' || layer, 'via', min(x1), min(y1), max(x2), max(y2), 1 FROM shapes GROUP BY cell_id, layer"""
 
 
-def _grid_query(n: int) -> None:
-    # a row's segments are one wire but for the stubs' feet, which lie on it: area by plain sums, bands are the wires and the stubs
-    stubs = f"SELECT r, c FROM range({n}) a(r), range({n}) b(c) WHERE (r + c) % 3 = 0"
+@query(_NETS)
+def def_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nets, special nets, pins and vias of designs: read, turned into elements with properties, upserted back, written and read again. Nets of every third layer have no record but their routes."""
+    s = shapes(spark, sf_dir)
+    t = lambda c: F.col(c).cast("string")
+    say = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))
+    file = t("cell_id").alias("file")
+    place = F.struct("layer", "x1", "y1", "x2", "y2")
+    bent = say("M", t("layer"), " ( ", t("x1"), " ", t("y1"), " ) ( ", t("x2"), " * ) ( * ", t("y2"), " )")
+    routed = lambda w: F.array_join(F.transform(w, lambda x, i: F.concat(F.when(i == 0, " + ROUTED ").otherwise(" + NEW "), x["w"])), "")
+    listed = lambda c: F.sort_array(F.collect_list(F.struct(place.alias("p"), c.alias("w"))))
+    nets = s.groupBy(file, "layer").agg(say("- n", t("layer"), F.when(F.col("layer") % 3 == 0, "").otherwise(F.array_join(F.collect_list(say(" ( c", t("x1"), " a", t("y1"), " )")), "")), F.when(F.col("layer") % 2 == 0, " + USE SIGNAL").otherwise(""), routed(listed(bent)), " ;").alias("line"))
+    wide = s.where("layer % 2 = 1").groupBy(file, "layer").agg(say("- p", t("layer"), " + USE POWER", routed(listed(say("M", t("layer"), " ", F.expr("cast(x2 - x1 as string)"), " ( ", t("x1"), " ", t("y1"), " ) ( ", t("x2"), " * )"))), " ;").alias("line"))
+    pin = s.groupBy(file, "layer").agg(say("- i", t("layer"), " + NET n", t("layer"), " + FIXED ( ", F.min("x1").cast("string"), " ", F.min("y1").cast("string"), " ) FS ;").alias("line"))
+    via = s.groupBy(file, "layer").agg(say("- v", t("layer"), " + RECT M ( ", F.min("x1").cast("string"), " ", F.min("y1").cast("string"), " ) ( ", F.max("x2").cast("string"), " ", F.max("y2").cast("string"), " ) ;").alias("line"))
+    body = None
+    for rank, (name, rows) in enumerate((("VIAS", via), ("PINS", pin), ("SPECIALNETS", wide), ("NETS", nets))):
+        one = rows.groupBy("file").agg(F.struct(F.lit(rank).alias("rank"), say(f"{name} 1 ;\n", F.array_join(F.sort_array(F.collect_list("line")), "\n"), f"\nEND {name}\n").alias("text")).alias("b"))
+        body = one if body is None else body.unionByName(one)
+    text = body.groupBy("file").agg(say("DESIGN chip ;\n", F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["text"]), ""), "END DESIGN\n").alias("text"))
+    read = def_.scan(sequences.statements_of(materialise(text, "def-nets"), ";"))
+    mapping = spark.createDataFrame([(f"M{i}", i) for i in range(1, 8)], "layer_name string, layer int")
+    props = def_back.properties(read)
+    third = F.regexp_extract("value", r"^n(\d+)$", 1).try_cast("int") % 3 == 0
+    lost = props.where(F.col("key").rlike(r"^def\.net\.\d+\.name$") & third).select("file", F.regexp_extract("key", r"^(def\.net\.\d+\.)", 1).alias("lost"))
+    props = props.withColumn("lost", F.regexp_extract("key", r"^(def\.net\.\d+\.)", 1)).join(lost, ["file", "lost"], "left_anti").drop("lost")
+    doc = def_back.document(def_.design(read).select("file", "design", "dbu"), props, def_back.elements(read, mapping))
+    again = def_.scan(sequences.statements_of(materialise(def_back.texts(def_back.lines(doc)), "def-nets-again"), ";"))
+    zero, one = F.lit(0).cast("long"), F.lit(1)
+    at = lambda i, c: F.get("points", F.lit(i))[c].cast("long")
+    rows = [
+        def_.wires(again).select("file", "net", F.lit("wire").alias("what"), at(0, "x"), at(0, "y"), at(2, "x"), at(2, "y")),
+        def_.wires(again, "SPECIALNETS").select("file", "net", F.lit("wide").alias("what"), at(0, "x"), at(0, "y"), at(1, "x"), F.col("width").cast("long")),
+        def_.connections(again).select("file", "net", F.lit("connection").alias("what"), F.substring("component", 2, 9).cast("long"), F.substring("pin", 2, 9).cast("long"), zero, zero),
+        def_.pins(again).select("file", "net", F.lit("pin").alias("what"), F.col("x").cast("long"), F.col("y").cast("long"), zero, zero),
+        def_.vias(again).select("file", F.col("via").alias("net"), F.lit("via").alias("what"), *(F.get("rects", F.lit(0))[c].cast("long") for c in ("x1", "y1", "x2", "y2"))),
+    ]
+    found = None
+    for r in rows:
+        r = r.toDF("file", "net", "what", "x1", "y1", "x2", "y2")
+        found = r if found is None else found.unionByName(r)
+    return found.groupBy(F.col("file").cast("long").alias("cell_id"), "net", "what", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"))
 
-    @query(f"SELECT ({n} + (SELECT count(*) FROM ({stubs})))::BIGINT AS bands, ({n * n * SEGMENT * WIRE}::BIGINT + (SELECT sum({WIRE} * (150 + (r * 31 + c * 17) % 50)) FROM ({stubs})))::BIGINT AS area")
-    def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return bands.union_bands(wires(spark, n), ["layer"], GRID_TILE, wide=False).agg(F.count("*").alias("bands"), boolean.area())
 
-    @query("SELECT 0::BIGINT AS self_space, 0::BIGINT AS width, 0::BIGINT AS enclosure")
-    def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """The grid has no violation by construction."""
-        w = wires(spark, n)
-        found = {"self_space": drc.self_space(w, ["layer"], WIRE, GRID_TILE, wide=False), "width": drc.width(w, ["layer"], WIRE, GRID_TILE, wide=False), "enclosure": drc.enclosure(w, cuts(spark, n), ["layer"], 5, GRID_TILE)}
-        out = None
-        for name, df in found.items():
-            one = df.agg(F.count("*").alias(name))
-            out = one if out is None else out.crossJoin(one)  # single rows
-        return out
+# ---- wire grids ------------------------------------------------------------------------------------------------
 
-    for f, name in ((merged, f"wire_grid_{n}_union"), (clean, f"wire_grid_{n}_rules")):
-        _renamed(f, name)
 
+def _grid_query(n: int) -> None:
+    def union(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return grids.merged(grids.of_orders(spark, sf_dir, n))
 
-def _renamed(f, name: str) -> None:  # noqa: ANN001
-    from tessella.plans import queries
+    def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return grids.violations(grids.of_orders(spark, sf_dir, n))
 
-    queries.QUERIES[name], queries.ORACLES[name] = queries.QUERIES.pop(f.__name__), queries.ORACLES.pop(f.__name__)
+    for f, name, sql in ((union, f"wire_grid_{n}_union", grids.merged_sql(n)), (checked, f"wire_grid_{n}_rules", grids.violations_sql(n))):
+        f.__name__ = name
+        query(sql)(f)
 
 
 for _n in (60, 140):

@@ -178,14 +178,13 @@ def edge_distance_sql(metric: str, pairs: str, carried: str) -> str:
         spots = {s: [(f"{p}_x", f"{p}_y") for p in ends] + [tuple(f"trunc(({ends[0]}_{c} + {ends[1]}_{c}) / 2)::BIGINT" for c in "xy")] for s, ends in (("e", "ab"), ("f", "cd"))}
         apart = ", ".join(f"greatest(abs({px} - {qx}), abs({py} - {qy}))" for px, py in spots["e"] for qx, qy in spots["f"])
         return f"far AS (SELECT {carried}, {_OUT}, least({apart}) AS d FROM {pairs})"
-    rows = " UNION ALL ".join(f"SELECT no, {p}_x - {s}_x AS wx, {p}_y - {s}_y AS wy, {t}_x - {s}_x AS ux, {t}_y - {s}_y AS uy FROM {pairs}" for p, s, t in legs)
     if metric == "projection":
-        leg = "CASE WHEN ux = 0 AND uy = 0 THEN abs(wy)::DOUBLE ELSE abs(ux * wy - uy * wx) / sqrt((ux * ux + uy * uy)::DOUBLE) END"
-        crossing = "false"
-    else:
-        leg = "CASE WHEN ux * wx + uy * wy <= 0 THEN sqrt((wx * wx + wy * wy)::DOUBLE) WHEN ux * wx + uy * wy >= ux * ux + uy * uy THEN sqrt(((wx - ux) * (wx - ux) + (wy - uy) * (wy - uy))::DOUBLE) ELSE abs(ux * wy - uy * wx) / sqrt((ux * ux + uy * uy)::DOUBLE) END"
-        side = lambda s, t, p: f"sign(({t}_x - {s}_x) * ({p}_y - {s}_y) - ({t}_y - {s}_y) * ({p}_x - {s}_x))"
-        crossing = f"(b_x - a_x) * (d_y - c_y) <> (b_y - a_y) * (d_x - c_x) AND {side('a', 'b', 'c')} * {side('a', 'b', 'd')} <= 0 AND {side('c', 'd', 'a')} * {side('c', 'd', 'b')} <= 0"
+        leg = lambda p, q, r: f"CASE WHEN {r}_x = {q}_x AND {r}_y = {q}_y THEN abs({p}_y - {q}_y)::DOUBLE ELSE abs(({r}_x - {q}_x) * ({p}_y - {q}_y) - ({r}_y - {q}_y) * ({p}_x - {q}_x)) / sqrt((({r}_x - {q}_x) ** 2 + ({r}_y - {q}_y) ** 2)::DOUBLE) END"
+        return f"far AS (SELECT {carried}, {_OUT}, least({', '.join(leg(*x) for x in legs)}) AS d FROM {pairs})"
+    rows = " UNION ALL ".join(f"SELECT no, {p}_x - {s}_x AS wx, {p}_y - {s}_y AS wy, {t}_x - {s}_x AS ux, {t}_y - {s}_y AS uy FROM {pairs}" for p, s, t in legs)
+    leg = "CASE WHEN ux * wx + uy * wy <= 0 THEN sqrt((wx * wx + wy * wy)::DOUBLE) WHEN ux * wx + uy * wy >= ux * ux + uy * uy THEN sqrt(((wx - ux) * (wx - ux) + (wy - uy) * (wy - uy))::DOUBLE) ELSE abs(ux * wy - uy * wx) / sqrt((ux * ux + uy * uy)::DOUBLE) END"
+    side = lambda s, t, p: f"sign(({t}_x - {s}_x) * ({p}_y - {s}_y) - ({t}_y - {s}_y) * ({p}_x - {s}_x))"
+    crossing = f"(b_x - a_x) * (d_y - c_y) <> (b_y - a_y) * (d_x - c_x) AND {side('a', 'b', 'c')} * {side('a', 'b', 'd')} <= 0 AND {side('c', 'd', 'a')} * {side('c', 'd', 'b')} <= 0"
     return f"legs AS ({rows}), least_d AS (SELECT no, min({leg}) AS d FROM legs GROUP BY no), far AS (SELECT {carried}, {_OUT}, CASE WHEN {crossing} THEN 0 ELSE d END AS d FROM {pairs} JOIN least_d USING (no))"
 
 
@@ -194,7 +193,7 @@ def _edge_query(name: str, check: Callable, kind: str, metric: str, least_edges:
         return check(polygons(shapes(spark, sf_dir), kind), KEYS, NOTCH, metric)
 
     run.__name__ = f"{name}_{metric}"
-    number = "0" if metric == "square" else "row_number() OVER ()"
+    number = "row_number() OVER ()" if metric == "euclidean" else "0"
     pairs = f"pairs AS (SELECT {number} AS no, e.cell_id, e.layer, {_BOTH} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer = f.layer AND e.id = f.id AND f.edge - e.edge BETWEEN 2 AND e.n - 1 - CASE WHEN e.edge = 0 THEN 1 ELSE 0 END WHERE e.n >= {least_edges}), kept AS (SELECT * FROM pairs WHERE {cond})"
     query(f"WITH {SHAPES_SQL}, {ring_sql(kind)}, {pairs}, {edge_distance_sql(metric, 'kept', K)} SELECT {K}, {PAIR} FROM far WHERE d > 0 AND d < {NOTCH}")(run)
 
@@ -212,7 +211,7 @@ def _separation_query(metric: str, kind: str) -> None:
 
     run.__name__ = f"separation_{metric}"
     close = " AND ".join(f"least({s}.{c}1, {s}.{c}2) < greatest({t}.{c}1, {t}.{c}2) + {EDGE_SPACE}" for c in "xy" for s, t in (("e", "f"), ("f", "e")))
-    number = "0" if metric == "square" else "row_number() OVER ()"
+    number = "row_number() OVER ()" if metric == "euclidean" else "0"
     pairs = f"pairs AS (SELECT {number} AS no, e.cell_id, e.layer, {_BOTH} FROM ring e JOIN ring f ON e.cell_id = f.cell_id AND e.layer + 1 = f.layer WHERE e.layer <= 6 AND {close})"
     query(f"WITH {SHAPES_SQL}, {ring_sql(kind)}, {pairs}, {edge_distance_sql(metric, 'pairs', K)} SELECT {K}, {PAIR} FROM far WHERE d > 0 AND d < {EDGE_SPACE}")(run)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.codes import orientation_of, transform_of
 from tessella.functions.curves import point
+from tessella.functions.points import bounding_box, is_rectangle
 from tessella.operators.sequences import must, running
 from tessella.plans.session import materialise
 from tessella.sources.lef import PLACE, pieces, rest, word
@@ -63,6 +64,12 @@ def die_ring(die: Column) -> Column:
     return F.when(F.size(die) == 2, box).when(a != F.element_at(die, -1), F.concat(die, F.slice(die, 1, 1))).otherwise(die)
 
 
+def die_area(ring: Column) -> Column:
+    """The way back: two corners of a ring that is a box, else its points without the closing one."""
+    b = bounding_box(ring)
+    return F.when(is_rectangle(ring), F.array(point(b["x1"], b["y1"]), point(b["x2"], b["y2"]))).otherwise(F.slice(ring, F.lit(1), F.size(ring) - 1))
+
+
 def _named(scanned: DataFrame, section: str) -> DataFrame:
     return scanned.where(F.col("section") == section).where("words[0] = '-'")
 
@@ -117,6 +124,32 @@ def wires(scanned: DataFrame, section: str = "NETS") -> DataFrame:
     return bare.select("file", "block", "seq", "net", "wire", "status", "layer_name", "width", must(known, F.concat(F.lit("DEF: a route starts with a star: "), F.col("net")), points).alias("points"), "via")
 
 
+def route_points(scanned: DataFrame, section: str = "SPECIALNETS") -> DataFrame:
+    """file, seq, net, wire, shape and the points of its clause as written: x, y (null for a star), ext, via (of a point that is only one)."""
+    cut = _named(scanned, section).select("file", "block", "seq", word(1).alias("net"), F.posexplode("clauses").alias("wire", "c")).where(F.col("wire") > 0).where(F.get("c", F.lit(0)).isin(*WIRED))
+    lead = F.lit(4 if section == "SPECIALNETS" else 3)
+    tokens = F.regexp_extract_all(F.array_join(F.slice("c", lead, F.greatest(F.size("c") - lead + 1, F.lit(0))), " "), F.lit(r"(\( [^)]* \)|[^\s()]+)"), F.lit(1))
+
+    def spot(t: Column) -> Column:
+        w = F.split(F.trim(F.translate(t, "()", "  ")), " ")
+        whole = lambda i: F.when(F.get(w, F.lit(i)) != "*", F.get(w, F.lit(i)).cast("int"))
+        inside = t.startswith("(")
+        return F.struct(F.when(inside, whole(0)).alias("x"), F.when(inside, whole(1)).alias("y"), F.when(inside, whole(2)).alias("ext"), F.when(~inside, t).alias("via"))
+
+    return cut.select("file", "seq", "net", "wire", F.transform(tokens, spot).alias("spots"))
+
+
+def vias(scanned: DataFrame) -> DataFrame:
+    """file, block, seq, via, rects (layer, x1, y1, x2, y2)."""
+    rects = F.filter(F.slice("clauses", F.lit(2), F.greatest(F.size("clauses") - 1, F.lit(0))), lambda c: F.get(c, F.lit(0)) == "RECT")
+
+    def rect(c: Column) -> Column:
+        p = _spots(c)
+        return F.struct(_at(c, 1).alias("layer"), *(F.get(p, F.lit(i))[k].alias(f"{k}{i + 1}") for i in (0, 1) for k in "xy"))
+
+    return _named(scanned, "VIAS").select("file", "block", "seq", word(1).alias("via"), F.transform(rects, rect).alias("rects"))
+
+
 def numbered_layers(wire: DataFrame, mapping: DataFrame) -> DataFrame:
     """Wires with the number that mapping (layer_name, layer) gives their layer, whatever the case of its letters. A missing layer, a number below 1 and one that two names share raise."""
     used = F.lower("layer_name")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import codes
 from tessella.operators import sequences
-from tessella.sources import def_, lef
+from tessella.sources import def_, def_back, lef
 
 LEF = """VERSION 5.8 ; # a comment ; here
 UNITS
@@ -186,3 +186,53 @@ def test_long_lists_are_not_cut(spark):
     points = " ".join(f"{i % 1000}.5 {i}.5" for i in range(600_000))
     body = f"LAYER M1 TYPE ROUTING ; END M1 MACRO m OBS LAYER M1 ; POLYGON {points} ; END END m"
     assert len(lef.elements(scanned(spark, lef, body)).first().points) == 600_001
+
+
+WIRED = """VERSION 5.8 ;
+DESIGN chip ;
+UNITS DISTANCE MICRONS 1000 ;
+DIEAREA ( 0 0 ) ( 1000 2000 ) ;
+VIAS 1 ;
+- V1 + RECT M1 ( -5 -6 ) ( 7 8 ) + RECT M2 ( -1 -1 ) ( 1 1 ) ;
+END VIAS
+COMPONENTS 1 ;
+- u1 INV + PLACED ( 10 20 ) FS ;
+END COMPONENTS
+PINS 2 ;
+- in + NET a|b/c + FIXED ( 7 8 ) E ;
+- out + PLACED ( 1 2 ) N ;
+END PINS
+SPECIALNETS 1 ;
+- VDD ( * VDD ) + USE POWER + WEIGHT 3 + ROUTED M2 300 ( 0 0 15 ) ( * 500 ) V1 + NEW M1 20 ( 5 5 ) ( 9 * ) ;
+END SPECIALNETS
+NETS 2 ;
+- a|b/c ( u1 A ) ( PIN in ) + USE CLOCK + ROUTED M1 ( 0 0 ) ( 10 * ) V1 + NEW M2 ( 1 2 ) ( 3 * ) ;
+- quiet ( u1 Z ) ;
+END NETS
+END DESIGN
+"""
+
+
+def test_design_to_properties_and_back(spark):
+    chip = scanned(spark, def_, WIRED)
+    mapping = spark.createDataFrame([("m1", 1), ("m2", 2)], "layer_name string, layer int")
+    props, element = def_back.properties(chip), def_back.elements(chip, mapping)
+    known = {r.key: r.value for r in props.collect()}
+    assert known["def.net.count"] == "2" and known["def.net.0.name"] == "a|b/c" and known["def.specialNet.0.weight"] == "3" and known["def.pin.1.placementStatus"] == "PLACED" and "def.net.1.use" not in known
+    tops = def_.design(chip).select("file", "design", "dbu")
+    again = scanned(spark, def_, def_back.texts(def_back.lines(def_back.document(tops, props, element))).first().text)
+    view = lambda df, *c: sorted(map(str, (tuple(r) for r in df.select(*c).collect())))
+    for table, columns in ((lambda d: def_.wires(d), ("net", "wire", "status", "layer_name", "points", "via")), (lambda d: def_.route_points(d), ("net", "wire", "spots")), (lambda d: def_.wires(d, "SPECIALNETS"), ("net", "layer_name", "width", "points")), (lambda d: def_.connections(d), ("net", "nth", "component", "pin")), (lambda d: def_.connections(d, "SPECIALNETS"), ("net", "component", "pin")), (def_.pins, ("pin", "net", "status", "x", "y", "orientation")), (def_.components, ("component", "macro", "x", "y", "orientation")), (def_.vias, ("via", "rects")), (def_.design, ("design", "dbu", "die")), (lambda d: def_back._nets(d, "SPECIALNETS"), ("name", "use", "weight", "connections"))):
+        assert view(table(chip), *columns) == view(table(again), *columns)
+
+
+def test_nets_are_upserted_in_order(spark):
+    """First values count, records over the count and without a name are left out, routes go to the first net of their name, new names come last by their first route."""
+    rows = [("f", 1, "def.net.count", "3"), ("f", 2, "def.net.0.name", "b"), ("f", 3, "def.net.0.name", "ignored"), ("f", 4, "def.net.2.name", "b"), ("f", 5, "def.net.1.use", "CLOCK"), ("f", 6, "def.net.3.name", "over"), ("f", 7, "def.net.count", "9")]
+    props = spark.createDataFrame(rows, "file string, seq long, key string, value string")
+    kinds = "file string, elem_order struct<rank:int,seq:struct<block:bigint,seq:bigint,part:int>,wire:int>, kind string, layer int, width int, points array<struct<x:int,y:int>>, properties map<string,string>"
+    route = lambda i, net, **more: ("f", (2, (0, i, 0), 1), "path", 4, 1, [(i, 0), (i, 9)], {"def.route.kind": "net", "def.route.netName": net, **{f"def.route.{k}": v for k, v in more.items()}})
+    element = spark.createDataFrame([route(1, "z"), route(2, "b", status="FIXED", layerName="M"), route(3, "c"), route(4, "z", viaName="V"), ("f", (2, (0, 5, 0), 1), "path", 1, 1, [(0, 0)], None)], kinds)
+    net, wire = def_back.nets(props, def_back.routes(element), "net")
+    assert [(r.name, r.use) for r in net.orderBy("place").collect()] == [("b", None), ("b", None), ("z", None), ("c", None)]
+    assert [(r.net, r.status, r.layer_name, r.via, r.place.nth, r.place.late) for r in wire.orderBy("elem_order").collect()] == [("z", "ROUTED", "4", None, 0, 1), ("b", "FIXED", "M", None, 0, 0), ("c", "ROUTED", "4", None, 0, 1), ("z", "ROUTED", "4", "V", 0, 1)]

@@ -141,8 +141,8 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def _settle() -> None:
-    """Give memory that a task no longer needs back to the system, as workers stay for the tasks that follow."""
+def settle() -> None:
+    """Give memory that a task, or a stage on the driver, no longer needs back to the system, as the process stays for those that follow."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL(None).malloc_trim(0)
@@ -159,7 +159,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
-    _settle()
+    settle()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -12,6 +12,7 @@ called one by one in a session are one run: the result of each must be written b
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, jaccard, language, packing, superkmers
-from tessella.llm.common import release, scratch, shared_dir, table
+from tessella.llm.common import release, scratch, settle, shared_dir, table
 from tessella.llm.queries import tokenizer
 
 
@@ -38,6 +39,8 @@ class Run:
     @contextmanager
     def stage(self, last: bool = False) -> Iterator[None]:
         release(self.spark, self.folders)
+        gc.collect()
+        settle()
         self.batch = self.batch or self.spark.conf.get(BATCH)
         self.spark.conf.set(BATCH, BATCH_ROWS)
         try:

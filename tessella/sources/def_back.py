@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import codes
 from tessella.operators.sequences import running
+from tessella.plans.session import materialise
 from tessella.sources import def_
 from tessella.sources.def_ import PLACE, _at, _clause, _named
 
@@ -113,19 +114,20 @@ def nets(props: DataFrame, route: DataFrame, kind: str) -> tuple[DataFrame, Data
     prefix = NET if kind == "net" else SPECIAL
     own = route.where(F.col("kind") == kind)
     least = F.struct(F.lit(None).cast("int").alias("rank"), F.lit(None).cast(PLACE).alias("seq"), F.lit(None).cast("int").alias("wire"))
-    known = records(props, prefix).withColumn("place", F.struct(F.lit(0).alias("late"), F.col("nth"), least.alias("first")))
+    known = materialise(records(props, prefix), "def-records").withColumn("place", F.struct(F.lit(0).alias("late"), F.col("nth"), least.alias("first")))
     named = own.groupBy("file", F.col("net").alias("name")).agg(F.min("elem_order").alias("first"))
     fresh = named.join(known.select("file", "name").distinct(), ["file", "name"], "left_anti")
     late = F.struct(F.lit(1).alias("late"), F.lit(0).cast("bigint").alias("nth"), F.col("first"))
-    every = known.drop("nth").unionByName(fresh.select("file", "name", late.alias("place")), allowMissingColumns=True)
+    every = materialise(known.drop("nth").unionByName(fresh.select("file", "name", late.alias("place")), allowMissingColumns=True), "def-nets")
     heads = every.groupBy("file", "name").agg(F.min("place").alias("place"))
     return every, own.join(heads.withColumnRenamed("name", "net"), ["file", "net"])
 
 
 def document(scanned_tops: DataFrame, props: DataFrame, element: DataFrame) -> dict[str, DataFrame]:
     """All tables of the designs (file, design, dbu): die, components, pins, vias, nets with routes. Texts are pins where no pin records are given."""
+    props, element = materialise(props, "def-properties"), materialise(element, "def-elements")
     base = def_.document(element)
-    route = routes(element)
+    route = materialise(routes(element), "def-routes")
     counted = props.where(F.col("key") == f"{PIN}.count").select("file").distinct()
     of_text = base["pins"].join(counted, "file", "left_anti").select("file", F.struct(F.lit(1).alias("late"), F.lit(0).cast("bigint").alias("nth"), F.col("elem_order").alias("first")).alias("place"), "pin", "net", "x", "y", F.lit("N").alias("orientation"), F.lit("PLACED").alias("status"))
     none = F.lit(None).cast(of_text.schema["place"].dataType["first"].dataType)
@@ -153,7 +155,7 @@ def lines(doc: dict[str, DataFrame]) -> DataFrame:
     out = [head.select("file", F.struct(F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("nth")).alias("place"), "line")]
 
     def section(rank: int, name: str, rows: DataFrame, order: str, line: Column) -> None:
-        keyed = rows.select("file", F.col(order).alias("order"), F.concat(F.lit("- "), line, F.lit(" ;")).alias("line"))
+        keyed = materialise(rows.select("file", F.col(order).alias("order"), F.concat(F.lit("- "), line, F.lit(" ;")).alias("line")), "def-lines")
         numbered = running(keyed.select("file", F.lit(0).cast("bigint").alias("block"), F.col("order").alias("seq"), "line"), {"nth": F.lit(1)})
         out.append(numbered.select("file", F.struct(F.lit(rank).alias("rank"), "nth").alias("place"), "line"))
         ends = keyed.groupBy("file").agg(F.count("*").alias("n"))

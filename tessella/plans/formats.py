@@ -14,7 +14,7 @@ from tessella.plans import grids
 from tessella.plans.queries import BOX_AREA, GROW, WIDTH, K, bands_sql, edge_distance_sql, query, ring_sql, sweep_sql
 from tessella.plans.session import materialise
 from tessella.plans.shapes import KEYS, SHAPES_SQL, numbered, polygons, shapes
-from tessella.sources import cif, def_, def_back, dxf, dxf_check, lef, sniff
+from tessella.sources import cif, def_, def_back, dxf, dxf_check, lef, sniff, technology
 
 SCALE = 1024.0  # units a micron: a power of two, so that no truncation differs
 
@@ -252,6 +252,48 @@ def def_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("file").cast("long").alias("cell_id"), "net", "what", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"))
 
 
+# ---- technology ------------------------------------------------------------------------------------------------
+
+_LAYERS = f"l AS (SELECT cell_id, layer, min(x2 - x1) AS w, max(x2 - x1) AS p, count(*) AS n FROM shapes GROUP BY cell_id, layer)"
+
+
+def _technology(s: DataFrame) -> DataFrame:
+    """LEF of each cell: for every layer its sizes and a ragged spacing table, a via between neighbours, one site."""
+    t = lambda e: F.expr(f"cast({e} as string)")
+    say = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))
+    of_layer = s.groupBy("cell_id", "layer").agg(F.expr("min(x2 - x1)").alias("w"), F.expr("max(x2 - x1)").alias("p"), F.count("*").alias("n"))
+    table = say("  SPACINGTABLE PARALLELRUNLENGTH 0 15 ", t("30 + layer"), " WIDTH 0 ", t("layer"), " WIDTH ", t("12 + layer"), " ", t("layer + 1"), " ", t("layer + 2"), " WIDTH 30 ", t("layer + 3"), " ", t("layer + 4"), " ", t("layer + 5"), " ;\n")
+    layer = say("LAYER M", t("layer"), "\n  TYPE ROUTING ;\n  PITCH ", t("p"), " ;\n  MINWIDTH ", t("w"), " ;\n  AREA ", t("n"), " ;\n", table, "END M", t("layer"), "\n")
+    via = say("VIA v", t("layer"), " DEFAULT\n  LAYER M", t("layer"), " ;\n    RECT 0 0 ", t("w"), " ", t("p"), " ;\nEND v", t("layer"), "\n")
+    parts = of_layer.groupBy(F.col("cell_id").cast("string").alias("file")).agg(F.sort_array(F.collect_list(F.struct("layer", layer.alias("a"), via.alias("b")))).alias("x"))
+    whole = say("VERSION 5.8 ;\n", F.array_join(F.transform("x", lambda q: q["a"]), ""), F.array_join(F.transform("x", lambda q: q["b"]), ""), "SITE core\n  CLASS CORE ;\n  SIZE 1 BY 2 ;\nEND core\nEND LIBRARY\n")
+    return lef.scan(sequences.statements_of(materialise(parts.select("file", whole.alias("text")), "technology"), ";"))
+
+
+@query(f"WITH {SHAPES_SQL}, {_LAYERS} SELECT cell_id, 'M' || layer AS name, p::DOUBLE AS pitch, w::DOUBLE AS min_width, n::DOUBLE AS min_area, 3::BIGINT AS widths, w::DOUBLE AS via_x, p::DOUBLE AS via_y FROM l")
+def technology_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LEF to JSON documents, decoded strictly, written as LEF, and read once more."""
+    text = materialise(technology.documents(technology.libraries(_technology(shapes(spark, sf_dir)))), "technology-documents")
+    again = lef.scan(sequences.statements_of(materialise(technology.lef_texts(technology.decoded(text)), "technology-lef"), ";"))
+    library = materialise(technology.libraries(again), "technology-again")
+    one = library.select("file", F.posexplode("layers").alias("i", "l"), "designRules", "vias")
+    rule = F.get(F.filter("designRules", lambda r: r["layerName"] == F.col("l.name")), F.lit(0))
+    rect = F.get(F.get(F.filter("vias", lambda v: F.get(v["layers"], F.lit(0))["layerName"] == F.col("l.name")), F.lit(0))["layers"][0]["rects"], F.lit(0))
+    return one.select(F.col("file").cast("long").alias("cell_id"), F.col("l.name").alias("name"), F.col("l.pitch").alias("pitch"), rule["minWidth"].alias("min_width"), rule["minArea"].alias("min_area"), F.size("l.spacingTable.entries").cast("long").alias("widths"), rect["x2"].alias("via_x"), rect["y2"].alias("via_y"))
+
+
+_ROW = "CASE WHEN wide >= 30 THEN layer + 3 + CASE WHEN long >= 30 + layer THEN 2 WHEN long >= 15 THEN 1 ELSE 0 END WHEN wide >= 12 + layer THEN layer + 1 + CASE WHEN long >= 15 THEN 1 ELSE 0 END ELSE layer END"
+
+
+@query(f"WITH {SHAPES_SQL}, p AS (SELECT {K}, least(x2 - x1, y2 - y1) AS wide, greatest(x2 - x1, y2 - y1) AS long FROM shapes) SELECT {K}, ({_ROW})::DOUBLE AS spacing, count(*) AS shapes FROM p GROUP BY ALL")
+def spacing_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spacing that each shape's width and length ask for in the table of its layer."""
+    s = shapes(spark, sf_dir)
+    probes = s.select(F.col("cell_id").cast("string").alias("file"), F.concat(F.lit("M"), F.col("layer").cast("string")).alias("layer_name"), F.expr("cast(least(x2 - x1, y2 - y1) as double)").alias("width"), F.expr("cast(greatest(x2 - x1, y2 - y1) as double)").alias("length"), "layer")
+    found = technology.spacing_of(probes, technology.spacing_tables(_technology(s)))
+    return found.groupBy(F.col("file").cast("long").alias("cell_id"), "layer", F.col("table_spacing").alias("spacing")).agg(F.count("*").alias("shapes"))
+
+
 # ---- wire grids ------------------------------------------------------------------------------------------------
 
 

@@ -54,8 +54,8 @@ def scan(statements: DataFrame) -> DataFrame:
 
 
 def _first(key: str, i: int = 1) -> Column:
-    """Word i of a section's first statement that starts with key."""
-    hit = word(0) == key
+    """Word i of a section's first statement that starts with key. WIDTH with more than one number is a row of a spacing table."""
+    hit = (word(0) == key) & ((F.size("words") == 2) if key == "WIDTH" else F.lit(True))
     return F.min_by(F.when(hit, word(i)), F.when(hit, F.col("seq")))
 
 

@@ -48,6 +48,35 @@ def bucket_size(limit: float) -> int:
     return max(8 * int(limit), 256)
 
 
+FACTOR, DEEPEST = 4, 12  # a level's buckets are FACTOR times as wide as those of the level below
+
+
+def leveled(rects: DataFrame, size: int, margin: int = 0) -> DataFrame:
+    """With own, the least level whose buckets (size * FACTOR ** own wide) are as wide as the rectangle with its margins: it meets two of them an axis at most."""
+    long = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * margin
+    own = F.lit(DEEPEST)
+    for level in range(DEEPEST - 1, -1, -1):
+        own = F.when(long <= size * FACTOR**level, F.lit(level)).otherwise(own)
+    return rects.withColumn("own", own)
+
+
+def levels_of(*rects: DataFrame) -> DataFrame:
+    """The levels that any of the leveled rectangles has: a row each, so a dozen at most."""
+    out = None
+    for r in rects:
+        one = r.select(F.col("own").alias("level"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def placed(rects: DataFrame, size: int, margin: int) -> DataFrame:
+    """A row for each bucket of the column level that a rectangle, widened by margin, meets, with the buckets' width."""
+    wide = rects.withColumn("wide", F.lit(size).cast("bigint") * F.pow(F.lit(FACTOR), F.col("level")).cast("bigint"))
+    for b, lo, hi in (("bx", "x1", "x2"), ("by", "y1", "y2")):
+        wide = wide.withColumn(b, F.explode(F.expr(f"sequence(cast(floor(({lo} - {margin}) / wide) as bigint), cast(floor(({hi} + {margin}) / wide) as bigint))")))
+    return wide
+
+
 def width(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE, wide: bool = True) -> DataFrame:
     """Bands of the union thinner than limit, along x and along y."""
     found = [union_bands(r, keys, tile, wide).where(f"x2 - x1 < {limit}").select(*upright(keys, "x1", "x2", "y1", "y2")) for r in (rects, transpose(rects))]
@@ -57,16 +86,19 @@ def width(rects: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE, w
 def _gaps(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, once: bool = False) -> DataFrame:
     """Gaps of 0 < d < limit between bands of a and b (each pair in one direction with `once`): keys, PAIR, and the box x1..y2 between.
 
-    Bands that overlap along one axis face each other along the other; those apart on both leave a diagonal gap from corner to corner. A pair counts in the
-    bucket of its greatest lower corner.
+    Bands that overlap along one axis face each other along the other; those apart on both leave a diagonal gap from corner to corner. Each band is on the
+    level of its size and probes the levels above that there are, so that a pair meets on the level of its larger band, and counts in the bucket of its
+    greatest lower corner.
     """
     size = bucket_size(limit)
-    x, y = bucketed(a, size, limit).alias("x"), bucketed(b, size, limit).alias("y")
+    left, right = leveled(a, size, limit), leveled(b, size, limit)
+    levels = F.broadcast(levels_of(left, right))
+    x, y = (placed(r.join(levels, F.col("level") >= F.col("own")), size, limit).alias(n) for r, n in ((left, "x"), (right, "y")))
     gap = {c: f"greatest(y.{c}1 - x.{c}2, x.{c}1 - y.{c}2)" for c in "xy"}
     near = f"{gap['x']} < {limit} and {gap['y']} < {limit} and greatest({gap['x']}, {gap['y']}) > 0 and {gap['x']} <> 0 and {gap['y']} <> 0"
-    mine = f"x.bx = floor((greatest(x.x1, y.x1) - {limit}) / {size}) and x.by = floor((greatest(x.y1, y.y1) - {limit}) / {size})"
+    mine = f"x.bx = floor((greatest(x.x1, y.x1) - {limit}) / x.wide) and x.by = floor((greatest(x.y1, y.y1) - {limit}) / x.wide) and x.level = greatest(x.own, y.own)"
     first = "struct(x.x1, x.y1, x.x2, x.y2) < struct(y.x1, y.y1, y.x2, y.y2)" if once else "true"
-    met = x.join(y, same([*keys, "bx", "by"], "x", "y") & F.expr(f"{near} and {mine} and {first}"))
+    met = x.join(y, same([*keys, "level", "bx", "by"], "x", "y") & F.expr(f"{near} and {mine} and {first}"))
     ends = {f"{c}{s}": f"if(y.{c}1 > x.{c}2, {one}, {two})" for c in "xy" for s, one, two in (("a", f"x.{c}2", f"x.{c}1"), ("b", f"y.{c}1", f"y.{c}2"))}
     spans = {f"{c}lo": f"greatest(x.{c}1, y.{c}1)" for c in "xy"} | {f"{c}hi": f"least(x.{c}2, y.{c}2)" for c in "xy"}
     seen = met.select(*(F.col(f"x.{k}").alias(k) for k in keys), *(F.expr(v).alias(f"_{k}") for k, v in (ends | spans | {"gx": gap["x"], "gy": gap["y"]}).items()))
@@ -79,21 +111,22 @@ def _gaps(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, once: boo
 
 
 def _open_gaps(gaps: DataFrame, cover: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Gaps (keys, PAIR, gap box x1..y2) that the disjoint bands of cover don't fill."""
+    """Gaps (keys, PAIR, gap box x1..y2) that the disjoint bands of cover don't fill. A band stands on the level of its size alone; a gap is cut by the buckets of every level, and what bands fill is summed over all."""
     size = bucket_size(limit)
-    c = bucketed(cover, size)
+    bands = leveled(cover, size)
+    c = placed(bands.withColumn("level", F.col("own")), size, 0)
     clip = "(least(g.x2, c.x2) - greatest(g.x1, c.x1)) * (least(g.y2, c.y2) - greatest(g.y1, c.y1))"
     met = F.expr("g.x1 < c.x2 and c.x1 < g.x2 and g.y1 < c.y2 and c.y1 < g.y2")
     # each box is cut at bucket borders, so that a piece meets only the bands of its bucket
-    cut = gaps.distinct()
+    boxes = gaps.distinct().withColumn("area", F.expr("(x2 - x1) * (y2 - y1)"))
+    cut = boxes.join(F.broadcast(levels_of(bands)), F.lit(True)).withColumn("wide", F.lit(size).cast("bigint") * F.pow(F.lit(FACTOR), F.col("level")).cast("bigint"))
     for b, lo, hi in (("bx", "x1", "x2"), ("by", "y1", "y2")):
-        cut = cut.withColumn(b, F.explode(F.expr(f"sequence(cast(floor({lo} / {size}) as bigint), cast(floor(({hi} - 1) / {size}) as bigint))")))
-    cut = cut.withColumns({"px1": F.greatest("x1", F.col("bx") * size), "px2": F.least("x2", (F.col("bx") + 1) * size), "py1": F.greatest("y1", F.col("by") * size), "py2": F.least("y2", (F.col("by") + 1) * size)})
-    cut = cut.select(*keys, *PAIR, "bx", "by", F.col("px1").alias("x1"), F.col("py1").alias("y1"), F.col("px2").alias("x2"), F.col("py2").alias("y2"))
-    filled = cut.alias("g").join(c.alias("c"), same([*keys, "bx", "by"], "g", "c") & met, "left")
-    summed = filled.select(*(F.col(f"g.{k}").alias(k) for k in [*keys, *PAIR, "bx", "by"]), F.expr("(g.x2 - g.x1) * (g.y2 - g.y1)").alias("box"), F.expr(f"case when c.x1 is null then 0 else {clip} end").alias("part"))
-    pieces = summed.groupBy(*keys, *PAIR, "bx", "by").agg(F.max("box").alias("box"), F.sum("part").alias("part"))
-    return pieces.groupBy(*keys, *PAIR).agg(F.sum("box").alias("box"), F.sum("part").alias("part")).where("part < box").select(*keys, *PAIR)
+        cut = cut.withColumn(b, F.explode(F.expr(f"sequence(cast(floor({lo} / wide) as bigint), cast(floor(({hi} - 1) / wide) as bigint))")))
+    cut = cut.withColumns({"px1": F.greatest("x1", F.col("bx") * F.col("wide")), "px2": F.least("x2", (F.col("bx") + 1) * F.col("wide")), "py1": F.greatest("y1", F.col("by") * F.col("wide")), "py2": F.least("y2", (F.col("by") + 1) * F.col("wide"))})
+    cut = cut.select(*keys, *PAIR, "area", "level", "bx", "by", F.col("px1").alias("x1"), F.col("py1").alias("y1"), F.col("px2").alias("x2"), F.col("py2").alias("y2"))
+    filled = cut.alias("g").join(c.alias("c"), same([*keys, "level", "bx", "by"], "g", "c") & met, "left")
+    summed = filled.select(*(F.col(f"g.{k}").alias(k) for k in [*keys, *PAIR, "area"]), F.expr(f"case when c.x1 is null then 0 else {clip} end").alias("part"))
+    return summed.groupBy(*keys, *PAIR).agg(F.max("area").alias("area"), F.sum("part").alias("part")).where("part < area").select(*keys, *PAIR)
 
 
 def space(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int, tile: int = TILE, wide: bool = True) -> DataFrame:

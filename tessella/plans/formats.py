@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import codes, curves
+from tessella.functions import codes, compact, curves
 from tessella.functions import points as P
 from tessella.operators import rules, sequences, sizing
 from tessella.plans import grids
@@ -252,6 +252,40 @@ def def_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("file").cast("long").alias("cell_id"), "net", "what", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"))
 
 
+def _corner_sql(token: str) -> str:
+    return "+".join(f"({c}) * ({u})" for c, u in zip(compact.coefficients(token), ("w", "h", "w // 2", "h // 2", "w // 3", "h // 3")) if c) or "0"
+
+
+_RINGS = ", ".join("[" + ", ".join(f"[{_corner_sql(a)}, {_corner_sql(b)}]" for a, b in (c.split(",") for c in (*row.split(), row.split()[0]))) + "]" for row in compact.CORNERS)
+
+
+@query(f"WITH {SHAPES_SQL}, t AS (SELECT *, (x1 + y1) % 25 AS kind, x2 - x1 AS w, y2 - y1 AS h FROM shapes), r AS (SELECT *, [{_RINGS}][kind + 1] AS ring FROM t) SELECT {K}, kind, count(*) AS shapes, sum(len(ring))::BIGINT AS points, sum(abs(list_sum(list_transform(range(1, len(ring)), lambda i: ring[i][1] * ring[i + 1][2] - ring[i + 1][1] * ring[i][2]))))::BIGINT AS twice_area, sum(list_sum(list_transform(ring, lambda p: x1 + p[1] + 3 * (y1 + p[2]))))::BIGINT AS spots FROM r GROUP BY ALL")
+def compact_trapezoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trapezoid of every type in the shapes' boxes, drawn from differences again."""
+    s = shapes(spark, sf_dir).withColumn("kind", F.expr("(x1 + y1) % 25"))
+    drawn = s.withColumn("p", compact.compact_trapezoid(F.col("kind"), F.col("x1"), F.col("y1"), F.expr("x2 - x1"), F.expr("y2 - y1")))
+    p = drawn.select(*KEYS, "kind", compact.from_deltas(F.get("p", F.lit(0)), compact.deltas(F.col("p")), F.lit(True)).alias("p"))
+    twice = F.abs(F.aggregate(F.sequence(F.lit(1), F.size("p") - 1), F.lit(0).cast("long"), lambda t, i: t + F.get("p", i - 1)["x"].cast("long") * F.get("p", i)["y"] - F.get("p", i)["x"].cast("long") * F.get("p", i - 1)["y"]))
+    spots = F.aggregate("p", F.lit(0).cast("long"), lambda t, q: t + q["x"] + q["y"].cast("long") * 3)
+    return p.groupBy(*KEYS, "kind").agg(F.count("*").alias("shapes"), F.sum(F.size("p")).alias("points"), F.sum(twice).alias("twice_area"), F.sum(spots).alias("spots"))
+
+
+_ISLANDS = "SELECT *, sum(new) OVER (PARTITION BY {g} ORDER BY {a}) AS run FROM (SELECT *, CASE WHEN lag(gap) OVER (PARTITION BY {g} ORDER BY {a}) IS NOT DISTINCT FROM gap THEN 0 ELSE 1 END AS new FROM (SELECT *, coalesce(d, lead(d) OVER (PARTITION BY {g} ORDER BY {a})) AS gap FROM (SELECT *, {a} - lag({a}) OVER (PARTITION BY {g} ORDER BY {a}) AS d FROM {t})))"
+_ACROSS = f"SELECT {K}, y, min(x) AS x, count(*) AS columns, CASE WHEN count(*) > 1 THEN (max(x) - min(x)) // (count(*) - 1) ELSE 0 END AS dx FROM ({_ISLANDS.format(g=f'{K}, y', a='x', t='placed')}) GROUP BY {K}, y, run"
+_GRIDS = f"SELECT {K}, min(y) AS y, count(*) AS rows FROM ({_ISLANDS.format(g=f'{K}, x, columns, dx', a='y', t='across_')}) GROUP BY {K}, x, columns, dx, run"
+
+
+@query(f"WITH {SHAPES_SQL}, g AS (SELECT *, unnest(range(0, (x1 % 4 + 1) * (y1 % 3 + 1))) AS i FROM shapes), placed AS (SELECT DISTINCT {K}, x1 + i % (x1 % 4 + 1) * (x2 - x1) AS x, y1 + i // (x1 % 4 + 1) * (y2 - y1) AS y FROM g), across_ AS ({_ACROSS}), grids AS ({_GRIDS}), n AS (SELECT {K}, count(*) AS arrays FROM grids GROUP BY {K}) SELECT {K}, arrays, count(*) AS placements, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * y)::BIGINT AS sxy FROM placed JOIN n USING (cell_id, layer) GROUP BY ALL")
+def array_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated shapes' corners, the arrays found among them, and what these give when they are expanded."""
+    columns, rows = F.col("x1") % 4 + 1, F.col("y1") % 3 + 1
+    grid = curves.grid_offsets(columns, rows, (F.col("x2") - F.col("x1"), F.lit(0)), (F.lit(0), F.col("y2") - F.col("y1")))
+    placed = shapes(spark, sf_dir).withColumn("at", F.explode(grid)).select(*KEYS, (F.col("x1") + F.col("at.x")).alias("x"), (F.col("y1") + F.col("at.y")).alias("y")).distinct()
+    found = materialise(compact.arrays(placed, KEYS), "arrays")
+    spots = compact.expanded(found, KEYS).groupBy(*KEYS).agg(F.count("*").alias("placements"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    return spots.join(found.groupBy(*KEYS).agg(F.count("*").alias("arrays")), KEYS)
+
+
 # ---- technology ------------------------------------------------------------------------------------------------
 
 _LAYERS = f"l AS (SELECT cell_id, layer, min(x2 - x1) AS w, max(x2 - x1) AS p, count(*) AS n FROM shapes GROUP BY cell_id, layer)"

@@ -162,3 +162,22 @@ def test_empty_tables(spark):
     assert bands.union_bands(none, KEYS).count() == 0
     assert drc.self_space(none, KEYS, 5).count() == 0
     assert boolean.boolean("union", none, boxes(spark, (0, 0, 1, 1)), KEYS).count() == 1
+
+
+def test_large_bands_stand_in_few_buckets(spark):
+    """A plane of 100,000 units and small boxes around it: a handful of rows each, and the gaps that a comparison of all pairs finds."""
+    rnd = random.Random(2)
+    small = [(x, y, x + 10, y + 10) for x, y in ((rnd.choice([-13, -12, 100_003, 100_002, rnd.randint(0, 99_000)]), rnd.choice([-14, -13, 100_001, 100_003])) for _ in range(60))]
+    rects = [(0, 0, 100_000, 100_000), *small, (-3000, 0, -2990, 90_000), (-2987, 10, -2960, 80_000)]
+    df = boxes(spark, *rects)
+    on = drc.leveled(df, 256, 4)
+    assert drc.placed(on.withColumn("level", F.col("own")), 256, 4).count() <= 4 * len(rects)
+    got = {tuple(r) for r in drc.self_space(df, KEYS, 4).select(*drc.PAIR).collect()}
+    union = [(r.x1, r.y1, r.x2, r.y2) for r in bands.union_bands(df, KEYS).collect()]
+    near = 0
+    for i, p in enumerate(union):
+        for q in union[i + 1 :]:
+            gx, gy = max(p[0], q[0]) - min(p[2], q[2]), max(p[1], q[1]) - min(p[3], q[3])
+            if (gx, gy) != (0, 0) and gx != 0 and gy != 0 and max(gx, gy) > 0 and max(gx, 0) ** 2 + max(gy, 0) ** 2 < 16:
+                near += 1
+    assert 5 < len(got) <= near

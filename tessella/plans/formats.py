@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import codes, compact, curves
 from tessella.functions import points as P
-from tessella.operators import rules, sequences, sizing
+from tessella.operators import hierarchy, rules, sequences, sizing
 from tessella.plans import grids
 from tessella.plans.queries import BOX_AREA, GROW, WIDTH, K, bands_sql, edge_distance_sql, query, ring_sql, sweep_sql
 from tessella.plans.session import materialise
@@ -286,6 +286,27 @@ def array_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.join(found.groupBy(*KEYS).agg(F.count("*").alias("arrays")), KEYS)
 
 
+_REFS = "refs AS (SELECT c AS cell, 2 * c + 1 + k // 2 AS ref, (c + k) % 2 = 1 AS mirror, (c + 2 * k) % 4 AS turn, 1000 * (c % 7) + 300 * k AS x, 500 * (c % 5) - 200 * k AS y FROM cells, range(0, 3) r(k) WHERE 2 * c + 1 + k // 2 IN (SELECT c FROM cells))"
+_TURNED_X = "CASE {t} WHEN 0 THEN {x} WHEN 1 THEN -({v}) WHEN 2 THEN -({x}) ELSE ({v}) END"
+_TURNED_Y = "CASE {t} WHEN 0 THEN ({v}) WHEN 1 THEN {x} WHEN 2 THEN -({v}) ELSE -({x}) END"
+_at = lambda f, x, y: f.format(t="p.turn", x=x, v=f"CASE WHEN p.mirror THEN -({y}) ELSE {y} END")
+_PLACED = f"p AS (SELECT 0::BIGINT AS cell, false AS mirror, 0::BIGINT AS turn, 0::BIGINT AS x, 0::BIGINT AS y UNION ALL SELECT r.ref, p.mirror <> r.mirror, (p.turn + CASE WHEN p.mirror THEN 4 - r.turn ELSE r.turn END) % 4, p.x + {_at(_TURNED_X, 'r.x', 'r.y')}, p.y + {_at(_TURNED_Y, 'r.x', 'r.y')} FROM p JOIN refs r ON r.cell = p.cell)"
+_FLAT = ", ".join(f"p.{c} + {_at(f, f'{c2}x1', f'{c2}y1')} AS {n}1, p.{c} + {_at(f, f'{c2}x2', f'{c2}y2')} AS {n}2" for c, f, n, c2 in (("x", _TURNED_X, "a", "s."), ("y", _TURNED_Y, "b", "s.")))
+
+
+@query(f"WITH RECURSIVE {SHAPES_SQL}, cells AS (SELECT DISTINCT cell_id AS c FROM shapes), {_REFS}, {_PLACED}, f AS (SELECT s.cell_id, s.layer, {_FLAT} FROM p JOIN shapes s ON s.cell_id = p.cell) SELECT {K}, count(*) AS shapes, sum(least(a1, a2))::BIGINT AS x1, sum(least(b1, b2))::BIGINT AS y1, sum(greatest(a1, a2))::BIGINT AS x2, sum(greatest(b1, b2))::BIGINT AS y2, sum(abs(a1 - a2) * abs(b1 - b2))::BIGINT AS area FROM f GROUP BY {K}")
+def flattened_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells under the first one, where a cell refers to the next level's cells, to the first of two twice, mirrored and turned."""
+    s = shapes(spark, sf_dir)
+    cells = s.select(F.col("cell_id").alias("c")).distinct()
+    ref = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(F.lit("f").alias("file"), F.col("c").alias("cell"), F.expr("2 * c + 1 + k div 2").alias("ref_cell"), F.expr("(c + k) % 2 = 1").alias("mirror"), F.expr("cast((c + 2 * k) % 4 as int)").alias("turn"), F.expr("1000 * (c % 7) + 300 * k").alias("x"), F.expr("500 * (c % 5) - 200 * k").alias("y"))
+    known = ref.join(cells.select(F.col("c").alias("ref_cell")), "ref_cell", "left_semi")
+    found = hierarchy.placements(cells.where("c = 0").select(F.lit("f").alias("file"), F.col("c").alias("top")), known)
+    flat = hierarchy.flattened(found, s.select(F.lit("f").alias("file"), F.col("cell_id").alias("cell"), "layer", "x1", "y1", "x2", "y2"))
+    total = lambda e: F.sum(F.expr(f"n * {e}"))
+    return flat.groupBy(F.col("cell").alias("cell_id"), "layer").agg(F.sum("n").alias("shapes"), *(total(c).alias(c) for c in ("x1", "y1", "x2", "y2")), total("((x2 - x1) * (y2 - y1))").alias("area"))
+
+
 # ---- technology ------------------------------------------------------------------------------------------------
 
 _LAYERS = f"l AS (SELECT cell_id, layer, min(x2 - x1) AS w, max(x2 - x1) AS p, count(*) AS n FROM shapes GROUP BY cell_id, layer)"

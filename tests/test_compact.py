@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import compact
+from tessella.operators import hierarchy
 
 # twice the area of every type in a box of width 60 and height 20 (0-7, 16, 18, 20-23), or of width 12 and height 60, worked out by hand
 WIDE = {0: 2000, 1: 2000, 2: 2000, 3: 2000, 4: 1600, 5: 1600, 6: 1600, 7: 1600, 16: 2400, 17: 7200, 18: 2256, 20: 1200, 21: 1200, 22: 1200, 23: 1200, 24: 3600}
@@ -64,3 +65,15 @@ def test_arrays_give_their_placements_back(spark):
     rows = {tuple(r) for r in found.where("k in ('a', 'b', 'd')").collect()}
     assert ("a", 10, -5, 6, 4, 7, 11) in rows and ("b", 5, 5, 3, 1, 0, 0) in rows and ("d", 0, 0, 5, 1, 4, 0) in rows
     assert sum(r[0] == "a" for r in rows) == 1 and sum(r[0] == "d" for r in rows) <= 3
+
+
+def test_cells_under_their_tops(spark):
+    refs = [("f", "a", "b", False, 1, 10, 0), ("f", "a", "b", False, 1, 10, 0), ("f", "b", "c", True, 0, 0, 5), ("f", "a", "c", False, 0, 7, 7), ("g", "a", "z", False, 0, 1, 1)]
+    kinds = "file string, cell string, ref_cell string, mirror boolean, turn int, x long, y long"
+    tops = spark.createDataFrame([("f", "a"), ("g", "a")], "file string, top string")
+    got = {tuple(r) for r in hierarchy.placements(tops, spark.createDataFrame(refs, kinds)).collect()}
+    assert got == {("f", "a", "a", False, 0, 0, 0, 1), ("f", "a", "b", False, 1, 10, 0, 2), ("f", "a", "c", True, 1, 5, 0, 2), ("f", "a", "c", False, 0, 7, 7, 1), ("g", "a", "a", False, 0, 0, 0, 1), ("g", "a", "z", False, 0, 1, 1, 1)}
+    flat = hierarchy.flattened(spark.createDataFrame([("f", "a", "c", True, 1, 5, 0, 2)], "file string, top string, cell string, mirror boolean, turn int, x long, y long, n long"), spark.createDataFrame([("f", "c", 1, 0, 0, 2, 1)], "file string, cell string, layer int, x1 long, y1 long, x2 long, y2 long"))
+    assert [tuple(r) for r in flat.collect()] == [("f", "a", "c", 1, 5, 0, 6, 2, 2)]
+    with pytest.raises(ValueError, match="contains itself"):
+        hierarchy.placements(tops, spark.createDataFrame([("f", "a", "b", False, 0, 1, 0), ("f", "b", "a", False, 0, 1, 0)], kinds))

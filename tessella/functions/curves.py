@@ -152,46 +152,43 @@ def _rounded(x: Column, y: Column) -> Column:
 
 
 def corners(ring: Column) -> Column:
-    """Of an open counter-clockwise ring: at every vertex its place and the unit vectors of the edges that come (a) and go (b)."""
-    n = F.size(ring)
+    """Of an open counter-clockwise ring: at every vertex its place, the edges that come (a) and go (b), and their lengths. A vertex that repeats the one before is left out."""
+    bare = F.filter(ring, lambda p, i: p != F.when(i > 0, F.get(ring, i - 1)).otherwise(F.element_at(ring, -1)))
 
     def edge(p: Column, q: Column, name: str) -> list[Column]:
-        dx, dy = q["x"].cast("double") - p["x"], q["y"].cast("double") - p["y"]
-        length = F.sqrt(dx * dx + dy * dy)
-        return [F.when(length > 0, d / length).otherwise(0.0).alias(f"{name}{c}") for d, c in ((dx, "x"), (dy, "y"))]
+        dx, dy = (q[c].cast("double") - p[c] for c in "xy")
+        return [dx.alias(f"{name}x"), dy.alias(f"{name}y"), F.sqrt(dx * dx + dy * dy).alias(f"{name}l")]
 
-    def at(c: Column, i: Column) -> Column:
-        before, after = F.get(ring, (i + n - 1) % n), F.get(ring, (i + 1) % n)
-        return F.struct(c["x"].cast("double").alias("x"), c["y"].cast("double").alias("y"), *edge(before, c, "a"), *edge(c, after, "b"))
+    def around(kept: Column) -> Column:
+        n = F.size(kept)
+        place = lambda c: [c[k].cast("double").alias(k) for k in "xy"]
+        return F.transform(kept, lambda c, i: F.struct(*place(c), *edge(F.get(kept, (i + n - 1) % n), c, "a"), *edge(c, F.get(kept, (i + 1) % n), "b")))
 
-    return F.transform(ring, at)
+    return let(bare, around)
 
 
-def _miter(corner: Column, by: float) -> Column:
-    """Where the two moved edges of a corner meet, or null where they run against each other. Outward normals of an edge (x, y) are (y, -x)."""
-    both = F.struct((corner["ay"] + corner["by"]).alias("x"), (-corner["ax"] - corner["bx"]).alias("y"))
-
-    def meet(b: Column) -> Column:
-        return let(F.sqrt(b["x"] * b["x"] + b["y"] * b["y"]), lambda length: F.when(length > 1e-9, let(corner["ay"] * b["x"] / length - corner["ax"] * b["y"] / length, lambda along: F.when(F.abs(along) > 1e-9, let(F.lit(float(by)) / along, lambda reach: _rounded(corner["x"] + reach * b["x"] / length, corner["y"] + reach * b["y"] / length))))))
-
-    return let(both, meet)
-
-
-def _mean(corner: Column, by: float) -> Column:
-    return _rounded(corner["x"] + (corner["ay"] + corner["by"]) / 2.0 * by, corner["y"] - (corner["ax"] + corner["bx"]) / 2.0 * by)
+def _crossing(c: Column, by: float) -> Column:
+    """Where the lines of both edges, moved outward, cross. u from the vertex lies on the moved line of an edge if the cross product of u and the edge is `by` times its length,
+    so u is a quotient by the cross product of the edges. An edge that goes straight on is moved as one; at one that turns back the vertex stays."""
+    turn = c["ax"] * c["by"] - c["ay"] * c["bx"]
+    onward = c["ax"] * c["bx"] + c["ay"] * c["by"] > 0
+    crossed = _rounded(c["x"] + by * (c["ax"] * c["bl"] - c["bx"] * c["al"]) / turn, c["y"] + by * (c["ay"] * c["bl"] - c["by"] * c["al"]) / turn)
+    straight = _rounded(c["x"] + by * c["ay"] / c["al"], c["y"] - by * c["ax"] / c["al"])
+    return F.when(turn != 0, crossed).when(onward, straight).otherwise(_rounded(c["x"], c["y"]))
 
 
 def square_offset(ring: Column, by: float) -> Column:
-    return F.transform(corners(ring), lambda c: F.coalesce(_miter(c, by), _mean(c, by)))
+    return F.transform(corners(ring), lambda c: _crossing(c, by))
 
 
 def octagonal_offset(ring: Column, by: float) -> Column:
-    """Each mitred corner is cut by 45 degrees."""
+    """Each moved corner is cut by 45 degrees, along both edges, but where the ring turns back."""
     cut = abs(by) * (1.0 - 0.5**0.5)
 
     def at(c: Column) -> Column:
-        pair = lambda m: F.array(_rounded(m["x"] - c["ax"] * cut, m["y"] - c["ay"] * cut), _rounded(m["x"] + c["bx"] * cut, m["y"] + c["by"] * cut))
-        return let(_miter(c, by), lambda m: F.when(m.isNull(), F.array(_mean(c, by))).otherwise(pair(m)))
+        along = lambda m, e, way: _rounded(m["x"] + way * cut / c[f"{e}l"] * c[f"{e}x"], m["y"] + way * cut / c[f"{e}l"] * c[f"{e}y"])
+        back = (c["ax"] * c["by"] == c["ay"] * c["bx"]) & (c["ax"] * c["bx"] + c["ay"] * c["by"] < 0)
+        return let(_crossing(c, by), lambda m: F.when(back, F.array(m)).otherwise(F.array(along(m, "a", -1), along(m, "b", 1))))
 
     return F.flatten(F.transform(corners(ring), at))
 

@@ -196,6 +196,12 @@ def test_polygon_offsets(spark):
     arc = sizing.offset(polygons(spark, SQUARE), 50, "round", 4).first().points
     assert len(arc) == 4 * 5 + 1 and all(min(math.hypot(p.x - x, p.y - y) for x, y in SQUARE) - 50 < 1 for p in arc)
     assert sizing.offset(polygons(spark, [(0, 0), (5, 5)]), 3).count() == 0
+    # a repeated vertex and one on a straight side change nothing; where a ring turns back its vertex stays
+    doubled = [SQUARE[0], *SQUARE]
+    assert set(spots(sizing.offset(polygons(spark, doubled), 10).first().points)) == set(spots(sizing.offset(polygons(spark, SQUARE), 10).first().points))
+    spike = [(0, 0), (100, 0), (200, 0), (100, 0), (100, 100), (0, 100)]
+    found = spots(sizing.offset(polygons(spark, spike), 10).first().points)
+    assert (200, 0) in found and (100, -10) in found and (-10, -10) in found
 
 
 def test_sized_polygons_chooses(spark):

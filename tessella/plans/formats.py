@@ -14,7 +14,7 @@ from tessella.plans import grids
 from tessella.plans.queries import BOX_AREA, GROW, WIDTH, K, bands_sql, edge_distance_sql, query, ring_sql, sweep_sql
 from tessella.plans.session import materialise
 from tessella.plans.shapes import KEYS, SHAPES_SQL, numbered, polygons, shapes
-from tessella.sources import cif, def_, def_back, dxf, dxf_check, lef, sniff, technology
+from tessella.sources import cif, def_, def_areas, def_back, dxf, dxf_check, lef, sniff, technology
 
 SCALE = 1024.0  # units a micron: a power of two, so that no truncation differs
 
@@ -252,6 +252,50 @@ def def_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("file").cast("long").alias("cell_id"), "net", "what", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"))
 
 
+_SPOTS = "sum(2 * (x1 + x2) + 6 * (y1 + y2))::BIGINT AS spots"
+
+
+@query(f"""WITH {SHAPES_SQL} SELECT {K}, CASE WHEN layer % 2 = 0 THEN 'routing' ELSE 'placement' END AS what, count(*) AS n, {_SPOTS}, CASE WHEN layer % 2 = 0 THEN 0::BIGINT ELSE count(*) END AS flagged FROM shapes GROUP BY {K}
+UNION ALL SELECT {K}, 'fill', count(*), {_SPOTS}, count(*) FILTER (layer % 3 = 0) FROM shapes GROUP BY {K}
+UNION ALL SELECT {K}, 'region', count(*), {_SPOTS}, CASE WHEN layer % 2 = 1 THEN count(*) ELSE 0::BIGINT END FROM shapes GROUP BY {K}
+UNION ALL SELECT {K}, 'group', count(*), count(*), 1 FROM shapes GROUP BY {K}
+UNION ALL SELECT {K}, 'grid', count(*), (min(x1) + max(y2))::BIGINT, 1 FROM shapes GROUP BY {K}""")
+def def_area_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blockages, fills, regions, groups and cell grids of designs: written as lines, read from text, written and read once more."""
+    s = shapes(spark, sf_dir)
+    file = F.col("cell_id").cast("string").alias("file")
+    seq = F.struct(F.lit(0).cast("bigint").alias("block"), F.hash("layer", *(f"{a}{i}" for i in (1, 2) for a in "xy")).cast("bigint").alias("seq"), F.lit(0).alias("part")).alias("seq")
+    of_layer = F.struct(F.lit(0).cast("bigint").alias("block"), F.col("layer").alias("seq"), F.lit(0).alias("part")).alias("seq")
+    name = lambda p: F.concat(F.lit(p), F.col("layer").cast("string"))
+    box = F.struct(*(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    ring = F.array(*(F.struct(F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))
+    even, none = F.col("layer") % 2 == 0, F.lit(None).cast("string")
+    rects, rings = F.array(box), F.array(ring)
+    blocked = s.select(file, seq, F.when(even, "ROUTING").otherwise("PLACEMENT").alias("type"), name("M").alias("layer_name"), none.alias("component"), (~even).alias("pushdown"), F.when(even, rects).otherwise(F.slice(rects, 1, 0)).alias("rects"), F.when(even, F.slice(rings, 1, 0)).otherwise(rings).alias("polygons"))
+    fill = s.select(file, seq, name("M").alias("layer_name"), (F.col("layer") % 3 == 0).alias("opc"), rects.alias("rects"), F.slice(rings, 1, 0).alias("polygons"))
+    layered = s.groupBy(file, "layer").agg(F.collect_list(box).alias("rects"), F.count("*").alias("n"), (F.min("x1") + F.max("y2")).alias("start"))
+    region = layered.select("file", of_layer, name("r").alias("region"), F.when(even, none).otherwise("FENCE").alias("type"), "rects")
+    group = layered.select("file", of_layer, name("g").alias("group"), F.transform("rects", lambda r: F.concat(F.lit("c"), r["x1"].cast("string"))).alias("components"), name("r").alias("region"), F.array(F.struct(F.lit("shapes").alias("key"), F.concat(F.lit("of "), F.col("n").cast("string")).alias("value"))).alias("properties"))
+    gcells = layered.select("file", of_layer, F.lit("X").alias("axis"), "start", F.col("n").alias("count"), F.col("layer").alias("step"))
+    written = def_areas.lines(gcells, blocked, region, fill, group)
+    read = def_.scan(sequences.statements_of(materialise(def_back.texts(written), "def-areas"), ";"))
+    again = def_areas.lines(def_areas.gcell_grids(read), def_areas.blockages(read), def_areas.regions(read), def_areas.fills(read), def_areas.groups(read))
+    last = def_.scan(sequences.statements_of(materialise(def_back.texts(again), "def-areas-again"), ";"))
+    layer = lambda c: F.expr(f"cast(substring({c}, 2, 9) as bigint) as layer")
+    total = lambda e, zero: F.aggregate(e, F.lit(0).cast("bigint"), zero)
+    of_rects = total(F.col("rects"), lambda t, r: t + (r["x1"] + r["x2"]) * 2 + (r["y1"] + r["y2"]) * 6)
+    of_rings = total(F.flatten("polygons"), lambda t, q: t + q["x"] + q["y"] * 3)
+    shown = F.size("rects").cast("bigint").alias("n")
+    flag = lambda c: F.when(c, shown).otherwise(0).cast("bigint").alias("flagged")
+    own = def_areas.blockages(last).select("file", layer("layer_name"), F.lower("type").alias("what"), (F.size("rects") + F.size("polygons")).cast("bigint").alias("n"), (of_rects + of_rings).alias("spots"), F.col("pushdown").cast("bigint").alias("flagged"))
+    own = own.unionByName(def_areas.fills(last).select("file", layer("layer_name"), F.lit("fill").alias("what"), shown, of_rects.alias("spots"), flag(F.col("opc"))))
+    own = own.unionByName(def_areas.regions(last).select("file", layer("region"), F.lit("region").alias("what"), shown, of_rects.alias("spots"), flag(F.col("type").isNotNull())))
+    value = F.expr("cast(substring(properties[0].value, 4, 9) as bigint) as spots")
+    own = own.unionByName(def_areas.groups(last).select("file", layer("group"), F.lit("group").alias("what"), F.size("components").cast("bigint").alias("n"), value, (F.substring("region", 2, 9) == F.substring("group", 2, 9)).cast("bigint").alias("flagged")))
+    own = own.unionByName(def_areas.gcell_grids(last).select("file", F.col("step").cast("bigint").alias("layer"), F.lit("grid").alias("what"), F.col("count").cast("bigint").alias("n"), F.col("start").cast("bigint").alias("spots"), F.lit(1).cast("bigint").alias("flagged")))
+    return own.groupBy(F.col("file").cast("bigint").alias("cell_id"), "layer", "what").agg(*(F.sum(c).alias(c) for c in ("n", "spots", "flagged")))
+
+
 def _corner_sql(token: str) -> str:
     return "+".join(f"({c}) * ({u})" for c, u in zip(compact.coefficients(token), ("w", "h", "w // 2", "h // 2", "w // 3", "h // 3")) if c) or "0"
 

@@ -290,3 +290,13 @@ def contained_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners of the upper layer in or on polygons of the lower."""
     a, b = pair(spark, sf_dir)
     return connectivity.contained(b.select(*KEYS, F.col("x1").alias("x"), F.col("y2").alias("y")).distinct(), polygons(a), KEYS)
+
+
+_CUT = "sign((r.x1 - r.x2) * (y - r.y2)) * sign(r.y1 - r.y2) * (abs((r.x1 - r.x2) * (y - r.y2)) // abs(r.y1 - r.y2))"
+
+
+@query(f"WITH {SHAPES_SQL}, {ring_sql('kite')}, p AS (SELECT DISTINCT cell_id, layer - 1 AS layer, (x1 + x2) // 2 AS x, (y1 + y2) // 2 AS y FROM shapes WHERE layer >= 2) SELECT DISTINCT cell_id, layer, x, y FROM (SELECT p.cell_id, p.layer, p.x, p.y, r.id FROM p JOIN ring r ON p.cell_id = r.cell_id AND p.layer = r.layer AND (r.y1 > y) <> (r.y2 > y) AND x < {_CUT} + r.x2 GROUP BY ALL HAVING count(*) % 2 = 1)")
+def contained_in_kites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Middles of the upper layer's shapes in slanted polygons of the lower."""
+    a, b = pair(spark, sf_dir)
+    return connectivity.contained(b.select(*KEYS, F.expr("(x1 + x2) div 2").alias("x"), F.expr("(y1 + y2) div 2").alias("y")).distinct(), polygons(a, "kite"), KEYS)

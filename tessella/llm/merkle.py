@@ -4,7 +4,8 @@ A paragraph is a line. Its clauses are cut after spaces that follow certain lett
 few cuts. A clause is known by half its MD5, a paragraph by the SHA-256 of its clauses, a section by that of its paragraphs, the document by
 that of its sections: the root is the fingerprint. A section ends after a paragraph whose digest starts with 0 to 3, so sections
 realign after an edit too. Equal texts have equal roots; unequal texts differ in theirs but for a collision of 64-bit clause digests. To locate edits two trees are
-walked down from the root, into sections that differ only. Likeness is Dice's measure of the distinct clauses of two trees.
+walked down from the root, into sections that differ only. Likeness comes from the same walk: a section that both trees have counts whole for both, with all its
+clauses and once; of the sections that differ the distinct clauses are compared, and Dice's measure is taken over both kinds. Trees without a clause are alike.
 
 Null text is empty. In the next-document order null doc_ids come last (they are smallest), equal doc_ids by falling text. A lone document is its own next one;
 an empty table gives no rows. Only doc_id and text are read. Rows that all share one doc_id, or have none, are ordered by one task, as their order is by text.
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLAUSE = "(?s).{1,48}?[.,;:!?nrst] +|.{1,48}"
-CELLS = 1024  # of the doc_id histogram
+DIGEST, LEAF = 64, 16  # hexadecimal digits of a section's and a clause's digest
 
 
 def tree(text: Column) -> Column:
@@ -50,10 +51,25 @@ def fingerprint(nodes: Column) -> Column:
     return root(sections(paragraphs(nodes)))
 
 
+def grown(nodes: Column, paragraph: Column) -> Column:
+    """Sections as strings: the digest, then the digests of the clauses below it. Equal digests make equal strings."""
+    marked = F.array_join(F.zip_with(nodes, paragraph, lambda n, d: F.concat(F.lit(";"), d, F.lit(":"), F.array_join(n, ""), F.when(F.substring(d, 1, 1) < "4", "|").otherwise(","))), "")
+    cut = F.filter(F.split(marked, "[|]"), lambda s: s != "")
+    own = lambda s: F.sha2(F.regexp_replace(s, ":[0-9a-f]*|;", "").cast("binary"), 256)
+    return F.transform(cut, lambda s: F.concat(own(s), F.regexp_replace(s, ";[0-9a-f]*:|,", "")))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Of two columns of distinct clause digests."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+    """Of two columns of `grown` sections, 0 to 1."""
+    whole = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, s: n + (F.length(s) - DIGEST).cast("int"))
+    below = lambda x, y: F.array_distinct(F.flatten(F.transform(F.array_except(x, y), lambda s: F.regexp_extract_all(F.substring(s, DIGEST + 1, 1 << 30), F.lit(f".{{{LEAF}}}"), F.lit(0)))))
+    counted = F.struct((whole / LEAF).alias("whole"), below(a, b).alias("a"), below(b, a).alias("b"))
+
+    def dice(w: Column) -> Column:
+        total = 2 * w["whole"] + F.size(w["a"]) + F.size(w["b"])
+        return F.when(total == 0, F.lit(1.0)).otherwise((2 * w["whole"] + 2 * F.size(F.array_intersect(w["a"], w["b"]))) / total)
+
+    return F.get(F.transform(F.array(counted), dice), F.lit(0))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -115,18 +131,25 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars as int) - cast(floor(n_chars / 3) as int))"), F.left("next_text", third)))
     d = d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *(tree(F.col(x)).alias(y) for x, y in (("text", "own"), ("edited", "edit"), ("next_text", "next"))))
-    d = d.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edit")).alias("edited_fingerprint"), *(F.array_distinct(F.flatten(x)).alias(x) for x in ("own", "edit", "next")))
+    names = ("own", "edit", "next")
+    d = d.select("*", *(paragraphs(F.col(x)).alias(f"{x}_paragraphs") for x in names))
+    prints = [root(sections(F.col(f"{x}_paragraphs"))).alias(y) for x, y in (("own", "fingerprint"), ("edit", "edited_fingerprint"))]
+    d = d.select("doc_id", "n_chars", "edited_sha256", *prints, *(grown(F.col(x), F.col(f"{x}_paragraphs")).alias(x) for x in names))
     return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
 
 _TREE = "list_transform(string_split({0}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,48}}?[.,;:!?nrst] +|.{{1,48}}'), lambda c: left(md5(c), 16)))"
 _ROOT = "sha256(array_to_string(list_transform(string_split(array_to_string(list_transform(list_transform({0}, lambda p: sha256(array_to_string(p, ''))), lambda d: d || CASE WHEN left(d, 1) < '4' THEN '|' ELSE ',' END), ''), '|'), lambda s: sha256(s)), ','))"
-_LIKE = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({0}, {1})) / (len({0}) + len({1})) END"
+_NEAR = "CASE WHEN 2 * {0} + len({1}) + len({2}) = 0 THEN 1.0::DOUBLE ELSE (2 * {0} + 2 * len(list_intersect({1}, {2})))::DOUBLE / (2 * {0} + len({1}) + len({2})) END"
+_GROWN = "list_transform(list_filter(string_split(array_to_string(list_transform({0}, lambda p: ';' || sha256(array_to_string(p, '')) || ':' || array_to_string(p, '') || CASE WHEN left(sha256(array_to_string(p, '')), 1) < '4' THEN '|' ELSE ',' END), ''), '|'), lambda s: s <> ''), lambda s: regexp_replace(s, ';[0-9a-f]*:|,', '', 'g'))"
+_WHOLE = "coalesce(list_sum(list_transform(list_intersect({0}, {1}), lambda s: len(s) // 16)), 0)"
+_BELOW = "list_distinct(flatten(list_transform(list_filter({0}, lambda s: NOT list_contains({1}, s)), lambda s: regexp_extract_all(s, '.{{16}}'))))"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM d),
 e AS (SELECT *, left(text, n_chars - n_chars // 3) || left(next_text, n_chars // 3) AS edited FROM n),
 t AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_TREE.format("text")} AS own, {_TREE.format("edited")} AS edit, {_TREE.format("next_text")} AS nxt FROM e),
-f AS (SELECT doc_id, n_chars, edited_sha256, {_ROOT.format("own")} AS fingerprint, {_ROOT.format("edit")} AS edited_fingerprint, list_distinct(flatten(own)) AS a, list_distinct(flatten(edit)) AS b, list_distinct(flatten(nxt)) AS c FROM t)
-SELECT doc_id, n_chars::BIGINT AS n_chars, edited_sha256, fingerprint, edited_fingerprint, {_LIKE.format("a", "b")} AS near_edited, {_LIKE.format("a", "c")} AS near_next FROM f
+f AS (SELECT doc_id, n_chars, edited_sha256, {_ROOT.format("own")} AS fingerprint, {_ROOT.format("edit")} AS edited_fingerprint, {_GROWN.format("own")} AS a, {_GROWN.format("edit")} AS b, {_GROWN.format("nxt")} AS c FROM t),
+w AS (SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_WHOLE.format("a", "b")} AS wb, {_BELOW.format("a", "b")} AS ab, {_BELOW.format("b", "a")} AS ba, {_WHOLE.format("a", "c")} AS wc, {_BELOW.format("a", "c")} AS ac, {_BELOW.format("c", "a")} AS ca FROM f)
+SELECT doc_id, n_chars::BIGINT AS n_chars, edited_sha256, fingerprint, edited_fingerprint, {_NEAR.format("wb", "ab", "ba")} AS near_edited, {_NEAR.format("wc", "ac", "ca")} AS near_next FROM w
 """

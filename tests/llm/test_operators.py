@@ -7,7 +7,6 @@ import hashlib
 import io
 import itertools
 import random
-import re
 import zlib
 
 import numpy as np
@@ -201,39 +200,6 @@ def test_differing_branches_locate_an_edit(spark):
         assert r.went == [i for i, t in enumerate(x) if t not in y] and r.came == [i for i, t in enumerate(y) if t not in x]
 
 
-def test_likeness_from_the_walk(spark):
-    """Against sections built by hand: those in both trees whole, distinct clauses below the others."""
-    rnd = random.Random(3)
-    texts = ["", "\n", "\n\n", "one", "one\none", "".join(chr(97 + rnd.randrange(26)) for _ in range(4000))]
-    lines = [" ".join(rnd.choice(["alpha", "beta,", "gamma.", "for", "delta"]) for _ in range(rnd.randint(1, 40))) for _ in range(80)]
-    for _ in range(25):
-        texts.append("\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 60))))
-        texts.append("\n".join(x if rnd.random() > 0.05 else "new " + x for x in texts[-1].split("\n")))
-
-    def grown(text):
-        found, own = [], []
-        for p in text.split("\n"):
-            clauses = [hashlib.md5(c.encode()).hexdigest()[:16] for c in re.findall(merkle.CLAUSE, p)]
-            digest = hashlib.sha256("".join(clauses).encode()).hexdigest()
-            own.append((digest, clauses))
-            if digest[0] < "4":
-                found.append(own)
-                own = []
-        return [(tuple(d for d, _ in s), tuple(c for _, cs in s for c in cs)) for s in (*found, own) if s]
-
-    def near(a, b):
-        whole = sum(len(c) for _, c in set(a) & set(b))
-        x, y = ({c for _, cs in set(s) - set(t) for c in cs} for s, t in ((a, b), (b, a)))
-        total = 2 * whole + len(x) + len(y)
-        return (2 * whole + 2 * len(x & y)) / total if total else 1.0
-
-    got = merkle.compare_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    for r in got.collect():
-        text, after = texts[r.doc_id], texts[r.doc_id - 1]
-        k = len(text) // 3
-        assert (r.near_edited, r.near_next) == (near(grown(text), grown(text[: len(text) - k] + after[:k])), near(grown(text), grown(after)))
-
-
 def test_buckets_are_even_whatever_the_ids(spark):
     df = spark.range(2000).selectExpr("if(id = 0, 1L << 61, if(id % 500 = 1, null, id)) as doc_id")
     sizes = {r.b: r["count"] for r in df.groupBy(merkle.buckets(df, 16).alias("b")).count().collect()}

@@ -7,7 +7,7 @@ import io
 
 import pytest
 
-from tessella.operators import bands, boolean
+from tessella.operators import bands, boolean, edges
 
 BOX = "r int, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
 
@@ -37,3 +37,15 @@ def test_rectangles_of_polygons_stay_in_the_task_of_their_polygon(spark):
     found = bands.polygon_bands(spark.createDataFrame(rows, "r int, poly_idx int, points array<struct<x:int,y:int>>"), ["r"])
     assert len(exchanges(found)) == 2
     assert sorted(found.collect(), key=str) == sorted([(r, i, *box) for r in (None, 3) for i in range(3) for box in ((0, 0, 9, 4), (0, 4, 5, 8))], key=str)
+
+
+def test_edges_as_long_as_the_plane_cross_exactly(spark):
+    """Products of coordinate differences beyond 63 bits, which failed as expressions; distances are worked out a batch at a time."""
+    m = 2**31 - 1
+    ring = [(-m, -m), (m, m), (m, -m), (-m, m), (-m, -m)]  # the diagonals cross
+    p = spark.createDataFrame([(0, 0, [{"x": x, "y": y} for x, y in ring])], "r int, poly_idx int, points array<struct<x:int,y:int>>")
+    found = edges.width(p, ["r"], 2.0**33)
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        found.explain()
+    assert "ArrowEvalPython" in out.getvalue()
+    assert [tuple(row)[1:] for row in found.collect()] == [(m, m, m, -m, -m, m, -m, -m)]

@@ -8,6 +8,7 @@ import io
 import pytest
 
 from tessella.operators import bands, boolean, edges
+from tessella.sources import dxf
 
 BOX = "r int, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
 
@@ -49,3 +50,10 @@ def test_edges_as_long_as_the_plane_cross_exactly(spark):
         found.explain()
     assert "ArrowEvalPython" in out.getvalue()
     assert [tuple(row)[1:] for row in found.collect()] == [(m, m, m, -m, -m, m, -m, -m)]
+
+
+def test_whole_dxf_texts_are_dealt_once_before_they_are_cut(spark):
+    body = "0\nSECTION\n2\nENTITIES\n" + "0\nLINE\n8\n1\n10\n0\n20\n0\n11\n5\n21\n5\n" * 3 + "0\nENDSEC\n0\nEOF\n"
+    found = dxf.entities(dxf.groups(spark.createDataFrame([("a", body), ("b", body)], "file string, text string")))
+    assert len(exchanges(found)) == 1
+    assert sorted((r.file, r.entity, r.kind, len(r.groups)) for r in found.collect()) == [(f, n, "LINE", 6) for f in "ab" for n in (2, 3, 4)]

@@ -83,14 +83,16 @@ def _row_bytes(df: DataFrame) -> Column:
     return total.cast("long")
 
 
-def join_each(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+def join_each(many: DataFrame, one: DataFrame, keys: list[str], known: DataFrame | None = None) -> DataFrame:
     """Inner join of many, a written table, with one, which has a row a key, where a key may hold most rows of many.
 
     Keys with more than a 10,000th of the rows of many, of which there can be no more than 10,000, are joined by broadcast if their rows of one have
     at most SENT_BYTES together, else dealt in parts of so many rows, each with its copy of the row of one; no other key is large.
+    known: a written table of keys and _n, their rows in many, with every key of over HOT_ROWS, so that many isn't counted for each use of the counts.
     """
-    counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = many.groupBy(*keys).agg(F.count("*").alias("_n")) if known is None else known
     rows, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    rows = rows if known is None else many.count()
     limit = max(HOT_ROWS, (rows or 0) // 10_000)
     if (most or 0) <= limit:
         return many.join(one, keys)

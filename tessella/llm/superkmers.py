@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import column, free_name, join_each, materialise, mix, run_hashes, slices, span_hashes, text_bytes, word_spans
+from tessella.llm.common import HOT_ROWS, column, free_name, join_each, materialise, mix, run_hashes, slices, span_hashes, text_bytes, word_spans
 
 WIDTH, SEED, HOT = 50, 8, 2000
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -238,8 +238,10 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED, hot: in
     """did, th, start, n: runs of windows whose words also start in a document with a smaller doc_id."""
     texts = _distinct(_keyed(docs))
     kmers = materialise(super_kmers(texts, width, seed), "super-kmers")
-    shared = kmers.groupBy("minimiser").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("times")).where("lo < hi")
-    placed = join_each(kmers, shared.select("minimiser", "times"), ["minimiser"])
+    # counted once: what is left of the counts is small, and every later step reads it
+    counted = materialise(kmers.groupBy("minimiser").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("times")).where(f"lo < hi or times > {HOT_ROWS}"), "minimisers")
+    shared = counted.where("lo < hi").select("minimiser", "times")
+    placed = join_each(kmers, shared, ["minimiser"], counted.select("minimiser", F.col("times").alias("_n")))
     found = sort_buckets(pack_strings(_wanted(texts, placed.where(F.col("times") <= hot)), width), width)
     if not shared.where(F.col("times") > hot).limit(1).count():
         return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import itertools
@@ -760,3 +761,19 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(superkmers, "run_hashes", lambda w, k: np.zeros(len(w) - k + 1, np.uint64))
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([0, 0, 0, 0]), pa.array([0, 0, 0, 5], pa.int32()), pa.array(["a b c", "a b d", "a b c d", "x b d"])], names=["did", "th", "start", "words"])
     assert superkmers._repeated(batch, 3).to_pylist() == [{"did": 3, "th": 0, "start": 0, "n": 1}]
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_frequent_minimisers_are_counted_once(spark, monkeypatch, sent):
+    """Super-k-mers were read and counted again for every use of the counts, as soon as one minimiser was frequent."""
+    for module in (common, superkmers):
+        monkeypatch.setattr(module, "HOT_ROWS", 5, raising=False)
+    monkeypatch.setattr(common, "SENT_BYTES", sent)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} tail{i % 3}") for i in range(12)] + [(99, " ".join(["x"] * 90))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        superkmers.repeated_runs(df).explain()
+    # the frequent ones and the rest
+    assert sum("FileScan" in x and "super-kmers" in x for x in out.getvalue().splitlines()) == 2, out.getvalue()
+    assert sorted(map(tuple, superkmers.removal(df).collect())) == sorted(brute_removal(rows, 50))

@@ -181,3 +181,24 @@ def test_large_bands_stand_in_few_buckets(spark):
             if (gx, gy) != (0, 0) and gx != 0 and gy != 0 and max(gx, gy) > 0 and max(gx, 0) ** 2 + max(gy, 0) ** 2 < 16:
                 near += 1
     assert 5 < len(got) <= near
+
+
+@pytest.mark.parametrize("most", [7, 1 << 19])
+def test_links_are_joined_where_they_are_found(spark, most):
+    """Chains and a ring of rectangles over many buckets, in two keys (one null), with nodes of several rectangles: labels took rounds over all nodes and links."""
+    rows = [(None, 40 - i, 3000 * i, 0, 3000 * i + 3000, 10) for i in range(40)]
+    rows += [(1, i, 10 * i, 10 * i, 10 * i + 10, 10 * i + 10) for i in range(20)]  # corners alone don't connect
+    rows += [(1, n, x, 9000, x + 5, 9005) for n, x in ((50, 0), (51, 5), (50, 70000), (52, 70005), (53, 90000))]
+    df = spark.createDataFrame(rows, "k int, n int, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    found = connectivity.labelled(df, ["k"], "n", most)
+    assert found.count() == len(rows)
+    want = {(None, i): 1 for i in range(1, 41)} | {(1, i): i for i in range(20)} | {(1, 50): 50, (1, 51): 50, (1, 52): 50, (1, 53): 53}
+    assert {(r.k, r.n): r.component for r in found.collect()} == want
+    assert sorted(map(tuple, connectivity.components(df, ["k"], "n").collect()), key=str) == sorted(((*k, c) for k, c in want.items()), key=str)
+
+
+def test_components_within_one_chunk_need_no_rounds(spark, monkeypatch):
+    """One bucket, whose links one task finds."""
+    chain = spark.createDataFrame([(0, i, 9 * i, 0, 9 * i + 9, 5) for i in range(400)], "k int, n int, x1 bigint, y1 bigint, x2 bigint, y2 bigint").coalesce(1)
+    monkeypatch.setattr(connectivity, "label_components", None)
+    assert {r.component for r in connectivity.components(chain, ["k"], "n").collect()} == {0}

@@ -201,4 +201,8 @@ def test_components_within_one_chunk_need_no_rounds(spark, monkeypatch):
     """One bucket, whose links one task finds."""
     chain = spark.createDataFrame([(0, i, 9 * i, 0, 9 * i + 9, 5) for i in range(400)], "k int, n int, x1 bigint, y1 bigint, x2 bigint, y2 bigint").coalesce(1)
     monkeypatch.setattr(connectivity, "label_components", None)
-    assert {r.component for r in connectivity.components(chain, ["k"], "n").collect()} == {0}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.component for r in connectivity.components(chain, ["k"], "n").collect()} == {0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

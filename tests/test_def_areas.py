@@ -104,3 +104,11 @@ def test_points_in_slanted_polygons_of_all_sizes(spark):
     got = connectivity.contained(spark.createDataFrame(points, "key int, x long, y long"), p, ["key"])
     assert sorted(tuple(r) for r in got.collect()) == want and 0 < len(want) < len(set(points))
     assert connectivity.contained(got.where(F.lit(False)), p, ["key"]).count() == 0
+
+
+def test_points_of_an_entry_are_read_once(spark):
+    """They were read from the text twice for each box, so a region of many boxes took the square of their number."""
+    assert str(def_areas._rects(F.col("spots_of_entry"))).count("spots_of_entry") == 1
+    read = spark.createDataFrame([([(i, i, i + 1, i + 2) for i in range(n)],) for n in (0, 1, 3)] + [(None,)], "b array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    spots = F.flatten(F.transform("b", lambda r: F.array(F.struct(r["x1"].alias("x"), r["y1"].alias("y")), F.struct(r["x2"].alias("x"), r["y2"].alias("y")))))
+    assert all(r.b == r.found for r in read.select("b", def_areas._rects(spots).alias("found")).collect())

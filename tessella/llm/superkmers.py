@@ -5,7 +5,7 @@
 2. Minimisers seen in one document only can't hold a repeated window and are left out.
 3. The rest is joined to the texts; each super-k-mer travels as one packed string to the bucket of its minimiser, where its windows are
    sorted with those of the others, and those whose words also start in a smaller doc_id are found.
-4. A minimiser with over `hot` super-k-mers isn't one bucket. Its strings are cut again by the minimiser of another hash order, and equal strings are
+4. A minimiser with over `hot` super-k-mers isn't one bucket. Its strings are found in the texts once more, where they stand, and cut again by the minimiser of another hash order, and equal strings are
    pre-aggregated to their smallest doc_id: all windows of the others are repeated. The buckets of (minimiser, next minimiser) with up to DIFFERENT * `hot`
    different strings, which one task holds, are sorted like any other, larger ones are cut once more; after LEVELS orders the key is the hash of the window itself.
 5. Runs of repeated windows go back to their documents, whose covered words are removed.
@@ -37,6 +37,7 @@ STRINGS = "key long, did long, th long, start int, n int, words string"
 LEVELS = 3  # hash orders by which hot buckets are cut
 DIFFERENT = 20
 RUNS = "did long, th long, start int, n int"
+LISTED = "did long, th long, text string, kmers array<struct<start:int,n:int,minimiser:long>>"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -72,30 +73,55 @@ def minimisers(words: np.ndarray, width: int, seed: int, level: int = 0) -> np.n
     return _sliding_min(mix(runs ^ mix(np.full(1, level, np.uint64))) if level else runs, width - seed + 1)
 
 
+def _found(batch: pa.RecordBatch, width: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Row, minimiser, first window and windows of every super-k-mer of a batch's texts, in their order."""
+    raw, at = text_bytes(column(batch, "text"))
+    starts, ends, first = word_spans(raw, at)
+    none = np.zeros(0, np.int64)
+    if len(starts) < width:
+        return none, none, none, none
+    low = minimisers(span_hashes(raw, starts, ends), width, seed)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+    window = np.flatnonzero(row[: len(low)] == row[width - 1 :])
+    if not len(window):
+        return none, none, none, none
+    low, of = low[window], row[window]
+    fresh = np.ones(len(window), bool)
+    fresh[1:] = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
+    head, n = _runs(fresh, window)
+    return of[head], low[head].view(np.int64), window[head] - first[of[head]], n
+
+
 def super_kmers(keyed: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """Every super-k-mer of (did, th, text) rows: did, th, minimiser, first window, windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            raw, at = text_bytes(column(batch, "text"))
-            starts, ends, first = word_spans(raw, at)
-            if len(starts) < width:
-                continue
-            low = minimisers(span_hashes(raw, starts, ends), width, seed)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            window = np.flatnonzero(row[: len(low)] == row[width - 1 :])
-            if not len(window):
-                continue
-            low, of = low[window], row[window]
-            fresh = np.ones(len(window), bool)
-            fresh[1:] = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
-            head, n = _runs(fresh, window)
-            rows = pa.array(of[head])
-            yield pa.RecordBatch.from_arrays([column(batch, "did").take(rows), column(batch, "th").take(rows), pa.array(low[head].view(np.int64)), pa.array((window[head] - first[of[head]]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["did", "th", "minimiser", "start", "n"])
+            of, low, start, n = _found(batch, width, seed)
+            if len(of):
+                rows = pa.array(of)
+                yield pa.RecordBatch.from_arrays([column(batch, "did").take(rows), column(batch, "th").take(rows), pa.array(low), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["did", "th", "minimiser", "start", "n"])
 
     return keyed.mapInArrow(run, KMERS)
 
 
+def _listed(keyed: DataFrame, frequent: np.ndarray, width: int, seed: int) -> DataFrame:
+    """The texts that have super-k-mers of frequent minimisers (sorted), with the list of those. They are found anew, so that no text is shuffled for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            of, low, start, n = _found(batch, width, seed)
+            keep = frequent[np.minimum(np.searchsorted(frequent, low), len(frequent) - 1)] == low
+            if not keep.any():
+                continue
+            rows, many = np.unique(of[keep], return_counts=True)
+            kmers = pa.StructArray.from_arrays([pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(low[keep])], names=["start", "n", "minimiser"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), kmers)
+            yield pa.RecordBatch.from_arrays([*(column(batch, x).take(pa.array(rows)) for x in ("did", "th", "text")), lists], names=["did", "th", "text", "kmers"])
+
+    return keyed.mapInArrow(run, LISTED)
+
+
 def _wanted(texts: DataFrame, kmers: DataFrame) -> DataFrame:
     """Texts with the list of their super-k-mers that are wanted."""
     lists = kmers.groupBy("did", "th").agg(F.collect_list(F.struct("start", "n", "minimiser")).alias("kmers"))
@@ -243,9 +269,11 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, seed: int = SEED, hot: in
     shared = counted.where("lo < hi").select("minimiser", "times")
     placed = join_each(kmers, shared, ["minimiser"], counted.select("minimiser", F.col("times").alias("_n")))
     found = sort_buckets(pack_strings(_wanted(texts, placed.where(F.col("times") <= hot)), width), width)
-    if not shared.where(F.col("times") > hot).limit(1).count():
+    # a frequent minimiser has more than `hot` super-k-mers, so these few numbers are at most one for as many
+    frequent = np.sort(np.array([r[0] for r in shared.where(F.col("times") > hot).select("minimiser").collect()], np.int64))
+    if not len(frequent):
         return found
-    return found.unionByName(resolve(cut_strings(_wanted(texts, placed.where(F.col("times") > hot)), width, seed, 1), width, seed, hot))
+    return found.unionByName(resolve(cut_strings(_listed(texts, frequent, width, seed), width, seed, 1), width, seed, hot))
 
 
 def _kept(text: str, runs: list[dict] | None, width: int) -> tuple[int, int, bytes]:

@@ -777,3 +777,15 @@ def test_frequent_minimisers_are_counted_once(spark, monkeypatch, sent):
     # the frequent ones and the rest
     assert sum("FileScan" in x and "super-kmers" in x for x in out.getvalue().splitlines()) == 2, out.getvalue()
     assert sorted(map(tuple, superkmers.removal(df).collect())) == sorted(brute_removal(rows, 50))
+
+
+def test_superkmers_frequent_are_found_without_a_shuffle(spark):
+    passage = " ".join(f"w{i}" for i in range(70))
+    df = spark.createDataFrame([(i, f"a{i} {passage} " + " ".join(f"{i}x{k}" for k in range(60))) for i in range(12)] + [(50, "short"), (51, None)], "doc_id long, text string")
+    texts = superkmers._keyed(df)
+    kmers = superkmers.super_kmers(texts)
+    frequent = sorted(r[0] for r in kmers.groupBy("minimiser").count().where("count > 5").collect())
+    listed = superkmers._listed(texts, np.array(frequent, np.int64), superkmers.WIDTH, superkmers.SEED)
+    rows = lambda d: sorted((r.did, r.th, r.text, sorted(map(tuple, r.kmers))) for r in d.collect())
+    assert rows(listed) == rows(superkmers._wanted(texts, kmers.where(F.col("minimiser").isin(frequent))).select("did", "th", "text", "kmers"))
+    assert listed.count() == 12 and "Exchange" not in listed._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,7 @@
 """Compact shapes and repetitions: trapezoids by type number, polygons as differences, and grids found again among placements.
 
 A type of trapezoid is a row of a coefficient table: each corner is a sum of width and height in sixths, cut to whole units where they are divided, so one
-expression makes all types.
+product makes all types of a batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.curves import MAX_COPIES, grid_offsets, point
+from tessella.functions import rings
+from tessella.functions.curves import MAX_COPIES, grid_offsets
 from tessella.operators.sequences import must
 
 # Fixed values of the format: the corners of types 0 to 24 in a box of width w and height h, from its lower left corner. w2 is half the width, h3 a third of the height.
@@ -44,7 +45,6 @@ CORNERS = (
     "0,0 w,w2 0,w",
 )
 UNITS = ("w", "h", "w2", "h2", "w3", "h3")
-TABLE = "array<array<struct<x:array<int>,y:array<int>>>>"
 
 
 def coefficients(token: str) -> list[int]:
@@ -55,35 +55,13 @@ def coefficients(token: str) -> list[int]:
     return found
 
 
-def _table() -> Column:
-    pair = lambda corner: F.struct(*(F.array(*(F.lit(c) for c in coefficients(t))).alias(k) for k, t in zip("xy", corner.split(","))))
-    return F.array(*(F.array(*(pair(c) for c in row.split())) for row in CORNERS)).cast(TABLE)
-
-
 def compact_trapezoid(kind: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
     """The closed ring of a trapezoid of a type; a type that isn't known, and a corner beyond 32 bits, raise."""
-    long = lambda c: c.cast("long")
-    part = lambda c, n: F.floor(F.abs(long(c)) / n).cast("long") * F.signum(c.cast("double")).cast("long")
-    units = F.array(long(width), long(height), part(width, 2), part(height, 2), part(width, 3), part(height, 3))
-    row = must(kind.between(0, len(CORNERS) - 1), F.concat(F.lit("no such trapezoid: "), kind.cast("string")), F.get(_table(), kind.cast("int")))
-    total = lambda c: F.aggregate(F.zip_with(c, units, lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
-    ring = F.transform(row, lambda c: point(long(x) + total(c["x"]), long(y) + total(c["y"])))
-    return F.concat(ring, F.slice(ring, 1, 1))
-
-
-def deltas(points: Column) -> Column:
-    """What leads from each point to the next, without the closing point of a ring; beyond 32 bits raises."""
-    ring = (F.size(points) >= 3) & (F.get(points, F.lit(0)) == F.element_at(points, -1))
-    own = F.when(ring, F.slice(points, F.lit(1), F.size(points) - 1)).otherwise(points)
-    step = lambda p, i: F.when(i > 0, point(p["x"].cast("long") - F.get(own, i - 1)["x"], p["y"].cast("long") - F.get(own, i - 1)["y"]))
-    return F.slice(F.transform(own, step), F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))
-
-
-def from_deltas(start: Column, steps: Column, closed: Column) -> Column:
-    """The points that deltas lead to from the first one, closed if that is asked for."""
-    add = lambda acc, d: F.concat(acc, F.array(point(F.element_at(acc, -1)["x"].cast("long") + d["x"], F.element_at(acc, -1)["y"].cast("long") + d["y"])))
-    walked = F.aggregate(steps, F.array(point(start["x"], start["y"])), add)
-    return F.when(closed, F.concat(walked, F.slice(walked, 1, 1))).otherwise(walked)
+    table = [[tuple(coefficients(t) for t in c.split(",")) for c in row.split()] for row in CORNERS]
+    return rings.from_table(kind, x, y, width, height, table)
+
+
+deltas, from_deltas = rings.deltas, rings.from_deltas
 
 
 def array_step(origin: Column, end: Column, count: Column) -> Column:

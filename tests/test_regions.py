@@ -206,3 +206,19 @@ def test_components_within_one_chunk_need_no_rounds(spark, monkeypatch):
         assert {r.component for r in connectivity.components(chain, ["k"], "n").collect()} == {0}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("margin", [0, 3])
+def test_near_meets_each_close_pair_once(spark, margin):
+    """Long thin rectangles stand in long thin buckets: what only probes those isn't tried against all else that does, which made wire grids quadratic."""
+    rnd = random.Random(margin)
+    sides = (2, 9, 70, 900)
+    rects = [(x, y, x + rnd.choice(sides), y + rnd.choice(sides)) for x, y in ((rnd.randint(-500, 900), rnd.randint(-500, 900)) for _ in range(80))]
+    df = boxes(spark, *rects).distinct()
+    close = lambda a, b: all(max(a[i], b[i]) - min(a[i + 2], b[i + 2]) <= margin for i in (0, 1))
+    found = [(tuple(r[:4]), tuple(r[4:])) for r in drc.near(df, df, KEYS, 16, margin).select(*(f"{s}.{c}" for s in "xy" for c in bands.BOX)).collect()]
+    assert len(found) == len(set(found))
+    assert {p for p in found if close(*p)} == {(a, b) for a in set(rects) for b in set(rects) if close(a, b)}
+    rows = boxes(spark, *((0, 700 * r, 140_000, 700 * r + 230) for r in range(40)), *((9_000 * c, 700 * r + 300, 9_000 * c + 200, 700 * r + 350) for r in range(40) for c in range(15)))
+    met = drc.near(rows, rows, KEYS, 1840, 230).count()
+    assert met < 40 * rows.count(), met  # 640 rectangles, most of them in one bucket as wide as the rows

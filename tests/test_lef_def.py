@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +239,18 @@ def test_nets_are_upserted_in_order(spark):
     net, wire = def_back.nets(props, def_back.routes(element), "net")
     assert [(r.name, r.use) for r in net.orderBy("place").collect()] == [("b", None), ("b", None), ("z", None), ("c", None)]
     assert [(r.net, r.status, r.layer_name, r.via, r.place.nth, r.place.late) for r in wire.orderBy("elem_order").collect()] == [("z", "ROUTED", "4", None, 0, 1), ("b", "FIXED", "M", None, 0, 0), ("c", "ROUTED", "4", None, 0, 1), ("z", "ROUTED", "4", "V", 0, 1)]
+
+
+def test_statements_are_cut_in_batches(spark):
+    """As expressions the words of an entry went along with each of its wires, so an entry cost the square of its length."""
+    def_text = "NETS 1 ;\n- n\v1 ( u1 a )  + ROUTED m1 ( 5 +7 ) ( * -9 ) via1\n + NEW m2 ( 1 2 3 ) ( 4 * ) + USE SIGNAL ;\nEND NETS\n"
+    found = def_.wires(scanned(spark, def_, def_text))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        found.explain()
+    cut = [line for line in out.getvalue().splitlines() if "Generate posexplode(clauses" in line]
+    assert len(cut) == 1 and "words#" not in cut[0], cut
+    rows = sorted((r.wire, r.net, r.layer_name, [(p.x, p.y) for p in r.points], r.via) for r in found.collect())
+    assert rows == [(1, "n", "m1", [(5, 7), (5, -9)], "via1"), (2, "n", "m2", [(1, 2), (4, 2)], None)]
+    for bad in ("1_0", "2147483648", "1.5"):
+        with pytest.raises(Exception, match="(?s)whole number|too large|not in range|overflow|out of"):
+            def_.wires(scanned(spark, def_, def_text.replace("5 +7", f"{bad} 7"))).collect()

@@ -254,3 +254,10 @@ def test_statements_are_cut_in_batches(spark):
     for bad in ("1_0", "2147483648", "1.5"):
         with pytest.raises(Exception, match="(?s)whole number|too large|not in range|overflow|out of"):
             def_.wires(scanned(spark, def_, def_text.replace("5 +7", f"{bad} 7"))).collect()
+
+
+def test_pieces_are_cut_once(spark):
+    """Running sums read their rows twice: statements were cut anew for each."""
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        lef.pieces(sequences.statements_of(spark.createDataFrame([("f", LEF)], "file string, text string"), ";")).explain()
+    assert "parquet" in out.getvalue() and "Generate" not in out.getvalue(), out.getvalue()

@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import curves
+from tessella.functions import curves, rings
 from tessella.operators import rules, sequences, sizing
 from tessella.sources import cif, dxf
 
@@ -115,6 +115,13 @@ def test_dxf_bulges_and_old_polylines(spark):
     assert old.kind == "boundary" and len(old.points) == 3 + 15 + 1 and old.points[0] == old.points[-1]
 
 
+def test_dxf_polylines_measured_in_batches(spark):
+    """A batch function of the points was drawn into the branch of each kind, where it couldn't be run."""
+    square = [(c, v) for x, y in ((0, 0), (5, 0), (5, 4), (0, 4)) for c, v in ((10, x), (20, y))]
+    rows = dxf.elements(dxf.entities(dxf.groups(text(spark, doc((0, "LWPOLYLINE"), (8, "1"), (90, 4), (70, 1), *square)))), 1)
+    assert [tuple(r.m)[:6] for r in rows.select(rings.measured(F.col("points")).alias("m")).collect()] == [(0, 0, 5, 4, 20, 4)]
+
+
 def test_dxf_other_entities(spark):
     rows = dxf_rows(spark, (0, "SOLID"), (8, "M"), *((c + i, v) for i, p in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))) for c, v in ((10, p[0]), (20, p[1]))), (0, "SOLID"), (8, "M"), *((c + i, v) for i, p in enumerate(((0, 0), (1, 0), (0, 1))) for c, v in ((10, p[0]), (20, p[1]))), (0, "TEXT"), (8, "N"), (10, 1), (20, 2), (1, "hello"), (0, "TEXT"), (8, "N"), (1, ""), (0, "ATTDEF"), (8, "N"), (2, "TAG"), (1, "x"), (0, "INSERT"), (2, "B"), (10, 1), (20, 1), (41, -2), (42, 2), (50, 90), (0, "INSERT"), (2, "B"), (70, 3), (71, 2), (44, 0.5), (45, 2), (0, "SPLINE"), (8, "M"), (70, 0), (10, 0), (20, 0), (10, 1), (20, 1), (11, 5), (21, 5), (11, 6), (21, 6), scale=10)
     assert [r.kind for r in rows] == ["boundary", "boundary", "text", "text", "cellRef", "arrayRef", "path"]

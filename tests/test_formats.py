@@ -122,6 +122,15 @@ def test_dxf_polylines_measured_in_batches(spark):
     assert [tuple(r.m)[:6] for r in rows.select(rings.measured(F.col("points")).alias("m")).collect()] == [(0, 0, 5, 4, 20, 4)]
 
 
+def test_dxf_hatches_measured_in_batches(spark):
+    spots = ((0, 0), (5, 0), (5, 4), (0, 4))
+    chain = [(92, 3), (72, 0), (73, 1), (93, 4), *((c, v) for x, y in spots for c, v in ((10, x), (20, y)))]
+    edges = [(92, 1), (93, 4), *((c, v) for (x, y), (u, w) in zip(spots, (*spots[1:], spots[0])) for c, v in ((72, 1), (10, x), (20, y), (11, u), (21, w)))]
+    hatch = lambda loop: [(0, "HATCH"), (8, "1"), (91, 1), *loop, (75, 0), (98, 1), (10, 1), (20, 1)]
+    rows = dxf.elements(dxf.entities(dxf.groups(text(spark, doc(*hatch(chain), *hatch(edges))))), 1)
+    assert [tuple(r.m)[:6] for r in rows.select(rings.measured(F.col("points")).alias("m")).collect()] == [(0, 0, 5, 4, 20, 4)] * 2
+
+
 def test_dxf_other_entities(spark):
     rows = dxf_rows(spark, (0, "SOLID"), (8, "M"), *((c + i, v) for i, p in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))) for c, v in ((10, p[0]), (20, p[1]))), (0, "SOLID"), (8, "M"), *((c + i, v) for i, p in enumerate(((0, 0), (1, 0), (0, 1))) for c, v in ((10, p[0]), (20, p[1]))), (0, "TEXT"), (8, "N"), (10, 1), (20, 2), (1, "hello"), (0, "TEXT"), (8, "N"), (1, ""), (0, "ATTDEF"), (8, "N"), (2, "TAG"), (1, "x"), (0, "INSERT"), (2, "B"), (10, 1), (20, 1), (41, -2), (42, 2), (50, 90), (0, "INSERT"), (2, "B"), (70, 3), (71, 2), (44, 0.5), (45, 2), (0, "SPLINE"), (8, "M"), (70, 0), (10, 0), (20, 0), (10, 1), (20, 1), (11, 5), (21, 5), (11, 6), (21, 6), scale=10)
     assert [r.kind for r in rows] == ["boundary", "boundary", "text", "text", "cellRef", "arrayRef", "path"]

@@ -7,7 +7,7 @@ import io
 
 import pytest
 
-from tessella.operators import bands, boolean, edges
+from tessella.operators import bands, boolean, connectivity, edges
 from tessella.sources import dxf
 
 BOX = "r int, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
@@ -57,3 +57,16 @@ def test_whole_dxf_texts_are_dealt_once_before_they_are_cut(spark):
     found = dxf.entities(dxf.groups(spark.createDataFrame([("a", body), ("b", body)], "file string, text string")))
     assert len(exchanges(found)) == 1
     assert sorted((r.file, r.entity, r.kind, len(r.groups)) for r in found.collect()) == [(f, n, "LINE", 6) for f in "ab" for n in (2, 3, 4)]
+
+
+def test_polygons_in_their_buckets_are_not_sent_to_the_driver(spark):
+    """A table counts as small by the size of its file, however many points and buckets its polygons have."""
+    corner = lambda x, y: f"named_struct('x', cast({x} as int), 'y', cast({y} as int))"
+    ring = ", ".join(corner(*p) for p in (("id * 10 + 5", "0"), ("id * 10 + 10", "5"), ("id * 10 + 5", "10"), ("id * 10", "5"), ("id * 10 + 5", "0")))
+    kites = spark.range(30).selectExpr("id % 3 as r", f"array({ring}) as points")
+    found = connectivity.contained(spark.range(30).selectExpr("id % 3 as r", "id * 10 + 5 as x", "5L as y"), kites, ["r"])
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        found.explain()
+    assert "HashedRelationBroadcastMode" not in out.getvalue()
+    assert len([x for x in exchanges(found) if "hashpartitioning(g#" in x]) == 4  # each side of both joins once
+    assert found.count() == 30
